@@ -75,14 +75,14 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[
 @dataclass
 class Words:
     """``doc``: each word's text, as an index into the chunk, ascending; ``hash``: of its bytes;
-    ``stem``: of its first bytes, if asked for."""
+    ``stems``: of its first bytes, for each length asked for."""
 
     doc: np.ndarray
     hash: np.ndarray
-    stem: np.ndarray | None
+    stems: list[np.ndarray]
 
 
-def words(c: Chunk, apart: np.ndarray, fold: bool = False, stem: int = 0) -> Words:
+def words(c: Chunk, apart: np.ndarray, fold: bool = False, stems: tuple[int, ...] = ()) -> Words:
     """The words of each text: longest runs of bytes that ``apart`` doesn't mark.
 
     fold: A-Z count as a-z. No word crosses from one text into the next."""
@@ -90,7 +90,7 @@ def words(c: Chunk, apart: np.ndarray, fold: bool = False, stem: int = 0) -> Wor
     at = np.flatnonzero(inside)
     if not len(at):
         none = np.zeros(0, np.uint64)
-        return Words(np.zeros(0, np.int64), none, none if stem else None)
+        return Words(np.zeros(0, np.int64), none, [none] * len(stems))
     first = np.empty(len(at), bool)
     first[0] = True
     np.not_equal(at[1:], at[:-1] + 1, out=first[1:])
@@ -101,9 +101,7 @@ def words(c: Chunk, apart: np.ndarray, fold: bool = False, stem: int = 0) -> Wor
     place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
     value = (BYTE[LOWER] if fold else BYTE)[c.data[at]] * PLACE[place & (len(PLACE) - 1)]
     doc = np.searchsorted(c.offsets, at[starts], "right") - 1
-    short = None
-    if stem:
-        short = mix(np.add.reduceat(np.where(place < stem, value, np.uint64(0)), starts) + np.uint64(7))
+    short = [mix(np.add.reduceat(np.where(place < n, value, np.uint64(0)), starts) + np.uint64(n)) for n in stems]
     return Words(doc, mix(np.add.reduceat(value, starts)), short)
 
 
