@@ -112,9 +112,11 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
 
 def mixed_rows(docs: DataFrame, mixture: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, the last time cut to the words left;
-    n_chars follows the cut. doc_id must be unique in ``docs``; rows taken 0 words go."""
-    m = mixture.filter("taken > 0").select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    d = docs.join(m, docs["doc_id"].eqNullSafe(m["__id"]))
+    n_chars follows the cut. Rows taken 0 words go. Rows of one id (or of none) and one size that
+    were sampled apart are each taken as the most taken of them."""
+    m = mixture.filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
+    d = docs.withColumn("__words", word_count(F.col("text")))
+    d = d.join(m, d["doc_id"].eqNullSafe(m["__id"]) & (d["__words"] == m["__size"]))
     d = d.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
     left = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, left.cast("int")), "")

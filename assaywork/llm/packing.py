@@ -15,9 +15,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +27,15 @@ from assaywork.llm.common import stage, table
 CAPACITY = 2048
 #: Pieces of a group at most, about; a bound of the memory of a task.
 GROUP = 40_000
-#: Words whose ids a worker keeps.
-CACHE = 200_000
+#: Words whose ids a Python worker keeps, about 200 bytes each.
+CACHE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordTokens:
-    """Ids of a text by a tokenizer that drops white space, so that each run between white space
-    can be encoded on its own; runs that were met before are looked up."""
+class WordTokens(dict):
+    """Ids of a text by a tokenizer that drops white space, so that each run between white space can
+    be encoded on its own; the ids of runs that were met before are looked up. Of at most ``most``
+    runs: beyond that it starts anew."""
 
     def __init__(self, path: str, most: int = CACHE):
         import os
@@ -42,21 +43,27 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": b""}
+        super().__init__({"": b""})
+        self.encode, self.most = Tokenizer.from_file(path).encode, most
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        new = list(set().union(*runs) - known.keys())
-        if len(known) + len(new) > self.most:
-            known = self.known = {"": b""}
-            new = list(set().union(*runs) - known.keys())
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, r)) for r in runs]
+    def __missing__(self, run: str) -> bytes:
+        ids = np.array(self.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(run) <= 64:
+            self[run] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if len(self) > self.most:
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+
+@lru_cache(1)
+def _word_tokens(path: str) -> WordTokens:
+    """One for all tasks that a Python worker runs."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -65,13 +72,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     closing = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = _word_tokens(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
-                for i, ids in zip(part["doc_id"].to_pylist(), tokens.ids([t or "" for t in part["text"].to_pylist()])):
-                    ids += closing
+                for i, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
+                    ids = tokens.ids(text or "") + closing
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
                         rows.append((i, k, a // 4, len(own) // 4, zlib.crc32(own)))
@@ -137,12 +144,13 @@ def pack(found: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     groups = max(1, math.ceil(total / group))
     dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "start", "ids_crc32"], kind="stable", ignore_index=True)
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "ids_crc32")])
         s, o = best_fit_decreasing(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="group").assign(sequence_id=s + (rows["group"].to_numpy(np.int64) << 32), offset=o)
+        s += rows["group"].to_numpy().astype(np.int64) << 32
+        return rows.drop_columns("group").append_column("sequence_id", pa.array(s)).append_column("offset", pa.array(o))
 
-    return dealt.groupBy("group").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return dealt.groupBy("group").applyInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -96,26 +96,47 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, support:
     return {k: got[k].to_numpy() for k in ("place", "weight")}
 
 
+def _scorer(model: dict[str, np.ndarray], bits: int):
+    dense = np.zeros((1 << bits) + 1)
+    dense[model["place"]] = model["weight"]
+
+    def chance(text: pa.Array) -> np.ndarray:
+        out = np.zeros(len(text))
+        for c in chunks(text):
+            d, place = features(c, bits)
+            used = dense[place] != 0
+            both = np.unique(d[used] << (bits + 1) | place[used])
+            total = np.bincount(both >> (bits + 1), dense[both & ((1 << (bits + 1)) - 1)], c.hi - c.lo)
+            out[c.lo : c.hi] = 1 / (1 + np.exp(-np.clip(total + dense[-1], -30, 30)))
+        return out
+
+    return chance
+
+
 def score(docs: DataFrame, model: dict[str, np.ndarray], bits: int = BITS) -> DataFrame:
     """(doc_id, score) of every row: the chance of label 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = np.zeros((1 << bits) + 1)
-        dense[sent.value["place"]] = sent.value["weight"]
+        chance = _scorer(sent.value, bits)
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for c in chunks(batch["text"]):
-                d, place = features(c, bits)
-                used = dense[place] != 0
-                both = np.unique(d[used] << (bits + 1) | place[used])
-                total = np.bincount(both >> (bits + 1), dense[both & ((1 << (bits + 1)) - 1)], c.hi - c.lo)
-                out[c.lo : c.hi] = 1 / (1 + np.exp(-np.clip(total + dense[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(chance(batch["text"]))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
+    """The rows, all columns, whose score is under the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = _scorer(sent.value, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(chance(batch["text"]) < threshold))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learnt from. A null id is not held out."""
     return F.coalesce(crc_remainder(doc_id, 4) == 2, F.lit(False))
