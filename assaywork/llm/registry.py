@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function of session and folder) and ORACLES (name to SQL).
-MODULES = ("pii", "mixing", "packing", "toxicity", "near_dedup")
+MODULES = ("toxicity", "near_dedup", "pii", "mixing", "packing")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
