@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,3 +52,10 @@ def crc_remainder(doc_id: Column | str, modulus: int) -> Column:
 def tasks_for(df: DataFrame, at_least: int = 1) -> int:
     """Shuffle width of the session, for an explicit repartition."""
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished rounds, which it does only for plans
+    that neither Python nor the JVM refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
