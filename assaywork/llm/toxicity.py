@@ -50,12 +50,13 @@ class Ftrl:
     """FTRL-proximal for logistic loss with binary features."""
 
     def __init__(self, bits: int, alpha: float, beta: float, l1: float, l2: float):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+        self.alpha, self.beta, self.l2 = alpha, beta, l2
+        self.z, self.n, self.l1 = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1), np.full((1 << bits) + 1, l1)
+        self.l1[-1] = 0  # the intercept alone speaks for texts without evidence
 
     def weights(self, at: np.ndarray | slice) -> np.ndarray:
         z = self.z[at]
-        over = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
+        over = np.sign(z) * np.maximum(np.abs(z) - self.l1[at], 0)
         return -over / ((self.beta + np.sqrt(self.n[at])) / self.alpha + self.l2)
 
     def learn(self, at: np.ndarray, label: float) -> None:
