@@ -113,8 +113,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def render(sql: str, dialect: str) -> str:
     """Replaces @[name] and @[name:argument;argument], innermost first, by the dialect's fragment."""
-    while "@[" in sql:
-        sql = re.sub(r"@\[(\w+)(?::([^\[\]]*))?\]", lambda m: DIALECT[dialect][m[1]].format(*(m[2] or "").split(";")), sql)
+    names = "|".join(DIALECT["spark"])
+    done = ""
+    while sql != done:
+        done, sql = sql, re.sub(rf"@\[({names})(?::([^\[\]]*))?\]", lambda m: DIALECT[dialect][m[1]].format(*(m[2] or "").split(";")), sql)
     return sql
 
 
