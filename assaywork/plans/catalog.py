@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("sqlplans", "scoring")
+MODULES = ("sqlplans", "scoring", "extra")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
