@@ -6,10 +6,13 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,10 +32,21 @@ def stage(df: DataFrame) -> DataFrame:
     lost executor costs a reread, not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # once written, the shuffle files behind it are of no use
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``stage``, and aggregates of the rows, taken while they are written."""
+    seen = Observation()
+    return stage(df.observe(seen, *[c.alias(k) for k, c in measures.items()])), seen.get
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes the files of a table that ``stage`` wrote and that no later step reads."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import drop_staged, stage
+from assaywork.llm.common import drop_staged, stage_measured
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -27,15 +27,15 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id of ``links`` (columns a, b: long): root is the least id that it is
     connected with. Loops and repeated links don't matter; ids without a link aren't returned."""
-    now = stage(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct())
-    before = None
-    while True:
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sign == before:
-            break
-        before = sign
-        new = stage(_small_star(_large_star(now)))
+    sign = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    first = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b").distinct()
+    now, was = stage_measured(first, **sign)
+    while was["n"]:
+        new, found = stage_measured(_small_star(_large_star(now)), **sign)
         drop_staged(now)
-        now = new
+        if found == was:
+            now = new
+            break
+        now, was = new, found
     stars = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("id"), "root")
     return stars.unionByName(stars.select(F.col("root").alias("id"), "root").distinct())

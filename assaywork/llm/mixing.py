@@ -29,6 +29,7 @@ SHARE = 1.5
 MOST = 2.0
 #: Buckets of the key's range per source; a bucket holds about this fraction of its documents.
 BUCKETS = 4096
+_MARKS = "0123456789!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -40,7 +41,7 @@ def word_count(text: Column) -> Column:
 def quality(text: Column) -> Column:
     """Quality weight in [0.1, 1]: the share of characters other than digits, symbols and capitals,
     which are rare in running prose."""
-    kept = F.length(F.translate(text, "0123456789!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    kept = F.length(F.translate(text, _MARKS, ""))
     return F.greatest(F.lit(0.1), F.coalesce(kept / F.nullif(F.length(text), F.lit(0)), F.lit(0.1)))
 
 
@@ -133,4 +134,32 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_mixing": op3_mixing}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_mixing": r"""
+with k as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    -ln((cast(concat('0x', substr(md5(concat('7|', coalesce(cast(doc_id as varchar), 'null'))), 1, 13)) as bigint) + 0.5e0) / 4503599627370496e0)
+      / greatest(0.1e0, coalesce(length(translate(text, '@MARKS@', '')) / cast(nullif(length(text), 0) as double), 0.1e0)) as key
+  from documents
+), s as (
+  select source, source_size, 2e0 * source_size as stop, 1.5e0 * sum(source_size) over () as total,
+    case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5e0 when 1 then 2e0 else 1e0 end as w
+  from (select source, sum(size) as source_size from k group by source)
+), t as (
+  select *, w * (total - coalesce(sum(stop) over (order by stop / w, source nulls last rows between unbounded preceding and 1 preceding), 0e0))
+    / sum(w) over (order by stop / w, source nulls last rows between current row and unbounded following) >= stop as stops
+  from s
+), g as (
+  select source, cast(source_size as bigint) as source_size, case when stops then stop
+    else w * (total - coalesce(sum(case when stops then stop end) over (), 0e0)) / sum(case when not stops then w end) over () end as target
+  from t
+), e as (
+  select *, cast(case when source_size > 0 then floor(target / source_size) else 0 end as bigint) as epochs from g
+), a as (
+  select k.doc_id, k.size, k.source, e.source_size, e.target, e.epochs, cast(round(e.target - e.epochs * e.source_size) as bigint) as rest,
+    sum(k.size) over (partition by k.source order by k.key, k.doc_id) - k.size as ahead
+  from k join e on e.source is not distinct from k.source
+)
+select doc_id, size, source_size, target, cast(epochs * size + least(size, greatest(0, rest - ahead)) as bigint) as taken, source from a
+""".replace("@MARKS@", _MARKS.replace("'", "''")),
+}

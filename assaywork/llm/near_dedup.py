@@ -11,8 +11,8 @@ depends on the total weight; texts with an empty place go on with twice that tim
 Texts with the same multiset are one class from the start. Between class representatives, texts that
 agree in a band are candidates. Nothing is emitted per pair of a bucket: each bucket compares all its
 members with one pivot at a time, and is done when its members are in one component or every pair
-between components was compared. So a bucket of thousands of copies costs one comparison each, and no
-candidate is dropped. Links are what has an exact multiset similarity of at least the threshold.
+between components was compared. So a bucket of thousands of copies costs one comparison each. Pairs that
+the lengths, the distances from the first pivot or a sketch of the whole multiset rule out aren't compared. Links are what has an exact multiset similarity of at least the threshold.
 
 Defined results: texts without words are alike to nothing, each is its own class; rows with a null id
 get a null class; repeated rows of one id are one document; other columns play no part.
@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import drop_staged, stage, table
+from assaywork.llm.common import drop_staged, release, stage, stage_measured, table
 from assaywork.llm.components import components
 from assaywork.llm.textkernel import JOIN, WHITE, Chunk, chunks, gram, mix, uniform, words
 
@@ -36,8 +36,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**20, about 3 in 100,000.
 BANDS, ROWS = 20, 4
-#: Pivots of a bucket that one round compares with the bucket's members.
-PIVOTS = 4
+#: Pivots of a bucket that the second round compares with the bucket's members; each later round
+#: takes eight times as many, so rounds grow with the logarithm of what is left.
+PIVOTS = 16
+#: Bins of a sketch; a power of two of at least 16.
+BINS = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,9 +115,25 @@ def bag_minhash(n: int, at: np.ndarray, element: np.ndarray, weight: np.ndarray,
     return sig.reshape(n, places)
 
 
+def copies(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each element as often as its weight, the i-th copy with a value of its own."""
+    i = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return mix(np.repeat(element, weight) + i.astype(np.uint64) * _STEP)
+
+
+def bin_sketch(n: int, at: np.ndarray, element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The copies of a text's shingles are dealt into BINS by their upper bits; four bits of the least in
+    each (0: none), 16 bins to a long. Bins that either text has agree as the multisets' similarity."""
+    v = copies(element, weight)
+    least = np.full(n * BINS, np.iinfo(np.uint64).max)
+    np.minimum.at(least, np.repeat(at, weight) * BINS + (v >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), v)
+    four = np.where(least == np.iinfo(np.uint64).max, np.uint64(0), np.uint64(1) + (mix(least) >> np.uint64(32)) % np.uint64(15)).reshape(n, -1, 16)
+    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, weight (number of shingles), same_a, same_b (a digest of the multiset), keys (one per
-    band; null without words)."""
+    band), sketch (see bin_sketch)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coefficient = JOIN[:rows]
@@ -131,10 +150,25 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                     digest.append(v.view(np.int64))
                 sig = bag_minhash(n, d, e, w, bands * rows).view(np.uint64).reshape(n, bands, rows)
                 key = mix(mix(sig * coefficient).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BINS // 16), pa.int32()), pa.array(bin_sketch(n, d, e, w).ravel()))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.ravel()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array(total), *map(pa.array, digest), keys], ["doc_id", "weight", "same_a", "same_b", "keys"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array(total), *map(pa.array, digest), keys, sketch], ["doc_id", "weight", "same_a", "same_b", "keys", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, weight long, same_a long, same_b long, keys array<long>, sketch array<long>")
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, weight long, same_a long, same_b long, keys array<long>")
+
+def likely(x: Column, y: Column, least: float) -> Column:
+    """Whether two sketches differ in as few bins as those of texts of similarity ``least`` do, but for
+    about one pair in 50,000 (4.1 standard deviations)."""
+
+    def filled(v: Column) -> Column:
+        any_bit = v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+    parts = [(F.get(x, F.lit(i)), F.get(y, F.lit(i))) for i in range(BINS // 16)]
+    differ, used = (sum((filled(f(a, b)) for a, b in parts), F.lit(0)) for f in (lambda a, b: a.bitwiseXOR(b), lambda a, b: a.bitwiseOR(b)))
+    p = (1 - least) * 14 / 15
+    return differ <= used * p + 4.1 * F.sqrt(used * (p * (1 - p))) + 1
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -146,8 +180,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             for c in chunks(batch["text"]):
                 n = c.hi - c.lo
                 d, e, w = multiset(*shingles(c, shingle))
-                copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
-                d, v = np.repeat(d, w), mix(np.repeat(e, w) + copy.astype(np.uint64) * _STEP)
+                d, v = np.repeat(d, w), copies(e, w)
                 order = np.lexsort((v, d))
                 v, cuts = v[order], np.searchsorted(d, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array([v[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)], pa.binary())], ["id", "items"])
@@ -178,48 +211,62 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, copy_of: the class (least id of all that it is linked with, itself included)
     and the least id among those with the same multiset of shingles. One row per document."""
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, bands, rows, shingle))
     same = ["same_a", "same_b", "weight"]
-    firsts = signed.filter("weight > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min_by("keys", "doc_id").alias("keys"))
+    firsts = signed.filter("weight > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("s"))
     firsts = stage(firsts)
-    member = firsts.select("copy_of", F.explode("keys").alias("key"))
-    sizes = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = stage(member.join(sizes, "key").select("key", F.col("copy_of").alias("id")))
+    member = firsts.select(F.col("copy_of").alias("id"), F.col("weight").alias("w"), F.col("s.sketch").alias("sk"), F.explode("s.keys").alias("key"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stage(member.join(sizes, "key"))
+    # A bucket's first pivot is the member that shares buckets with the most others: in a group of
+    # copies that is what they were made from, which most of them are linked with.
+    central = shared.groupBy("id").agg(F.struct(F.sum("n").alias("n"), (-F.col("id")).alias("i")).alias("rank"))
+    ranked = shared.drop("n").join(central, "id")
+    first_pivot = ranked.groupBy("key").agg(F.max_by(F.struct("id", "w", "sk"), "rank").alias("pivot"))
+    buckets = stage(ranked.join(first_pivot, "key").select("key", "id", "w", "sk", "rank", "pivot"))
+    drop_staged(shared)
     wanted = buckets.select("id").distinct()
     sets = stage(shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), shingle))
-
-    # First round: every bucket's least member against the others.
-    least_of = buckets.groupBy("key").agg(F.min("id").alias("a"))
-    pairs = stage(buckets.join(least_of, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct())
-    links = stage(similar(pairs, sets, least))
-    compared, used = pairs, least_of.select("key", F.col("a").alias("id"))
-    root = stage(components(links))
-    state = buckets
+    # Weights further apart aren't that similar, nor are distances from the bucket's first pivot (one less
+    # the similarity is a metric), nor sketches that differ in more bins.
+    near = (F.least("w", "p_w") >= F.greatest("w", "p_w") * least) & (F.abs(F.col("away") - F.col("p_away")) <= 1 - least + 1e-9) & likely(F.col("sk"), F.col("p_sk"), least)
+
+    # First round: every bucket's pivot against the others.
+    first = buckets.filter(F.col("id") != F.col("pivot.id")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
+    stars = stage(similar(first.distinct(), sets, 0.0))
+    links = stars.filter(F.col("similarity") >= least)
+    compared = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    used = buckets.filter("id = pivot.id").select("key", "id")
+    root, pivots_now = stage(components(links)), PIVOTS
+    b = buckets.withColumn("p", F.col("pivot.id")).drop("pivot")
+    known = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("away"))
+    state = b.join(known, ["p", "id"], "left").select("key", "id", "w", "sk", "rank", F.when(F.col("id") == F.col("p"), 0.0).otherwise(F.col("away")).alias("away"))
     while True:
-        # Buckets whose members are in more than one component, without the members already used as pivot.
+        # Buckets whose members are in more than one component.
         known = root.withColumnRenamed("id", "r_id")
-        labelled = state.join(known, state["id"] == known["r_id"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        spread = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        state_now = stage(labelled.join(spread, "key"))
-        if state_now.isEmpty():
-            break
-        by_root = state_now.groupBy("key", "root").agg(F.count("*").alias("n"))
-        largest = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        free = state_now.join(largest, "key").filter("root <> main").join(used, ["key", "id"], "left_anti")
-        order = Window.partitionBy("key").orderBy("id")
-        pivots = stage(free.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PIVOTS).select("key", F.col("id").alias("p"), F.col("root").alias("p_root")))
-        if pivots.isEmpty():
+        labelled = state.join(known, state["id"] == known["r_id"], "left").select("key", "id", "w", "sk", "rank", "away", F.coalesce("root", "id").alias("root"))
+        by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+        spread = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1")
+        state = stage(labelled.join(spread, "key"))
+        # Their next pivots: members outside the largest component that weren't pivots yet.
+        free = state.filter("root <> main").join(used, ["key", "id"], "left_anti")
+        order = Window.partitionBy("key").orderBy(F.desc("rank"))
+        pivots, left = stage_measured(free.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pivots_now).select("key", F.col("id").alias("p"), F.col("w").alias("p_w"), F.col("sk").alias("p_sk"), F.col("away").alias("p_away"), F.col("root").alias("p_root")), n=F.count(F.lit(1)))
+        if not left["n"]:
             break
-        met = state_now.join(pivots, "key").filter("root <> p_root").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        met = state.join(pivots, [state["key"] == pivots["key"], F.col("root") != F.col("p_root"), near]).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = stage(met.join(compared, ["a", "b"], "left_anti"))
-        found = stage(similar(pairs, sets, least))
-        links = links.unionByName(found)
+        found, new = stage_measured(similar(pairs, sets, least), n=F.count(F.lit(1)))
         compared = compared.unionByName(pairs)
         used = used.unionByName(pivots.select("key", F.col("p").alias("id")))
-        if not found.isEmpty():
+        if new["n"]:
+            links = links.unionByName(found)
             root = stage(components(links))
-        state = state_now.select("key", "id")
+        state = state.select("key", "id", "w", "sk", "rank", "away")
+        pivots_now *= 8
+        release(spark)
     drop_staged(sets)
 
     r = root.withColumnRenamed("id", "r_id")

@@ -36,7 +36,7 @@ from assaywork.llm.elias_fano import Trie
 from assaywork.llm.textkernel import WHITE, chunks, words
 
 #: Bytes of text of a batch; words of a bucket and pairs of a shard, about.
-BATCH, BUCKET, SHARD = 6 << 20, 2_000_000, 2_000_000
+BATCH, BUCKET, SHARD = 2 << 20, 500_000, 500_000
 #: Weight of the unigram, as a count.
 K = 30.0
 #: Range of the codes: -log10 p from 0 to this in 65534 steps.

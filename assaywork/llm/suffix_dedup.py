@@ -40,7 +40,7 @@ from assaywork.llm.textkernel import BYTE, JOIN, chunks, mix
 
 LENGTH = 50
 #: Bytes of text of a batch, and keys of a bucket, about.
-BATCH, BUCKET = 6 << 20, 2_000_000
+BATCH, BUCKET = 1 << 20, 200_000
 #: Bytes that are worked on at once, unless a single text is longer.
 PIECE = 1 << 18
 _LAST = np.int64(2**63 - 1)
