@@ -35,7 +35,7 @@ def stage(df: DataFrame) -> DataFrame:
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # once written, the shuffle files behind it are of no use
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)

@@ -57,6 +57,12 @@ def _read(column: pa.ChunkedArray, dtype: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), dtype) for x in column]
 
 
+def _read_ids(column: pa.ChunkedArray, counts: list[np.ndarray]) -> list[np.ndarray]:
+    """Ids of 32 or 64 bits, by how many there are of them."""
+    data = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+    return [d.view(np.uint32 if len(d) == 4 * len(n) else np.uint64).astype(np.int64) for d, n in zip(data, counts)]
+
+
 class Batch:
     """Tokens of a batch's texts: ``word``: the distinct digests; ``at``: each token's place among
     them; ``doc``: each token's text; ``learnt``: whether its text is learnt from."""
@@ -96,7 +102,7 @@ class Batch:
     def pairs(self, starts: int, start_id: int, shards: int, hot: float) -> None:
         """Distinct pairs of known words, dealt to shards. The context of a text's first token is the
         start, which has been met ``starts`` times."""
-        n = len(self.word)
+        n, self.id_limit = len(self.word), start_id
         first = np.ones(len(self.doc), bool)
         first[1:] = self.doc[1:] != self.doc[:-1]
         before = np.where(first, n, np.roll(self.at, 1))
@@ -108,7 +114,7 @@ class Batch:
         asked = np.flatnonzero((context >= 0) & (successor >= 0) & (self.c_count > 0))
         spread = context[asked] * np.where(self.c_count[asked] > hot, 0x10001, 1) + np.where(self.c_count[asked] > hot, successor[asked] * 0x5BD1E995, 0)
         shard = ((spread.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % shards
-        order = np.lexsort((successor[asked], context[asked], shard))
+        order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")  # within a shard by context
         self.asked, self.shard = asked[order], shard[order]
         self.context, self.successor = context[self.asked], successor[self.asked]
 
@@ -116,7 +122,9 @@ class Batch:
         count = np.bincount(self.pair, self.learnt, len(self.c_at)).astype(np.uint32)[self.asked]
         cuts = np.searchsorted(self.shard, np.arange(shards + 1))
         used = [i for i in range(shards) if cuts[i] < cuts[i + 1]]
-        parts = [self.context.astype(np.uint64), self.successor.astype(np.uint64), count, self.c_count[self.asked].astype(np.uint64), self.prior[self.s_at[self.asked]].astype(np.float32)]
+        wide = np.uint32 if self.id_limit < 1 << 32 else np.uint64
+        prior = np.rint(-self.prior[self.s_at[self.asked]] * (65535 / RANGE)).clip(0, 65535).astype(np.uint16)
+        parts = [self.context.astype(wide), self.successor.astype(wide), count, self.c_count[self.asked].astype(np.uint64), prior]
         return pa.table([pa.array(used, pa.int32()), pa.array([batch] * len(used), pa.int32()), *(_blob(p, cuts, used) for p in parts)], names=[c.split()[0] for c in ASK_PAIRS.split(", ")])
 
     def scores(self, codes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,17 +159,18 @@ def count_words(asked: pa.Table, buckets: int) -> pa.Table:
 
 def build_trie(asked: pa.Table) -> pa.Table:
     """The trie of a shard from what its batches counted."""
-    c, s, n, cc = (np.concatenate(_read(asked[k], t)) for k, t in (("context", np.uint64), ("successor", np.uint64), ("count", np.uint32), ("context_count", np.uint64)))
-    prior = np.concatenate(_read(asked["prior"], np.float32))
+    counts = _read(asked["count"], np.uint32)
+    c, s = (np.concatenate(_read_ids(asked[k], counts)) for k in ("context", "successor"))
+    n, cc, prior = np.concatenate(counts), np.concatenate(_read(asked["context_count"], np.uint64)), np.concatenate(_read(asked["prior"], np.uint16))
     met = n > 0
-    c, s, n, cc, prior = c[met].astype(np.int64), s[met].astype(np.int64), n[met], cc[met], prior[met]
+    c, s, n, cc, prior = c[met], s[met], n[met], cc[met], prior[met]
     order = np.lexsort((s, c))
     c, s = c[order], s[order]
     new = np.ones(len(c), bool)
     new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
     first = np.flatnonzero(new)
     total = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    p = (total + K * 10.0 ** prior[order][first].astype(float)) / (cc[order][first].astype(float) + K)
+    p = (total + K * 10.0 ** (prior[order][first] * (-RANGE / 65535))) / (cc[order][first].astype(float) + K)
     code = 1 + np.clip(np.rint(-np.log10(p) * (65534 / RANGE)), 0, 65534)
     return pa.table([pa.array([asked["shard"][0].as_py()], pa.int32()), pa.array([len(first)], pa.int64()), pa.array([Trie.of(c[first], s[first], code).to_bytes()], pa.binary())], names=["shard", "pairs", "trie"])
 
@@ -175,7 +184,8 @@ def query_trie(asked: pa.Table, model: pa.Table) -> pa.Table:
         os.close(handle)
         mapped = np.memmap(path, np.uint8, "r")
         trie = Trie.from_buffer(mapped)
-        for c, s in zip(_read(asked["context"], np.int64), _read(asked["successor"], np.int64)):
+        counts = _read(asked["count"], np.uint32)
+        for c, s in zip(_read_ids(asked["context"], counts), _read_ids(asked["successor"], counts)):
             out.append(b"".join(trie.find(c[i : i + 200_000], s[i : i + 200_000]).tobytes() for i in range(0, len(c), 200_000)))
         del trie, mapped
     finally:
@@ -213,7 +223,7 @@ def fit_and_score(docs: DataFrame, batch_bytes: int = BATCH) -> tuple[DataFrame,
     asked = stage(dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(ask_pairs, ASK_PAIRS))
     release(spark)
     model = stage(asked.groupBy("shard").applyInArrow(build_trie, MODEL))
-    codes = stage(asked.select("shard", "batch", "context", "successor").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(query_trie, CODES))
+    codes = stage(asked.select("shard", "batch", "context", "successor", "count").groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(query_trie, CODES))
     release(spark)
     none = F.lit(None).cast("binary")
     both = answers.select("batch", F.col("bucket").alias("part"), "count", "id", none.alias("code")).unionByName(codes.select("batch", F.col("shard").alias("part"), none.alias("count"), none.alias("id"), "code"))
