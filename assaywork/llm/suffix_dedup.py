@@ -113,7 +113,8 @@ class Runs:
             shape = ((end - start) * (2 * length) + (anchor - start)).astype(np.uint64)
             b = mix(whole[start] * JOIN[44] + whole[end] * JOIN[45] + shape)
             doc = np.searchsorted(c.offsets, start, "right") - 1
-            for p, v in zip(parts, (doc + c.lo, start - c.offsets[doc], end - start + 1, name[anchor], b)):
+            # samples are least values, so they are mixed again to fill the buckets evenly
+            for p, v in zip(parts, (doc + c.lo, start - c.offsets[doc], end - start + 1, mix(name[anchor] + JOIN[48]), b)):
                 p.append(v)
         self.doc, self.start, self.count, self.a, self.b = (np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, (np.int64, np.int64, np.int64, np.uint64, np.uint64)))
 
