@@ -185,8 +185,10 @@ def query_trie(asked: pa.Table, model: pa.Table) -> pa.Table:
         mapped = np.memmap(path, np.uint8, "r")
         trie = Trie.from_buffer(mapped)
         counts = _read(asked["count"], np.uint32)
-        for c, s in zip(_read_ids(asked["context"], counts), _read_ids(asked["successor"], counts)):
-            out.append(b"".join(trie.find(c[i : i + 200_000], s[i : i + 200_000]).tobytes() for i in range(0, len(c), 200_000)))
+        c, s = (np.concatenate(_read_ids(asked[k], counts)) for k in ("context", "successor"))
+        code = np.concatenate([trie.find(c[i : i + 200_000], s[i : i + 200_000]) for i in range(0, len(c), 200_000)])
+        cuts = np.cumsum([0, *map(len, counts)])
+        out = [code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         del trie, mapped
     finally:
         os.unlink(path)
