@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaywork.operators import citations, judge, spans
+from assaywork.operators import citations, judge, spans, timeline
 from assaywork.sources import ingest
 from assaywork.sources.views import oracle, view
 from assaywork.streaming import jobs
@@ -162,6 +162,13 @@ def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.tree(view(spark, sf_dir, "spans"))
 
 
+def rule_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the day before and the day from each deploy on. Its SQL, in ``sqlplans``, is the oracle."""
+    a = view(spark, sf_dir, "audit").filter("action = 'rule.deploy'").select("entry_id", "rule_id", "ts")
+    found = a.join(timeline.impact(a, view(spark, sf_dir, "event_traces").select("ts", "failed")), "ts").filter("before_n + after_n > 0")
+    return found.groupBy("entry_id", "rule_id").agg(*[F.sum(c).alias(c) for c in ("before_n", "after_n", "before_passed", "after_passed")])
+
+
 def marker_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of each tenant's daily deploys: positions in seconds, 5 % of the axis wide."""
     a = view(spark, sf_dir, "audit").filter("action = 'rule.deploy' and entry_id % 20 = 0").select("tenant_id", F.unix_timestamp("ts").alias("x"))
@@ -178,7 +185,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, mode: str) -> DataFrame
 STREAMS = {"stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_first_failure": "append", "stream_sessionize": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
 QUERIES = {f.__name__: f for f in (
     extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingest_rejects, explode_spans, parse_json_cols,
-    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, marker_clusters)}
+    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, rule_impact, marker_clusters)}
 QUERIES |= {k: partial(_stream, name=k, mode=m) for k, m in STREAMS.items()}
 
 _U = "strftime({0}, '%Y-%m-%d %H:%M:%S')"

@@ -76,7 +76,7 @@ SQL: dict[str, str] = {
     "citation_source_join": """select c.trace_id, p.page_id, p.url from cited_outputs c join pages p on contains(c.output, concat('see ', p.url, ',')) and p.page_id = c.trace_id % (select count(*) from pages)""",
     "rule_impact": """select a.entry_id, a.rule_id, cast(count_if(e.ts < a.ts) as bigint) as before_n, cast(count_if(e.ts >= a.ts) as bigint) as after_n,
       cast(count_if(e.ts < a.ts and not e.failed) as bigint) as before_passed, cast(count_if(e.ts >= a.ts and not e.failed) as bigint) as after_passed
-      from (select * from audit where action = 'rule.deploy' and entry_id % 100 = 0) a join event_traces e on cast(e.ts as date) >= cast(@[shift:a.ts;1] as date) and cast(e.ts as date) <= cast(@[shift:a.ts;-1] as date) and e.ts >= @[shift:a.ts;1] and e.ts < @[shift:a.ts;-1]
+      from (select * from audit where action = 'rule.deploy') a join event_traces e on cast(e.ts as date) >= cast(@[shift:a.ts;1] as date) and cast(e.ts as date) <= cast(@[shift:a.ts;-1] as date) and e.ts >= @[shift:a.ts;1] and e.ts < @[shift:a.ts;-1]
       group by a.entry_id, a.rule_id""",
     # Moments
     "rule_snapshot": """select tenant_id, trace_id, failed, n_skipped, n_passed, n_total from moments where n_total > 0""",
@@ -93,7 +93,7 @@ SQL: dict[str, str] = {
     "novel_pattern": """select tenant_id, agent_name, failed, min_by(trace_id, concat(cast(ts as string), '|', lpad(cast(trace_id as string), 12, '0'))) as first_trace, count(*) as times from moments where failed <> '' group by tenant_id, agent_name, failed""",
     "rule_suggestion": f"""select tenant_id, trace_id, case when n_safety_failed > 0 then 'regex_no_match' when contains(failed, 'output_length') then 'min_length' when contains(failed, 'cost_under_threshold') then 'cost_threshold' else 'contains_keywords' end as template
       from moments where failed <> ''""",
-    "bulk_pattern": """select failed as pattern, count(*) as moments from moments where trace_id % 7 = 0 and failed <> '' group by failed""",
+    "bulk_pattern": """select failed as pattern, count(*) as moments from moments where failed <> '' group by failed""",
     # Aggregations
     "dashboard_summary": f"""select count(*) as traces, {r('avg(t.latency_ms)', 2)} as avg_latency, {cents('t.cost_usd')} as cost, {r('cast(count_if(e.trace_id is not null) as double) / count(*)', 4)} as error_rate, {r('cast(sum(coalesce(v.n_passed_evals, 0)) as double) / nullif(sum(coalesce(v.n_evals, 0)), 0)', 4)} as eval_pass_rate
       from agent_traces t left join (select distinct tenant_id, trace_id from spans where status_code = 'ERROR') e on e.tenant_id = t.tenant_id and e.trace_id = t.trace_id
