@@ -36,3 +36,24 @@ def impact(entries: DataFrame, events: DataFrame) -> DataFrame:
         return F.sum(F.when(F.col("side") == early, total - so_far).when(F.col("side") == early + 1, so_far).otherwise(0))
 
     return since.groupBy("ts").agg(part("n", -1).alias("before_n"), part("n", 0).alias("after_n"), part("passed", -1).alias("before_passed"), part("passed", 0).alias("after_passed"))
+
+
+def clusters(entries: DataFrame, share: float = 0.05) -> DataFrame:
+    """(tenant_id, first, n): greedy clusters of each tenant's positions, of (tenant_id, x long): one joins
+    while within ``share`` of the tenant's axis of its cluster's first position.
+
+    Equal positions are counted first. Each round finds every tenant's next first position as a grouped
+    minimum beyond the reach of the last; as firsts are more than the share apart, rounds are at most
+    1 / share. The firsts are few, a cluster's members are counted by a join with them."""
+    positions = entries.filter("x is not null").groupBy("tenant_id", "x").agg(F.count("*").alias("n")).persist()
+    low, high = F.min("x"), F.max("x")
+    last = positions.groupBy("tenant_id").agg(low.alias("first"), ((high - low) * share).cast("long").alias("width")).localCheckpoint()
+    firsts = last
+    while not last.isEmpty():
+        beyond = F.col("p.tenant_id").eqNullSafe(F.col("l.tenant_id")) & (F.col("x") > F.col("first") + F.col("width"))
+        last = positions.alias("p").join(last.alias("l"), beyond).groupBy("l.tenant_id", "width").agg(F.min("x").alias("first")).select("tenant_id", "first", "width").localCheckpoint()
+        firsts = firsts.unionAll(last)
+    within = F.col("p.tenant_id").eqNullSafe(F.col("f.tenant_id")) & F.col("x").between(F.col("first"), F.col("first") + F.col("width"))
+    found = positions.alias("p").join(firsts.alias("f"), within).groupBy("f.tenant_id", "first").agg(F.sum("n").alias("n")).localCheckpoint()
+    positions.unpersist()
+    return found

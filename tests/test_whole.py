@@ -41,3 +41,35 @@ def test_impact_at_edges(spark):
 def test_every_failing_moment_is_in_a_pattern(spark):
     want = Counter(r["failed"] for r in view(spark, FOLDER, "moments").filter("failed <> ''").collect())
     assert {r["pattern"]: r["moments"] for r in QUERIES["bulk_pattern"](spark, FOLDER).collect()} == want
+
+
+def greedy(entries):
+    """(tenant, first, n) by the plain walk over sorted positions."""
+    out = []
+    for tenant in {t for t, _ in entries}:
+        xs = sorted(x for t, x in entries if t == tenant)
+        width, found = int((xs[-1] - xs[0]) * 0.05), []
+        for x in xs:
+            if found and x - found[-1][1] <= width:
+                found[-1][2] += 1
+            else:
+                found.append([tenant, x, 1])
+        out += map(tuple, found)
+    return sorted(out, key=repr)
+
+
+def test_every_deploy_joins_a_cluster(spark):
+    deploys = view(spark, FOLDER, "audit").filter("action = 'rule.deploy'").selectExpr("tenant_id", "unix_timestamp(ts) as x").collect()
+    df = QUERIES["marker_clusters"](spark, FOLDER)
+    got = sorted(((r["tenant_id"], r["first"], r["n"]) for r in df.collect()), key=repr)
+    assert sum(n for *_, n in got) == len(deploys) == 250
+    assert got == greedy([tuple(r) for r in deploys])
+    assert dict(df.dtypes) == {"tenant_id": "string", "first": "bigint", "n": "int"}
+
+
+def test_clusters_at_edges(spark):
+    r = random.Random(2)
+    entries = [("a", r.randrange(1000)) for _ in range(300)] + [("b", 7)] * 3 + [("c", x) for x in (0, 4, 5, 6, 10, 11, 100)] + [(None, x) for x in (-50, 50)]
+    got = [(x["tenant_id"], x["first"], x["n"]) for x in timeline.clusters(spark.createDataFrame(entries, "tenant_id string, x long")).collect()]
+    assert sorted(got, key=repr) == greedy(entries)
+    assert timeline.clusters(spark.createDataFrame([], "tenant_id string, x long")).collect() == []
