@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,7 @@ BLOCKED_IPV4 = r"^(?:127\.|169\.254\.|10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\
 #: Characters of text around a citation.
 REACH = 200
 _COMPILED = {k: re.compile(p, re.ASCII if k != "author_year" else 0) for k, p in PATTERNS.items()}
+_SPACE = re.compile(r"\s")
 _ENDS = ".,;:!?)\"'>"
 CITATION = "kind string, identifier string, start int, end int, context string"
 
@@ -39,8 +41,9 @@ def _found(text: str) -> list[tuple[str, str, int, int, str]]:
             else:
                 name = m[1].strip()
             if kind == "url":
-                urls.append((start, m.end()))
-            if kind == "doi" and any(a <= start and not re.search(r"\s", text[a:start]) for a, _ in urls):
+                urls.append(start)
+            # Of the URLs that begin before a DOI, the nearest alone decides: space after it is after all.
+            if kind == "doi" and (i := bisect_right(urls, start)) and not _SPACE.search(text, urls[i - 1], start):
                 continue
             lo, hi = max(0, start - REACH), min(len(text), end + REACH)
             out.append((kind, name, start, end, ("…" if lo else "") + text[lo:hi] + ("…" if hi < len(text) else "")))

@@ -66,7 +66,7 @@ from {_LINES}""",
   value / 1000 as cost_usd, event_type = 'error' failed, @[prop_k] k from events""",
     "conv_traces": """select u.conv_id * 100 + u.turn trace_id, u.conv_id, u.text as input, a.text as output
 from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'""",
-    "cited_outputs": """select d.doc_id trace_id, concat(substring(d.text, 1, 300), ' [1] see ', p.url, ', also [2] 10.1234/ab.', cast(d.doc_id as string), ' (Smith et al., 2019).') as output
+    "cited_outputs": """select d.doc_id trace_id, concat(coalesce(d.text, ''), ' [1] see ', p.url, ', also [2] 10.1234/ab.', cast(d.doc_id as string), ' (Smith et al., 2019).') as output
 from documents d join pages p on p.page_id = d.doc_id % (select count(*) from pages)""",
     # Rule lifecycle entries.
     "audit": """select event_id entry_id, concat('t', cast(user_id % 3 as string)) tenant_id, ts,

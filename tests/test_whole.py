@@ -2,9 +2,10 @@
 
 import datetime as dt
 import random
+import re
 from collections import Counter
 
-from assaywork.operators import timeline
+from assaywork.operators import citations, timeline
 from assaywork.plans import catalog
 from assaywork.sources.views import view
 from tests.test_queries import FOLDER
@@ -73,3 +74,34 @@ def test_clusters_at_edges(spark):
     got = [(x["tenant_id"], x["first"], x["n"]) for x in timeline.clusters(spark.createDataFrame(entries, "tenant_id string, x long")).collect()]
     assert sorted(got, key=repr) == greedy(entries)
     assert timeline.clusters(spark.createDataFrame([], "tenant_id string, x long")).collect() == []
+
+
+def plain_citations(text):
+    """(kind, identifier, start) by the patterns, over the whole text."""
+    urls = [m.start() for m in re.finditer(citations.PATTERNS["url"], text, re.ASCII)]
+    out = []
+    for kind, pattern in citations.PATTERNS.items():
+        for m in re.finditer(pattern, text, 0 if kind == "author_year" else re.ASCII):
+            name = m[0].rstrip(".,;:!?)\"'>") if kind in ("url", "doi") else m[1].strip()
+            if kind != "doi" or not any(u <= m.start() and not re.search(r"\s", text[u : m.start()]) for u in urls):
+                out.append((kind, name, m.start()))
+    return sorted(out, key=lambda c: c[2])
+
+
+def test_cited_outputs_are_whole_texts(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    outputs = {r["trace_id"]: r["output"] for r in view(spark, FOLDER, "cited_outputs").collect()}
+    assert max(map(len, texts.values())) > 10000 and outputs.keys() == texts.keys()
+    assert all(outputs[k].startswith(f"{t} [1] see ") for k, t in texts.items())
+    want = sorted((k, *c) for k, t in outputs.items() for c in plain_citations(t))
+    got = QUERIES["extract_citations"](spark, FOLDER).select("trace_id", "kind", "identifier", "start").collect()
+    assert sorted(map(tuple, got)) == want
+    assert {r[0] for r in QUERIES["dedupe_sources"](spark, FOLDER).collect()} == {c[2] for c in want if c[1] in ("url", "doi")}
+
+
+def test_citations_of_a_long_text(spark):
+    part = "word " * 100 + "http://a.org/10.1234/x, 10.1234/y [3] https://b.org/z(10.5555/q http://c.org/10.1234/w) "
+    text = part * 60
+    got = citations.extract(spark.createDataFrame([(1, text), (2, None), (3, "")], "trace_id long, output string"))
+    assert [(r["kind"], r["identifier"], r["start"]) for r in got.orderBy("place").collect()] == plain_citations(text)
+    assert got.filter("start > 300").count() == got.count()
