@@ -45,6 +45,11 @@ def citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.verdicts(c)
 
 
+def citation_source_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return citations.with_sources(citations.extract(view(spark, sf_dir, "cited_outputs")), pages)
+
+
 def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = judge.requests(view(spark, sf_dir, "text_traces"), "correctness")
     return r.select("trace_id", F.length("user").alias("n_user"), "rejected")
@@ -182,7 +187,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, mode: str) -> DataFrame
 
 STREAMS = {"stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_first_failure": "append", "stream_sessionize": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
 QUERIES = {f.__name__: f for f in (
-    extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingest_rejects, explode_spans, parse_json_cols,
+    extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, citation_source_join, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingest_rejects, explode_spans, parse_json_cols,
     ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, rule_impact, marker_clusters)}
 QUERIES |= {k: partial(_stream, name=k, mode=m) for k, m in STREAMS.items()}
 

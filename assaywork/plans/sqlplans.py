@@ -73,7 +73,6 @@ SQL: dict[str, str] = {
       select entry_id, action, max(bucket) over (order by at_ts, is_entry, entry_id rows between unbounded preceding and current row) as bucket, is_entry from (
         select ts as at_ts, cast(null as bigint) as entry_id, cast(null as string) as action, ts as bucket, 0 as is_entry from (select distinct cast(date_trunc('day', ts) as @[ntz]) as ts from event_traces) b
         union all select ts, entry_id, action, cast(null as @[ntz]), 1 from audit where action in ('rule.deploy', 'rule.delete')) u) w where is_entry = 1 and bucket is not null""",
-    "citation_source_join": """select c.trace_id, p.page_id, p.url from cited_outputs c join pages p on contains(c.output, concat('see ', p.url, ',')) and p.page_id = c.trace_id % (select count(*) from pages)""",
     "rule_impact": """select a.entry_id, a.rule_id, cast(count_if(e.ts < a.ts) as bigint) as before_n, cast(count_if(e.ts >= a.ts) as bigint) as after_n,
       cast(count_if(e.ts < a.ts and not e.failed) as bigint) as before_passed, cast(count_if(e.ts >= a.ts and not e.failed) as bigint) as after_passed
       from (select * from audit where action = 'rule.deploy') a join event_traces e on cast(e.ts as date) >= cast(@[shift:a.ts;1] as date) and cast(e.ts as date) <= cast(@[shift:a.ts;-1] as date) and e.ts >= @[shift:a.ts;1] and e.ts < @[shift:a.ts;-1]

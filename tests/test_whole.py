@@ -105,3 +105,28 @@ def test_citations_of_a_long_text(spark):
     got = citations.extract(spark.createDataFrame([(1, text), (2, None), (3, "")], "trace_id long, output string"))
     assert [(r["kind"], r["identifier"], r["start"]) for r in got.orderBy("place").collect()] == plain_citations(text)
     assert got.filter("start > 300").count() == got.count()
+
+
+def test_citations_meet_every_source_that_has_them(spark):
+    outputs = [(1, "see http://a.org/x, 10.1234/ab. and (http://b.org/none) [1]"), (2, "10.1234/ab https://doi.org/10.1234/ab http://a.org/x"), (3, "no source (Smith, 2019)"), (4, None)]
+    pages = [(10, "http://a.org/x"), (11, " http://a.org/x "), (12, "https://doi.org/10.1234/ab"), (13, "10.1234/ab"), (14, "http://c.org/"), (15, None)]
+    norm = lambda x: "https://doi.org/" + x if re.match(r"10\.\d{4,9}/", x) else x
+    want = []
+    for k, text in outputs:
+        for place, (kind, name, _) in enumerate(plain_citations(text or "")):
+            if kind in ("url", "doi"):
+                want += [(k, place, name, *p) for p in pages if p[1] and norm(p[1].strip()) == norm(name)] or [(k, place, name, None, None)]
+    got = citations.with_sources(citations.extract(spark.createDataFrame(outputs, "trace_id long, output string")), spark.createDataFrame(pages, "page_id long, url string"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert len(want) == 11
+
+
+def test_source_join_keeps_all_citations(spark):
+    pages = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url").collect()]
+    want = Counter()
+    for r in view(spark, FOLDER, "cited_outputs").collect():
+        for place, (kind, name, _) in enumerate(plain_citations(r["output"])):
+            if kind in ("url", "doi"):
+                source = f"https://doi.org/{name}" if kind == "doi" else name
+                want.update([(r["trace_id"], place, name, *p) for p in pages if p[1] == source] or [(r["trace_id"], place, name, None, None)])
+    assert Counter(map(tuple, QUERIES["citation_source_join"](spark, FOLDER).collect())) == want
