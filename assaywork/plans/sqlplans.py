@@ -121,7 +121,8 @@ SQL: dict[str, str] = {
       from ({PERIODS}) p group by agent_name having count_if(win = 'current') >= 3 or count_if(win = 'prior') >= 3) x where delta is not null order by abs(delta) desc, agent_name limit 5""",
     "change_banner": f"""select win, {r(_PASS, 4)} as pass_rate, {cents('cost_usd')} as cost, count(distinct case when verdict <> 'pass' and kind <> 'normal-pass' then kind end) as failure_kinds from ({PERIODS}) p group by win""",
     "kpi_vs_prior": f"""select {r("cast(count_if(win = 'current' and verdict = 'pass') as double) / count_if(win = 'current')", 4)} as pass_rate, {r("cast(count_if(win = 'prior' and verdict = 'pass') as double) / count_if(win = 'prior')", 4)} as prior_pass_rate, cast(sum(case when win = 'current' then eval_count else 0 end) as bigint) as evals, cast(sum(case when win = 'prior' then eval_count else 0 end) as bigint) as prior_evals from ({PERIODS}) p""",
-    "live_pulse": f"""select {r("cast(count_if(verdict = 'pass') as double) / count(*)", 4)} as pass_rate, cast(count_if(kind <> 'normal-pass') as bigint) as significant, cast(count_if(kind = 'safety-violation') as bigint) as safety from (select * from moments where significance >= 0.4 and ts < AS_OF order by ts desc, trace_id limit 50) x""",
+    "live_pulse": f"""select e.pass_rate, m.significant, m.safety from (select coalesce({r('cast(count_if(passed) as double) / nullif(count(*), 0)', 3)}, 0.0) as pass_rate from evals where {last('created_at', 1)}) e
+      join (select cast(count_if(kind <> 'normal-pass') as bigint) as significant, cast(count_if(kind = 'safety-violation') as bigint) as safety from (select * from moments where significance >= 0.4 and ts < AS_OF order by ts desc, trace_id limit 50) x) m on true""",
     "unread_audit": """select cast(count_if(ts > @[shift:EVENTS_AS_OF;0]) as bigint) as unread, count(*) as shown from (select * from audit order by ts desc, entry_id limit 10) x""",
     "category_rollup": """select coalesce(category, 'all') as category, coalesce(rule_name, 'all') as rule_name, count(*) as runs, cast(count_if(not passed) as bigint) as failures from (
       select case when rule_name in ('no_pii', 'no_injection_patterns') then 'safety' when rule_name in ('keyword_overlap', 'no_hallucination_markers') then 'relevance' when rule_name in ('cost_under_threshold', 'token_efficiency') then 'cost' else 'completeness' end as category, rule_name, passed from rule_results where not skipped) x group by rollup (category, rule_name)""",

@@ -130,3 +130,14 @@ def test_source_join_keeps_all_citations(spark):
                 source = f"https://doi.org/{name}" if kind == "doi" else name
                 want.update([(r["trace_id"], place, name, *p) for p in pages if p[1] == source] or [(r["trace_id"], place, name, None, None)])
     assert Counter(map(tuple, QUERIES["citation_source_join"](spark, FOLDER).collect())) == want
+
+
+def test_live_pulse_rates_all_evals_of_a_day(spark):
+    now = dt.datetime(1998, 6, 1)
+    evals = [r["passed"] for r in view(spark, FOLDER, "evals").collect() if now - dt.timedelta(days=1) <= r["created_at"] < now]
+    newest = sorted((r for r in view(spark, FOLDER, "moments").collect() if r["significance"] >= 0.4 and r["ts"] < now), key=lambda r: (-r["ts"].timestamp(), r["trace_id"]))[:50]
+    assert evals and len(newest) == 50
+    want = (int(1000 * sum(evals) / len(evals) + 0.5) / 1000, sum(r["kind"] != "normal-pass" for r in newest), sum(r["kind"] == "safety-violation" for r in newest))
+    assert tuple(QUERIES["live_pulse"](spark, FOLDER).first()) == want
+    old = sum(r["verdict"] == "pass" for r in newest) / 50
+    assert abs(want[0] - old) > 0.01
