@@ -57,3 +57,12 @@ def clusters(entries: DataFrame, share: float = 0.05) -> DataFrame:
     found = positions.alias("p").join(firsts.alias("f"), within).groupBy("f.tenant_id", "first").agg(F.sum("n").alias("n")).localCheckpoint()
     positions.unpersist()
     return found
+
+
+def at_or_before(entries: DataFrame, days: DataFrame) -> DataFrame:
+    """``entries`` with the latest of the distinct ``days`` (bucket) at or before their ts; without those
+    before the first. Only the table of distinct days is sorted as a whole."""
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    known = days.select("bucket", F.col("bucket").alias("day")).unionByName(entries.select(day.alias("day")).distinct(), allowMissingColumns=True)
+    known = known.groupBy("day").agg(F.max("bucket").alias("bucket")).select("day", F.max("bucket").over(Window.orderBy("day")).alias("bucket"))
+    return entries.withColumn("day", day).join(known.filter("bucket is not null"), "day").drop("day")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assaywork.operators import citations, judge, spans, timeline
 from assaywork.sources import ingest
-from assaywork.sources.views import oracle, view
+from assaywork.plans.sqlplans import AS_OF
+from assaywork.sources.views import oracle, render, view
 from assaywork.streaming import jobs
 
 
@@ -167,6 +168,33 @@ def span_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.tree(view(spark, sf_dir, "spans"))
 
 
+def _page(rows: DataFrame, order: list[Column], columns: list[str], n: int = 50) -> DataFrame:
+    """The first rows in order, ranked, with the number of all."""
+    top = rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("int"))
+    return top.crossJoin(rows.agg(F.count("*").alias("total"))).select("rank", *columns, "total")
+
+
+def _last_days(c: str, days: int) -> str:
+    return render(f"{c} >= @[shift:{AS_OF};{days}] and {c} <= {AS_OF}", "spark")
+
+
+# The SQL of the next three, in ``sqlplans``, is their oracle.
+def query_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = view(spark, sf_dir, "agent_traces").filter("agent_name = 'agent-7' and framework is not null and " + _last_days("ts", 720))
+    return _page(t, [F.desc("ts"), F.asc("trace_id")], ["trace_id", "agent_name", "framework", "cost_usd", "latency_ms"])
+
+
+def query_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = view(spark, sf_dir, "evals").filter("eval_type = 'safety' and not passed and " + _last_days("created_at", 365))
+    return _page(e, [F.desc("created_at"), F.asc("trace_id"), F.asc("eval_type")], ["trace_id", "eval_type", "score", "passed"])
+
+
+def annotate_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = view(spark, sf_dir, "event_traces").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("bucket")).distinct()
+    a = view(spark, sf_dir, "audit").filter("action in ('rule.deploy', 'rule.delete')").select("entry_id", "action", "ts")
+    return timeline.at_or_before(a, days).select("entry_id", "action", F.col("bucket").cast("string").alias("bucket"))
+
+
 def rule_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the day before and the day from each deploy on. Its SQL, in ``sqlplans``, is the oracle."""
     a = view(spark, sf_dir, "audit").filter("action = 'rule.deploy'").select("entry_id", "rule_id", "ts")
@@ -188,7 +216,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, mode: str) -> DataFrame
 STREAMS = {"stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_first_failure": "append", "stream_sessionize": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
 QUERIES = {f.__name__: f for f in (
     extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, citation_source_join, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingest_rejects, explode_spans, parse_json_cols,
-    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, rule_impact, marker_clusters)}
+    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, query_traces, query_evals, annotate_trend, rule_impact, marker_clusters)}
 QUERIES |= {k: partial(_stream, name=k, mode=m) for k, m in STREAMS.items()}
 
 _U = "strftime({0}, '%Y-%m-%d %H:%M:%S')"

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from assaywork.operators import citations, timeline
 from assaywork.plans import catalog
 from assaywork.sources.views import view
@@ -141,3 +143,22 @@ def test_live_pulse_rates_all_evals_of_a_day(spark):
     assert tuple(QUERIES["live_pulse"](spark, FOLDER).first()) == want
     old = sum(r["verdict"] == "pass" for r in newest) / 50
     assert abs(want[0] - old) > 0.01
+
+
+@pytest.mark.parametrize("name", ["annotate_trend", "query_traces", "query_evals"])
+def test_no_window_over_all_rows(spark, name):
+    """What a window without partition reads is cut to a page or grouped by day before."""
+    plan = [x.strip(" :+-") for x in QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    whole = [i for i, x in enumerate(plan) if x.startswith("Window [") and x.count("], [") == 1]
+    assert whole
+    for i in whole:
+        below = next(x for x in plan[i + 1 :] if not x.startswith("Project"))
+        assert below.startswith(("GlobalLimit", "Aggregate [day")), plan[i : i + 3]
+
+
+def test_bucket_at_or_before(spark):
+    hour = dt.timedelta(hours=1)
+    days = [START + d * 24 * hour for d in (0, 1, 5)]
+    entries = [(i, START + h * hour) for i, h in enumerate((-1, 0, 23, 24, 60, 119, 120, 500))]
+    got = timeline.at_or_before(spark.createDataFrame(entries, "entry_id long, ts timestamp_ntz"), spark.createDataFrame([(d,) for d in days], "bucket timestamp_ntz"))
+    assert {r["entry_id"]: r["bucket"] for r in got.collect()} == {i: max(d for d in days if d <= t) for i, t in entries if t >= START}
