@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,15 @@ def impact(entries: DataFrame, events: DataFrame) -> DataFrame:
     return since.groupBy("ts").agg(part("n", -1).alias("before_n"), part("n", 0).alias("after_n"), part("passed", -1).alias("before_passed"), part("passed", 0).alias("after_passed"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Written to the folder that all executors share, and read back."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-assay-")
+    path = f"{shared.rstrip('/')}/timeline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def clusters(entries: DataFrame, share: float = 0.05) -> DataFrame:
     """(tenant_id, first, n): greedy clusters of each tenant's positions, of (tenant_id, x long): one joins
     while within ``share`` of the tenant's axis of its cluster's first position.
@@ -47,14 +59,14 @@ def clusters(entries: DataFrame, share: float = 0.05) -> DataFrame:
     1 / share. The firsts are few, a cluster's members are counted by a join with them."""
     positions = entries.filter("x is not null").groupBy("tenant_id", "x").agg(F.count("*").alias("n")).persist()
     low, high = F.min("x"), F.max("x")
-    last = positions.groupBy("tenant_id").agg(low.alias("first"), ((high - low) * share).cast("long").alias("width")).localCheckpoint()
+    last = _written(positions.groupBy("tenant_id").agg(low.alias("first"), ((high - low) * share).cast("long").alias("width")))
     firsts = last
     while not last.isEmpty():
         beyond = F.col("p.tenant_id").eqNullSafe(F.col("l.tenant_id")) & (F.col("x") > F.col("first") + F.col("width"))
-        last = positions.alias("p").join(last.alias("l"), beyond).groupBy("l.tenant_id", "width").agg(F.min("x").alias("first")).select("tenant_id", "first", "width").localCheckpoint()
+        last = _written(positions.alias("p").join(last.alias("l"), beyond).groupBy("l.tenant_id", "width").agg(F.min("x").alias("first")).select("tenant_id", "first", "width"))
         firsts = firsts.unionAll(last)
     within = F.col("p.tenant_id").eqNullSafe(F.col("f.tenant_id")) & F.col("x").between(F.col("first"), F.col("first") + F.col("width"))
-    found = positions.alias("p").join(firsts.alias("f"), within).groupBy("f.tenant_id", "first").agg(F.sum("n").alias("n")).localCheckpoint()
+    found = _written(positions.alias("p").join(firsts.alias("f"), within).groupBy("f.tenant_id", "first").agg(F.sum("n").alias("n")))
     positions.unpersist()
     return found
 
