@@ -32,10 +32,19 @@ CACHE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Characters that end a word of letters and start none of the tokenizer's own (no apostrophe, which
+#: contractions begin with, and none of the marks of special tokens).
+MARKS = ".,;:!?()[]{}\"-_#*/\\%&$@+=~^`"
+#: The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the
+#: others in order from 256 on.
+_BYTES = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))})
+
+
 class WordTokens(dict):
-    """Ids of a text by a tokenizer that drops white space, so that each run between white space can
-    be encoded on its own; the ids of runs that were met before are looked up. Of at most ``most``
-    runs: beyond that it starts anew."""
+    """Ids of a text by a tokenizer that drops white space, lower-cases, and splits at whatever isn't a
+    letter, so that each run between white space can be encoded on its own, and a word of letters apart
+    from the marks around it and in lower case. The ids of runs that were met before are looked up. Of at
+    most ``most`` runs: beyond that it starts anew."""
 
     def __init__(self, path: str, most: int = CACHE):
         import os
@@ -44,10 +53,29 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.encode, self.most = Tokenizer.from_file(path).encode, most
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.word, self.most = tokenizer.encode, tokenizer.model.tokenize, most
+        for probe in ("(Stone),", "stone...", "ÉtéÑ!", "\"Über-\""):
+            if self.ids(probe) != self._encoded(probe):
+                raise ValueError(f"{path}: not a tokenizer of lower-case words")
+
+    def _encoded(self, run: str) -> bytes:
+        return np.array(self.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _made(self, run: str) -> bytes:
+        core = run.strip(MARKS)
+        if not core.isalpha() or max(core) > "\xff":
+            return self._encoded(run)
+        if len(core) < len(run):
+            at = run.index(core)
+            return self[run[:at]] + self[core] + self[run[at + len(core) :]]
+        low = run.lower()
+        if low != run:
+            return self[low]
+        return np.array([t.id for t in self.word(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        ids = np.array(self.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._made(run)
         if len(run) <= 64:
             self[run] = ids
         return ids
