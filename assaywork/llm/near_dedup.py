@@ -9,10 +9,13 @@ Jaccard similarity. Points are made only up to the time by which all places are
 depends on the total weight; texts with an empty place go on with twice that time.
 
 Texts with the same multiset are one class from the start. Between class representatives, texts that
-agree in a band are candidates. Nothing is emitted per pair of a bucket: each bucket compares all its
-members with one pivot at a time, and is done when its members are in one component or every pair
-between components was compared. So a bucket of thousands of copies costs one comparison each. Pairs that
-the lengths, the distances from the first pivot or a sketch of the whole multiset rule out aren't compared. Links are what has an exact multiset similarity of at least the threshold.
+agree in a band are candidates. Nothing is emitted per pair of a bucket: each bucket compares its members
+with one pivot, so a bucket of thousands of copies costs one comparison each. Where that leaves a bucket in
+several components, its texts are open: links between components are found by an exact prefix filter. The
+shingles of a text are put in order of the number of open texts that have them; two texts of the asked
+similarity share one among the first few of each, at places that leave enough in common behind them. Shingles
+of one text alone come first and meet nobody, so variants that differ too much are never paired, however many
+they are. Every candidate is verified on whole multisets; links are what has at least the threshold.
 
 Defined results: texts without words are alike to nothing, each is its own class; rows with a null id
 get a null class; repeated rows of one id are one document; other columns play no part.
@@ -25,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import drop_staged, release, stage, stage_measured, table
+from assaywork.llm.common import drop_staged, stage, table
 from assaywork.llm.components import components
 from assaywork.llm.textkernel import JOIN, WHITE, Chunk, chunks, gram, mix, uniform, words
 
@@ -36,11 +39,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**20, about 3 in 100,000.
 BANDS, ROWS = 20, 4
-#: Pivots of a bucket that the second round compares with the bucket's members; each later round
-#: takes eight times as many, so rounds grow with the logarithm of what is left.
-PIVOTS = 16
-#: Bins of a sketch; a power of two of at least 16.
-BINS = 256
+#: Classes of lengths between a length and the least that is as similar.
+CLASSES = 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,19 +121,9 @@ def copies(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return mix(np.repeat(element, weight) + i.astype(np.uint64) * _STEP)
 
 
-def bin_sketch(n: int, at: np.ndarray, element: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The copies of a text's shingles are dealt into BINS by their upper bits; four bits of the least in
-    each (0: none), 16 bins to a long. Bins that either text has agree as the multisets' similarity."""
-    v = copies(element, weight)
-    least = np.full(n * BINS, np.iinfo(np.uint64).max)
-    np.minimum.at(least, np.repeat(at, weight) * BINS + (v >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), v)
-    four = np.where(least == np.iinfo(np.uint64).max, np.uint64(0), np.uint64(1) + (mix(least) >> np.uint64(32)) % np.uint64(15)).reshape(n, -1, 16)
-    return (four << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-
-
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, weight (number of shingles), same_a, same_b (a digest of the multiset), keys (one per
-    band), sketch (see bin_sketch)."""
+    band)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coefficient = JOIN[:rows]
@@ -150,25 +140,10 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                     digest.append(v.view(np.int64))
                 sig = bag_minhash(n, d, e, w, bands * rows).view(np.uint64).reshape(n, bands, rows)
                 key = mix(mix(sig * coefficient).sum(2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * (BINS // 16), pa.int32()), pa.array(bin_sketch(n, d, e, w).ravel()))
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.ravel()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array(total), *map(pa.array, digest), keys, sketch], ["doc_id", "weight", "same_a", "same_b", "keys", "sketch"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, weight long, same_a long, same_b long, keys array<long>, sketch array<long>")
-
-
-def likely(x: Column, y: Column, least: float) -> Column:
-    """Whether two sketches differ in as few bins as those of texts of similarity ``least`` do, but for
-    about one pair in 50,000 (4.1 standard deviations)."""
-
-    def filled(v: Column) -> Column:
-        any_bit = v.bitwiseOR(F.shiftrightunsigned(v, 1)).bitwiseOR(F.shiftrightunsigned(v, 2)).bitwiseOR(F.shiftrightunsigned(v, 3))
-        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array(total), *map(pa.array, digest), keys], ["doc_id", "weight", "same_a", "same_b", "keys"])
 
-    parts = [(F.get(x, F.lit(i)), F.get(y, F.lit(i))) for i in range(BINS // 16)]
-    differ, used = (sum((filled(f(a, b)) for a, b in parts), F.lit(0)) for f in (lambda a, b: a.bitwiseXOR(b), lambda a, b: a.bitwiseOR(b)))
-    p = (1 - least) * 14 / 15
-    return differ <= used * p + 4.1 * F.sqrt(used * (p * (1 - p))) + 1
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, weight long, same_a long, same_b long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -208,69 +183,82 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double")
 
 
+def prefix_entries(sets: DataFrame, least: float) -> DataFrame:
+    """(id, root, w, item, at): the places of each multiset's items in order of their frequency in
+    ``sets`` (id, root, items), as far as an item can be the first that it has in common with one as similar
+    as ``least``. Items that no other has are counted, not returned."""
+
+    def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                v = [np.frombuffer(x.as_buffer(), np.int64) for x in part["items"]]
+                n = np.array([len(x) for x in v])
+                row = pa.array(np.repeat(np.arange(len(v)), n))
+                yield pa.RecordBatch.from_arrays([part["id"].take(row), part["root"].take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(v))], ["id", "root", "w", "item"])
+
+    flat = sets.select("id", "root", "items").mapInArrow(flatten, "id long, root long, w long, item long")
+    shared = flat.join(flat.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"), "item")
+    of_text = Window.partitionBy("id")
+    at = F.col("w") - F.count("*").over(of_text) + F.row_number().over(of_text.orderBy("n", "item")) - 1
+    return shared.select("id", "root", "w", "item", at.alias("at")).filter(F.col("at") <= F.col("w") * (1 - least) + 1e-6)
+
+
+def prefix_pairs(entries: DataFrame, least: float) -> DataFrame:
+    """(a, b): every pair of different roots that can be as similar as ``least``. Two multisets have so
+    much in common only if their first common item leaves ``part`` of both sizes from its place on in each.
+    So the shorter one has it early, and the longer one at a place that bounds the shorter one's length from
+    above. Lengths are dealt in classes, and roots are matched before their texts are, so that texts of one
+    component don't meet."""
+    part = least / (1 + least)
+    size_class = lambda n: F.floor(F.log(n) * (CLASSES / -math.log(least)))
+    short = entries.filter(F.col("w") - F.col("at") >= 2 * part * F.col("w") - 1e-6).select(
+        "item", size_class(F.col("w").cast("double")).alias("size"), F.col("root").alias("s_root"), F.col("id").alias("s_id"), F.col("w").alias("s_w"), F.col("at").alias("s_at"))
+    upper = F.least(F.col("w").cast("double"), (F.col("w") - F.col("at")) / part - F.col("w") + 1e-6)
+    lower = F.greatest(F.lit(1.0), F.col("w") * least - 1e-6)
+    long = entries.withColumn("upper", upper).filter(F.col("upper") >= lower).withColumn("size", F.explode(F.sequence(size_class(lower), size_class(F.col("upper")))))
+    roots = short.select("item", "size", "s_root").distinct()
+    met = long.join(roots, ["item", "size"]).filter("root <> s_root").join(short, ["item", "size", "s_root"])
+    enough = F.least(F.col("w") - F.col("at"), F.col("s_w") - F.col("s_at")) >= part * (F.col("w") + F.col("s_w")) - 1e-6
+    ordered = (F.col("s_w") < F.col("w")) | ((F.col("s_w") == F.col("w")) & (F.col("s_id") < F.col("id")))
+    return met.filter(enough & ordered).select(F.least("id", "s_id").alias("a"), F.greatest("id", "s_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, copy_of: the class (least id of all that it is linked with, itself included)
     and the least id among those with the same multiset of shingles. One row per document."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     signed = stage(signatures(docs, bands, rows, shingle))
     same = ["same_a", "same_b", "weight"]
-    firsts = signed.filter("weight > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min_by(F.struct("keys", "sketch"), "doc_id").alias("s"))
-    firsts = stage(firsts)
-    member = firsts.select(F.col("copy_of").alias("id"), F.col("weight").alias("w"), F.col("s.sketch").alias("sk"), F.explode("s.keys").alias("key"))
+    firsts = stage(signed.filter("weight > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min_by("keys", "doc_id").alias("keys")))
+    member = firsts.select(F.col("copy_of").alias("id"), F.explode("keys").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stage(member.join(sizes, "key"))
-    # A bucket's first pivot is the member that shares buckets with the most others: in a group of
-    # copies that is what they were made from, which most of them are linked with.
+    # A bucket's pivot is the member that shares buckets with the most others: in a group of copies
+    # that is what they were made from, which most of them are linked with.
     central = shared.groupBy("id").agg(F.struct(F.sum("n").alias("n"), (-F.col("id")).alias("i")).alias("rank"))
-    ranked = shared.drop("n").join(central, "id")
-    first_pivot = ranked.groupBy("key").agg(F.max_by(F.struct("id", "w", "sk"), "rank").alias("pivot"))
-    buckets = stage(ranked.join(first_pivot, "key").select("key", "id", "w", "sk", "rank", "pivot"))
+    pivot = shared.join(central, "id").groupBy("key").agg(F.max_by("id", "rank").alias("pivot"))
+    buckets = stage(shared.join(pivot, "key").select("key", "id", "pivot"))
+    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
+    sets = stage(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
     drop_staged(shared)
-    wanted = buckets.select("id").distinct()
-    sets = stage(shingle_sets(docs.join(wanted, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), shingle))
-    # Weights further apart aren't that similar, nor are distances from the bucket's first pivot (one less
-    # the similarity is a metric), nor sketches that differ in more bins.
-    near = (F.least("w", "p_w") >= F.greatest("w", "p_w") * least) & (F.abs(F.col("away") - F.col("p_away")) <= 1 - least + 1e-9) & likely(F.col("sk"), F.col("p_sk"), least)
-
-    # First round: every bucket's pivot against the others.
-    first = buckets.filter(F.col("id") != F.col("pivot.id")).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
-    stars = stage(similar(first.distinct(), sets, 0.0))
-    links = stars.filter(F.col("similarity") >= least)
-    compared = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    used = buckets.filter("id = pivot.id").select("key", "id")
-    root, pivots_now = stage(components(links)), PIVOTS
-    b = buckets.withColumn("p", F.col("pivot.id")).drop("pivot")
-    known = stars.select(F.col("a").alias("p"), F.col("b").alias("id"), (1 - F.col("similarity")).alias("away"))
-    state = b.join(known, ["p", "id"], "left").select("key", "id", "w", "sk", "rank", F.when(F.col("id") == F.col("p"), 0.0).otherwise(F.col("away")).alias("away"))
-    while True:
-        # Buckets whose members are in more than one component.
-        known = root.withColumnRenamed("id", "r_id")
-        labelled = state.join(known, state["id"] == known["r_id"], "left").select("key", "id", "w", "sk", "rank", "away", F.coalesce("root", "id").alias("root"))
-        by_root = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-        spread = by_root.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("roots > 1")
-        state = stage(labelled.join(spread, "key"))
-        # Their next pivots: members outside the largest component that weren't pivots yet.
-        free = state.filter("root <> main").join(used, ["key", "id"], "left_anti")
-        order = Window.partitionBy("key").orderBy(F.desc("rank"))
-        pivots, left = stage_measured(free.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= pivots_now).select("key", F.col("id").alias("p"), F.col("w").alias("p_w"), F.col("sk").alias("p_sk"), F.col("away").alias("p_away"), F.col("root").alias("p_root")), n=F.count(F.lit(1)))
-        if not left["n"]:
-            break
-        met = state.join(pivots, [state["key"] == pivots["key"], F.col("root") != F.col("p_root"), near]).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = stage(met.join(compared, ["a", "b"], "left_anti"))
-        found, new = stage_measured(similar(pairs, sets, least), n=F.count(F.lit(1)))
-        compared = compared.unionByName(pairs)
-        used = used.unionByName(pivots.select("key", F.col("p").alias("id")))
-        if new["n"]:
-            links = links.unionByName(found)
-            root = stage(components(links))
-        state = state.select("key", "id", "w", "sk", "rank", "away")
-        pivots_now *= 8
-        release(spark)
-    drop_staged(sets)
-
-    r = root.withColumnRenamed("id", "r_id")
-    of_first = firsts.join(r, F.col("copy_of") == F.col("r_id"), "left").select(*same, "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
+
+    stars = buckets.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    links = stage(similar(stars, sets, least))
+    root = stage(components(links))
+    # Buckets whose members are in more than one component.
+    labelled = buckets.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    spread = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
+    open_ = labelled.join(spread, "key", "left_semi").select("id", "root").distinct()
+    entries = stage(prefix_entries(sets.join(open_, "id"), least))
+    pairs = stage(prefix_pairs(entries, least))
+    found = stage(similar(pairs, sets, least))
+    final = stage(components(links.unionByName(found)))
+    for used in (buckets, sets, links, root, entries, pairs, found):
+        drop_staged(used)
+
+    r = final.withColumnRenamed("id", "copy_of")
+    of_first = firsts.select(*same, "copy_of").join(r, "copy_of", "left").select(*same, "copy_of", F.coalesce("root", "copy_of").alias("class_id"))
     out = signed.select("doc_id", *same).dropDuplicates(["doc_id"]).join(of_first, same, "left")
     own = F.col("weight") == 0
     return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"))
