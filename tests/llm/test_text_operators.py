@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -87,6 +88,43 @@ def test_packing_is_whole_and_gapless(spark, odd):
         assert at <= 64
 
 
+def naive_best_fit(lengths, capacity):
+    """Number of sequences, and the room left in each, by looking at all of them."""
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, x in enumerate(left) if x >= n]
+        if fits:
+            left[min(fits, key=lambda k: left[k])] -= n
+        else:
+            left.append(capacity - n)
+    return sorted(left)
+
+
+@pytest.mark.parametrize("capacity", [7, 64, 2048])
+def test_best_fit_matches_a_naive_one(capacity):
+    r = np.random.default_rng(capacity)
+    for _ in range(20):
+        lengths = r.integers(1, capacity + 1, int(r.integers(1, 200)))
+        sequence, offset = packing.best_fit_decreasing(lengths, capacity)
+        used = np.bincount(sequence, lengths).astype(int)
+        assert sorted((capacity - used).tolist()) == naive_best_fit(lengths.tolist(), capacity)
+        for s in range(len(used)):
+            own = sorted(zip(offset[sequence == s], lengths[sequence == s]))
+            assert [o for o, _ in own] == np.cumsum([0, *[n for _, n in own]])[:-1].tolist()
+
+
+def test_words_are_encoded_as_whole_texts_are():
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    whole, words = Tokenizer.from_file(path), packing.WordTokens(path, 500)
+    r = random.Random(2)
+    letters = "aBcé ÑßµªºÀ.,'s-!?<|>_1²٣Σİñ\u0301ſﬁ\xad\xa0\n\t$%"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(1, 30))) for _ in range(3000)]
+    for text in [*texts, "a<|endoftext|>b", "(<|startoftext|>)", "foo's, It'LL. don't..."]:
+        assert words.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_packing_splits_into_groups(spark):
     found = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id % 97 as length", "id as ids_crc32")
     got = packing.pack(found, 128, group=700).collect()
@@ -207,6 +245,42 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert len([r for r in got if r["doc_id"] is not None]) == len(want)
 
 
+def test_variants_of_one_text_match_brute_force(spark):
+    """Variants of different lengths and distances from one text, some of them alike among themselves."""
+    r = random.Random(5)
+    base, data = prose(7, 150).split(), []
+    for k in range(60):
+        words = list(base) if k % 3 else prose(8, 40).split() + base[:110]
+        for _ in range(r.randrange(8)):
+            at = r.randrange(len(words))
+            words[at : at + r.randrange(3)] = [f"x{r.randrange(10**6)}"] if r.random() < 0.6 else []
+        data.append((k, " ".join(words)))
+        if k % 7 == 0:
+            words[3] = "other"
+            data.append((500 + k, " ".join(words)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    want = brute_classes(data)
+    assert len(set(want.values())) > 5
+    assert {r["doc_id"]: r["class_id"] for r in got} == want
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    """All pairs of at least the similarity, across roots, from sets that overlap in every degree."""
+    r = np.random.default_rng(3)
+    sets = {}
+    for i in range(120):
+        n = int(r.integers(4, 40))
+        own = np.unique(r.integers(0, 60, n)) if i % 2 or not sets else np.array(sorted(set(sets[int(r.integers(0, i))].tolist()) ^ set(r.integers(0, 60, 3).tolist())))
+        sets[i] = own.astype(np.int64) if len(own) else np.array([1], np.int64)
+    rows = [(i, i % 50, bytearray(v.tobytes())) for i, v in sets.items()]
+    df = spark.createDataFrame(rows, "id long, root long, items binary")
+    for least in (0.5, 0.8):
+        got = {tuple(p) for p in near_dedup.prefix_pairs(near_dedup.prefix_entries(df, least), least).collect()}
+        alike = lambda a, b: len(set(sets[a].tolist()) & set(sets[b].tolist())) / len(set(sets[a].tolist()) | set(sets[b].tolist()))
+        want = {(a, b) for a in sets for b in sets if a < b and a % 50 != b % 50 and alike(a, b) >= least}
+        assert want and want <= got
+
+
 def test_signatures_estimate_multiset_similarity():
     r = np.random.default_rng(0)
     e = r.integers(1, 2**63, 400).astype(np.uint64)
