@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie over them, as flat arrays that can be mapped.
+"""Elias-Fano sequences and an n-gram trie of such levels, as flat arrays that can be mapped.
 
 A monotone sequence of n values under u takes about 2 + log2(u / n) bits a value: the low bits are
 packed, the high bits are written in unary. All queries are vectorised over many at a time."""
@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Ranges of at most so many values are searched without the high bits.
+NARROW = 8
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Place of the k-th one in a byte.
 _PLACE = np.zeros((256, 8), np.uint8)
@@ -74,16 +76,11 @@ class EliasFano:
         of x narrow the range to the values that share them, which is then halved."""
         if not self.n or not len(x):
             return hi.copy()
-        top = np.clip(x >> self.shift, 0, None)
-        last = int(self.zeros[-1]) - 1  # zeros past the last one included
-        def start(h: np.ndarray) -> np.ndarray:
-            out = np.full(len(h), self.n, np.int64)
-            out[h <= 0] = 0
-            k = (h > 0) & (h - 1 <= last)
-            out[k] = np.minimum(self._select(h[k] - 1, self.zeros, True) - (h[k] - 1), self.n)
-            return out
-
-        a, b = np.clip(start(top), lo, hi), np.clip(start(top + 1), lo, hi)
+        a, b = lo.copy(), hi.copy()
+        wide = np.flatnonzero(b - a > NARROW)
+        if len(wide):
+            top = np.clip(x[wide] >> self.shift, 0, None)
+            a[wide], b[wide] = (np.clip(self._first(t), lo[wide], hi[wide]) for t in (top, top + 1))
         open_ = np.flatnonzero(a < b)
         while len(open_):
             mid = (a[open_] + b[open_]) >> 1
@@ -93,62 +90,84 @@ class EliasFano:
             open_ = open_[a[open_] < b[open_]]
         return a
 
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        """The first place whose high bits are at least ``h``."""
+        last = int(self.zeros[-1]) - 1  # zeros past the last one included
+        out = np.full(len(h), self.n, np.int64)
+        out[h <= 0] = 0
+        k = (h > 0) & (h - 1 <= last)
+        out[k] = np.minimum(self._select(h[k] - 1, self.zeros, True) - (h[k] - 1), self.n)
+        return out
+
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.shift, len(self.low), len(self.high)], np.uint64), self.low, self.high]
 
 
 class Trie:
-    """Contexts (level one), pointers to their ranges, successors (level two) and a code of each.
+    """Levels of n-grams: the first words, then the successors of each n-gram of the level before, with
+    monotone pointers to their ranges, and 16-bit codes of each n-gram of each level.
 
-    Successors of a context are kept relative to it: its base, the last value before its range plus
-    one, is added, which makes the level one monotone sequence."""
+    Successors are kept relative to what they follow: a base, the last value before their range plus one,
+    is added, which makes a level one monotone sequence."""
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, values: list[EliasFano], pointers: list[EliasFano], codes: list[np.ndarray]):
+        self.values, self.pointers, self.codes = values, pointers, codes
 
     @classmethod
-    def of(cls, context: np.ndarray, successor: np.ndarray, code: np.ndarray) -> Trie:
-        """Of distinct pairs in order of (context, successor)."""
-        first = np.flatnonzero(np.diff(context, prepend=-1)) if len(context) else np.zeros(0, np.int64)
-        ends = np.append(first[1:], len(context)).astype(np.int64)
-        widths = successor[ends - 1] + 1 if len(first) else np.zeros(0, np.int64)
-        base = np.cumsum(widths) - widths
-        return cls(EliasFano.of(context[first]), EliasFano.of(np.append(first, len(context))), EliasFano.of(successor + np.repeat(base, ends - first)), code.astype(np.uint16))
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The code of each pair, 0 where it isn't there. Pairs in order of their context."""
-        out = np.zeros(len(context), np.uint16)
-        if not self.contexts.n or not len(context):
-            return out
-        own, at = np.unique(context, return_inverse=True)
-        n = np.full(len(own), self.contexts.n, np.int64)
-        place = self.contexts.successor(own, np.zeros_like(n), n)
-        safe = np.minimum(place, self.contexts.n - 1)
-        known = (place < n) & (self.contexts.get(safe) == own)
-        lo, hi = self.pointers.get(safe), self.pointers.get(safe + 1)
-        base = np.where(lo > 0, self.successors.get(np.maximum(lo - 1, 0)) + 1, 0)
-        pick = np.flatnonzero(known[at])
-        a = at[pick]
-        target = base[a] + successor[pick]
-        found = self.successors.successor(target, lo[a], hi[a])
-        hit = found < hi[a]
-        hit[hit] = self.successors.get(found[hit]) == target[hit]
-        out[pick[hit]] = self.codes[found[hit]]
+    def of(cls, first: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], codes: list[np.ndarray]) -> Trie:
+        """first: ascending words; levels: for each further one (place in the level before, word), in
+        order; every place has a successor. codes: an array a level, the first level left out, a row each."""
+        values, pointers = [EliasFano.of(first)], []
+        for parent, word in levels:
+            starts = np.flatnonzero(np.diff(parent, prepend=-1)) if len(parent) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(parent)).astype(np.int64)
+            widths = word[ends - 1] + 1 if len(starts) else np.zeros(0, np.int64)
+            values.append(EliasFano.of(word + np.repeat(np.cumsum(widths) - widths, ends - starts)))
+            pointers.append(EliasFano.of(np.append(starts, len(parent))))
+        return cls(values, pointers, [(c if c.ndim == 2 else c[:, None]).astype(np.uint16) for c in codes])
+
+    def find(self, level: int, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of words after the given places of the level before (-1: none), -1 where not there.
+        The first level (0) has no parent."""
+        v, out = self.values[level], np.full(len(word), -1, np.int64)
+        for lo in range(0, len(word), 200_000):
+            self._find(v, level, parent[lo : lo + 200_000], word[lo : lo + 200_000], out[lo : lo + 200_000])
         return out
 
+    def _find(self, v: EliasFano, level: int, parent: np.ndarray, word: np.ndarray, out: np.ndarray) -> None:
+        pick = np.flatnonzero(parent >= 0) if level else np.arange(len(word))
+        if not v.n or not len(pick):
+            return
+        if level:
+            own, at = np.unique(parent[pick], return_inverse=True)
+            lo, hi = self.pointers[level - 1].get(own), self.pointers[level - 1].get(own + 1)
+            base = np.where(lo > 0, v.get(np.maximum(lo - 1, 0)) + 1, 0)[at]
+            lo, hi = lo[at], hi[at]
+        else:
+            base = lo = np.zeros(len(pick), np.int64)
+            hi = np.full(len(pick), v.n, np.int64)
+        target = base + word[pick]
+        found = v.successor(target, lo, hi)
+        hit = found < hi
+        hit[hit] = v.get(found[hit]) == target[hit]
+        out[pick[hit]] = found[hit]
+
     def to_bytes(self) -> bytes:
-        parts = [p for s in (self.contexts, self.pointers, self.successors) for p in s.arrays()]
-        return b"".join(p.tobytes() for p in parts) + self.codes.tobytes()
+        parts = [np.array([len(self.values)], np.uint64)] + [x for e in (*self.values, *self.pointers) for x in e.arrays()]
+        return b"".join(x.tobytes() for x in parts) + b"".join(np.array(c.shape, np.uint64).tobytes() + c.tobytes() + bytes(-c.nbytes % 8) for c in self.codes)
 
     @classmethod
     def from_buffer(cls, data: np.ndarray) -> Trie:
         """Over bytes (a mapped file, say); levels are views, not copies."""
-        at, levels = 0, []
-        for _ in range(3):
+        levels, at, read = int(data[:8].view(np.uint64)[0]), 8, []
+        for _ in range(2 * levels - 1):
             n, shift, a, b = (int(x) for x in data[at : at + 32].view(np.uint64))
             at += 32
-            low = data[at : at + 8 * a].view(np.uint64)
-            high = data[at + 8 * a : at + 8 * (a + b)].view(np.uint64)
+            read.append(EliasFano(n, shift, data[at : at + 8 * a].view(np.uint64), data[at + 8 * a : at + 8 * (a + b)].view(np.uint64)))
             at += 8 * (a + b)
-            levels.append(EliasFano(n, shift, low, high))
-        return cls(*levels, data[at:].view(np.uint16))
+        codes = []
+        for _ in range(levels - 1):
+            n, k = (int(x) for x in data[at : at + 16].view(np.uint64))
+            codes.append(data[at + 16 : at + 16 + 2 * n * k].view(np.uint16).reshape(n, k))
+            at += 16 + (2 * n * k + 7) // 8 * 8
+        return cls(read[:levels], read[levels:], codes)

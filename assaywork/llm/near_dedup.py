@@ -10,8 +10,8 @@ depends on the total weight; texts with an empty place go on with twice that tim
 
 Texts with the same multiset are one class from the start. Between class representatives, texts that
 agree in a band are candidates. Nothing is emitted per pair of a bucket: each bucket compares its members
-with one pivot, so a bucket of thousands of copies costs one comparison each. Where that leaves a bucket in
-several components, its texts are open: links between components are found by an exact prefix filter. The
+with one pivot, so a bucket of thousands of copies costs one comparison each. Where that leaves the others of a
+bucket in several components, they are open: links between components are found by an exact prefix filter. The
 shingles of a text are put in order of the number of open texts that have them; two texts of the asked
 similarity share one among the first few of each, at places that leave enough in common behind them. Shingles
 of one text alone come first and meet nobody, so variants that differ too much are never paired, however many
@@ -246,8 +246,8 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     stars = buckets.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = stage(similar(stars, sets, least))
     root = stage(components(links))
-    # Buckets whose members are in more than one component.
-    labelled = buckets.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    # Buckets whose members are in more than one component, beside the pivot, which all were compared with.
+    labelled = buckets.filter("id <> pivot").join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     spread = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
     open_ = labelled.join(spread, "key", "left_semi").select("id", "root").distinct()
     entries = stage(prefix_entries(sets.join(open_, "id"), least))

@@ -362,30 +362,37 @@ def test_redaction(spark):
 # Language model
 
 
-@pytest.mark.parametrize("batch", [1 << 21, 3000])
-def test_language_model_matches_brute_force(spark, odd, batch):
+@pytest.mark.parametrize("batch, shard", [(1 << 21, 800_000), (3000, 800_000), (3000, 700)])
+def test_language_model_matches_brute_force(spark, odd, batch, shard, monkeypatch):
+    """With small shards most words are frequent ones, whose pairs and triples are dealt apart."""
     import math
 
+    monkeypatch.setattr(ngram_lm, "SHARD", shard)
     low = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
     data = strip_ids(rows()) + [(100 + i, prose(i, 30).title()) for i in range(40)]
     docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("learn", F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True)))
     scores, model = ngram_lm.fit_and_score(docs, batch)
     tokens = [(i, [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(low)) if x] + ["\0"]) for i, t in data]
-    c, pairs, ctx = Counter(), Counter(), Counter()
+    c, pairs, ctx, triples = Counter(), Counter(), Counter(), Counter()
     for i, t in tokens:
         if i is None or i % 3:
             c.update(t)
-            for v, w in zip(["\1", *t], t):
+            for u, v, w in zip(["\1", "\1", *t], ["\1", *t], t):
+                triples[u, v, w] += 1
                 pairs[v, w] += 1
                 ctx[v] += 1
+    starts = Counter({("\1", "\1"): ctx["\1"]}) + pairs
     n, v_ = sum(c.values()), len(c)
-    uni = lambda w: (c[w] + 0.5) / (n + 0.5 * (v_ + 1))
-    k = ngram_lm.K
-    want = sorted(((i is None, i or 0), len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(uni(w)) for w in t), sum(math.log10((pairs[v, w] + k * uni(w)) / (ctx[v] + k)) for v, w in zip(["\1", *t], t))) for i, t in tokens)
+    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (v_ + 1))
+    p2 = lambda v, w: (pairs[v, w] + ngram_lm.K2 * p1(w)) / (ctx[v] + ngram_lm.K2)
+    p3 = lambda u, v, w: (triples[u, v, w] + ngram_lm.K3 * p2(v, w)) / (starts[u, v] + ngram_lm.K3)
+    want = sorted(((i is None, i or 0), len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), sum(math.log10(p3(u, v, w)) for u, v, w in zip(["\1", "\1", *t], ["\1", *t], t))) for i, t in tokens)
     got = sorted((KEY((r["doc_id"],)), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in scores.collect())
     assert [g[:4] for g in got] == [w[:4] for w in want]
     assert np.allclose([g[4] for g in got], [w[4] for w in want]) and np.allclose([g[5] for g in got], [w[5] for w in want], rtol=2e-3, atol=2e-3)
-    assert sum(r["pairs"] for r in model.collect()) == len(pairs)
+    if shard > 10**5:
+        # a pair with the start before it is a pair, and so is that of two starts; ends are followed by nothing
+        assert sum(r["pairs"] for r in model.collect()) == len(starts)
 
 
 def test_language_model_without_training_or_rows(spark, empty):

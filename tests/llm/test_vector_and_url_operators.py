@@ -116,7 +116,14 @@ def test_elias_fano_levels():
         assert (e.get(np.arange(n)) == v).all()
         x = r.integers(0, u + 10, 500)
         assert (e.successor(x, np.zeros(500, np.int64), np.full(500, n)) == np.searchsorted(v, x)).all()
-    k = np.unique(r.integers(0, 300, 20000) * 10**7 + r.integers(0, 10**6, 20000))
-    code = r.integers(1, 65535, len(k))
-    trie = elias_fano.Trie.from_buffer(np.frombuffer(elias_fano.Trie.of(k // 10**7, k % 10**7, code).to_bytes(), np.uint8))
-    assert (trie.find(k // 10**7, k % 10**7) == code).all() and (trie.find(k // 10**7, k % 10**7 + 10**6) == 0).all()
+    k = np.unique(r.integers(0, 300, 20000) * 10**10 + r.integers(0, 40, 20000) * 10**7 + r.integers(0, 10**6, 20000))
+    pair, at = np.unique(k // 10**7, return_inverse=True)
+    first, of_pair = np.unique(pair // 1000, return_inverse=True)
+    codes = [r.integers(1, 65535, (len(pair), 2)), r.integers(1, 65535, len(k))]
+    made = elias_fano.Trie.of(first, [(of_pair, pair % 1000), (at, k % 10**7)], codes)
+    trie = elias_fano.Trie.from_buffer(np.frombuffer(made.to_bytes(), np.uint8))
+    one = trie.find(0, first, first)
+    two = trie.find(1, one[of_pair], pair % 1000)
+    three = trie.find(2, two[at], k % 10**7)
+    assert (one == np.arange(len(first))).all() and (trie.codes[0][two] == codes[0]).all() and (trie.codes[1][three][:, 0] == codes[1]).all()
+    assert (trie.find(2, two[at], k % 10**7 + 10**6) == -1).all() and (trie.find(2, np.full(len(at), -1), k % 10**7) == -1).all() and (trie.find(0, first, first + 5000) == -1).all()
