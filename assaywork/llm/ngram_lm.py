@@ -197,11 +197,11 @@ class Batch:
         """Per text: tokens, known tokens, base score, score."""
         n = self.docs.num_rows
         parts = [unpack(x) for x in codes.sort_by("part")["data"].to_pylist()]
-        of_pair, left, of_triple = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(3))
-        p2, bow, p3 = np.zeros(len(self.a)), np.ones(len(self.a)), np.zeros(len(self.pair_of))
+        left, of_triple = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in range(2))
+        bow, p3 = np.ones(len(self.a)), np.zeros(len(self.pair_of))
         met = ~self.group_apart & (left > 0)
-        pair = self.asked_pair[self.group[met]]
-        p2[pair], bow[pair] = decode(of_pair[met]), decode(left[met])
+        bow[self.asked_pair[self.group[met]]] = decode(left[met])
+        p2 = (K3 / bow - K3) / (self.all_counts[self.a] + K2)  # what a pair leaves tells its count
         pick = self.asked_triple >= 0
         p3[self.asked_triple[pick]] = decode(of_triple[pick])
         apart = self.asked_triple[np.repeat(self.group_apart, self.group_end - self.group)]
@@ -278,7 +278,7 @@ class Shard:
         return Trie.of(self.u[u], [(place(u)[self.pair_u[met]], self.v[met]), (place(met)[self.triple_pair[t]], self.w[t])], [pair, encode(third)])
 
     def answers(self, trie: Trie) -> list[bytes]:
-        """For each batch the codes of its pairs, of what they leave, and of its triples."""
+        """For each batch the codes of what its pairs leave, and of its triples."""
         u = trie.find(0, self.u, self.u)
         pair = trie.find(1, u[self.pair_u], self.v)
         triple = trie.find(2, pair[self.triple_pair], self.w)
@@ -286,8 +286,7 @@ class Shard:
         of_pair, of_triple = codes[0][pair], codes[1][triple][:, 0]
         out = []
         for a, b, x, y in zip(self.pair_cuts[:-1], self.pair_cuts[1:], self.triple_cuts[:-1], self.triple_cuts[1:]):
-            own = of_pair[self.pair_at[a:b]]
-            out.append(pack(own[:, 0], own[:, 1], of_triple[self.triple_at[x:y]]))
+            out.append(pack(of_pair[self.pair_at[a:b], 1], of_triple[self.triple_at[x:y]]))
         return out
 
 
