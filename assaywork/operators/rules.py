@@ -6,14 +6,16 @@ projection."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaywork.functions.text import ascii_boundaries, half_up, missing, not_blank, utf16_length, words
+from assaywork.functions.text import ascii_lower, half_up, literal_of, missing, not_blank, one_sided, utf16_length, words
 
 RESULT = "struct<ruleName:string,passed:boolean,score:double,message:string,skipped:boolean,skipReason:string>"
 #: Score from which a bundle passes.
@@ -68,6 +70,9 @@ class Context:
     prompt_tokens: Column
     completion_tokens: Column
     config: Mapping[str, Any] = field(default_factory=dict)
+    #: Facts that are columns already, and those that rules asked for (see ``once``).
+    ready: Mapping[str, Column] = field(default_factory=dict)
+    asked: dict[str, tuple[int, Column]] = field(default_factory=dict)
 
     @classmethod
     def of(cls, df: DataFrame, config: Mapping[str, Any] | None = None) -> Context:
@@ -76,6 +81,20 @@ class Context:
         number = {c: get(c, "double") for c in ("cost_usd", "prompt_tokens", "completion_tokens")}
         return cls(output=F.coalesce(get("output", "string"), F.lit("")), **text, **number, config=config or {})
 
+    def once(self, name: str, build: Callable[[], Column], level: int = 1) -> Column:
+        """A fact that a result reads in several places: computed by ``with_facts`` in a projection
+        before the results, words and folded texts (level 0) before what is counted in them (level 1)."""
+        if name in self.ready:
+            return self.ready[name]
+        self.asked[name] = (level, build())
+        return self.asked[name][1]
+
+    def words(self, side: str, longer_than: int) -> Column:
+        return self.once(f"{side}_words_{longer_than}", lambda: words(getattr(self, side), longer_than), 0)
+
+    def folded(self) -> Column:
+        return self.once("folded", lambda: ascii_lower(self.output), 0)
+
     def setting(self, *names: str, default: Any) -> Any:
         return next((self.config[n] for n in names if self.config.get(n) is not None), default)
 
@@ -88,6 +107,18 @@ class Rule:
     evaluate: Callable[[Context], Column]
 
 
+def with_facts(df: DataFrame, c: Context, rules: Sequence[Rule]) -> tuple[DataFrame, Context]:
+    """``df`` with the facts of the rules as columns, each computed once a row, and the context that reads them."""
+    for level in (0, 1):
+        c = replace(c, asked={})
+        for r in rules:
+            r.evaluate(c)
+        new = {k: e for k, (at, e) in c.asked.items() if at == level}
+        df = df.withColumns({f"__fact_{k}": e for k, e in new.items()}) if new else df
+        c = replace(c, ready={**c.ready, **{k: F.col(f"__fact_{k}") for k in new}})
+    return df, c
+
+
 def result(name: str, passed: Column, score: Column, message: Column, skip: Column | None = None, reason: str | Column | None = None, lenient: Column | None = None) -> Column:
     """A rule's struct. skip: where the rule doesn't apply (not passed, score 0, unless lenient)."""
     skip = F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))
@@ -109,36 +140,38 @@ def _said(*parts: Any) -> Column:
 
 def min_output_length(c: Context) -> Column:
     least = c.setting("min_output_length", "min_length", default=50)
-    n = utf16_length(c.output)
+    n = c.once("length", lambda: utf16_length(c.output))
     ok = n >= least
     return result("min_output_length", ok, F.when(ok, 1.0).otherwise(F.least(n / float(least), F.lit(0.99))), F.when(ok, _said("Length ", n, " reaches ", least)).otherwise(_said("Length ", n, " is below ", least)))
 
 
 def non_empty_output(c: Context) -> Column:
-    ok = not_blank(c.output)
+    ok = c.once("not_blank", lambda: not_blank(c.output))
     return result("non_empty_output", ok, F.when(ok, 1.0).otherwise(0.0), F.when(ok, "Not empty").otherwise("Empty or white space"))
 
 
 def sentence_count(c: Context) -> Column:
     least = c.setting("min_sentences", default=2)
-    n = F.size(F.filter(F.split(c.output, "[.!?]+"), not_blank))
+    n = c.once("sentences", lambda: F.size(F.filter(F.split(c.output, "[.!?]+"), not_blank)))
     ok = n >= least
     return result("sentence_count", ok, F.when(ok, 1.0).otherwise(F.least(n / float(least), F.lit(0.99))), _said(n, " sentences of at least ", least))
 
 
-def _share(wanted: Column, there: Column) -> tuple[Column, Column, Column]:
-    met, total = F.size(F.array_intersect(wanted, there)), F.size(wanted)
-    return met, total, F.when(total > 0, met / total).otherwise(1.0)
+def _share(c: Context, side: str) -> tuple[Column, Column, Column]:
+    """Distinct words of a text that the output has as well, all of them, and their share."""
+    wanted = lambda: F.array_distinct(c.words(side, 2))
+    both = c.once(f"share_{side}", lambda: F.struct(F.size(F.array_intersect(wanted(), c.words("output", 2))).alias("met"), F.size(wanted()).alias("total")))
+    return both["met"], both["total"], F.when(both["total"] > 0, both["met"] / both["total"]).otherwise(1.0)
 
 
 def expected_coverage(c: Context) -> Column:
-    met, total, ratio = _share(F.array_distinct(words(c.expected, 2)), words(c.output, 2))
+    met, total, ratio = _share(c, "expected")
     ok = (total == 0) | (ratio >= c.setting("expected_coverage", default=0.5))
     return result("expected_coverage", ok, ratio, _said(met, " of ", total, " expected words met"), missing(c.expected), "no expected text")
 
 
 def keyword_overlap(c: Context) -> Column:
-    met, total, ratio = _share(F.array_distinct(words(c.input, 2)), words(c.output, 2))
+    met, total, ratio = _share(c, "input")
     ok = (total == 0) | (ratio >= c.setting("keyword_overlap", default=0.35))
     return result("keyword_overlap", ok, F.when(total == 0, 1.0).otherwise(F.least(ratio * 2, F.lit(1.0))), _said(met, " of ", total, " input words met"), missing(c.input), "no input")
 
@@ -147,23 +180,25 @@ def hallucination_issues(output: Column) -> Column:
     """Phrases met, and one more for many numbered citations next to expert markers."""
     low = F.lower(output)
     n = sum((F.contains(low, F.lit(m)).cast("int") for m in HALLUCINATION_MARKERS), F.lit(0))
-    cited = (F.regexp_count(output, F.lit(r"\[\d+\]")) >= 3) & (F.regexp_count(output, F.lit(ascii_boundaries(EXPERT_MARKERS))) >= 2)
+    cited = (F.regexp_count(output, F.lit(r"\[\d+\]")) >= 3) & (F.regexp_count(output, F.lit(one_sided(EXPERT_MARKERS))) >= 2)
     return n + cited.cast("int")
 
 
 def no_hallucination_markers(c: Context) -> Column:
-    n = hallucination_issues(c.output)
+    n = c.once("hallucination_issues", lambda: hallucination_issues(c.output))
     ok = n == 0
     return result("no_hallucination_markers", ok, F.when(ok, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - n * 0.3)), _said(n, " markers met"))
 
 
 def topic_consistency(c: Context) -> Column:
     least = c.setting("topic_consistency_min_words", default=6)
-    asked, said = words(c.input, 3), words(c.output, 3)
-    n = F.size(said)
-    known = F.array_distinct(asked)
-    ratio = F.when(n > 0, F.size(F.filter(said, lambda w: F.array_contains(known, w))) / n).otherwise(0.0)
-    none = missing(c.input) | (F.size(asked) == 0) | (n == 0)
+    asked, said = c.words("input", 3), c.words("output", 3)
+    # of each distinct word that both have, as often as the output has it
+    often = lambda: F.aggregate(F.array_intersect(asked, said), F.lit(0), lambda a, w: a + F.size(said) - F.size(F.array_remove(said, w)))
+    topic = c.once("topic", lambda: F.struct(F.size(asked).alias("asked"), F.size(said).alias("said"), often().alias("met")))
+    n = topic["said"]
+    ratio = F.when(n > 0, topic["met"] / n).otherwise(0.0)
+    none = missing(c.input) | (topic["asked"] == 0) | (n == 0)
     brief = ~F.coalesce(none, F.lit(True)) & (n < least)
     ok = ratio >= c.setting("topic_consistency", default=0.10)
     return result("topic_consistency", ok, F.least(ratio * 5, F.lit(1.0)), _said(half_up(ratio * 100, 1), "% of the words are on topic"), none | brief, F.when(brief, "output too brief").otherwise("no words to compare"), F.coalesce(brief, F.lit(False)))
@@ -179,26 +214,40 @@ def _none_of(name: str, found: Column, what: str) -> Column:
     return result(name, ok, F.when(ok, 1.0).otherwise(0.0), F.when(ok, f"No {what}").otherwise(F.concat(F.lit(f"{what}: "), F.array_join(found, ", "))))
 
 
-def pii_kinds(output: Column) -> Column:
-    return _found([(n, output.rlike(ascii_boundaries(p))) for n, p in PII.items()])
+def pii_kinds(output: Column, folded: Column | None = None) -> Column:
+    """Names of the kinds of personal data met. A cheap condition that every match of a kind meets goes
+    first, where a pattern can start at any character."""
+    low = ascii_lower(output) if folded is None else folded
+    has = lambda *texts: reduce(lambda x, y: x | y, [F.contains(low, F.lit(t)) for t in texts])
+    first = {
+        "SSN": F.contains(output, F.lit("-")), "Phone": output.rlike(r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"), "Email": F.contains(output, F.lit("@")), "Passport": output.rlike(r"\d{9}"),
+        "Credit Card": output.rlike(r"\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}"), "IBAN": output.rlike(r"[A-Z]{2}\d{2}"), "IP Address": output.rlike(r"\d\.\d"),
+        "DOB": has("dob", "d.o.b.", "birth", "born"), "Medical Record Number": has("mrn", "medical record"), "API Key": has("sk", "pk", "key", "bearer"),
+    }
+    return _found([(n, first[n] & output.rlike(one_sided(p))) for n, p in PII.items()])
 
 
 def no_pii(c: Context) -> Column:
-    return _none_of("no_pii", pii_kinds(c.output), "personal data")
+    return _none_of("no_pii", c.once("pii", lambda: pii_kinds(c.output, c.folded())), "personal data")
 
 
 def no_blocklist_words(c: Context) -> Column:
     low = F.lower(c.output)
-    return _none_of("no_blocklist_words", _found([(w, F.contains(low, F.lit(w.lower()))) for w in c.setting("blocklist", default=BLOCKLIST)]), "blocked phrases")
+    found = c.once("blocked", lambda: _found([(w, F.contains(low, F.lit(w.lower()))) for w in c.setting("blocklist", default=BLOCKLIST)]))
+    return _none_of("no_blocklist_words", found, "blocked phrases")
 
 
 def no_injection_patterns(c: Context) -> Column:
-    return _none_of("no_injection_patterns", _found([(p, c.output.rlike("(?i)" + ascii_boundaries(p))) for p in INJECTION]), "injection patterns")
+    low = c.folded()
+    fold = lambda p: re.sub(r"(?<!\\)[A-Z]", lambda x: x[0].lower(), p)
+    found = c.once("injections", lambda: _found([(p, F.contains(low, F.lit(literal_of(p))) & low.rlike(one_sided(fold(p)))) for p in INJECTION]))
+    return _none_of("no_injection_patterns", found, "injection patterns")
 
 
 def no_stub_output(c: Context) -> Column:
     up = F.upper(c.output)
-    return _none_of("no_stub_output", _found([(m, F.contains(up, F.lit(m.upper()))) for m in c.setting("stub_markers", default=STUB_MARKERS)]), "stub markers")
+    found = c.once("stubs", lambda: _found([(m, F.contains(up, F.lit(m.upper()))) for m in c.setting("stub_markers", default=STUB_MARKERS)]))
+    return _none_of("no_stub_output", found, "stub markers")
 
 
 def cost_under_threshold(c: Context) -> Column:
@@ -243,7 +292,8 @@ def rules_of(eval_type: str, more: Sequence[Rule] = ()) -> list[Rule]:
 def apply_rule(df: DataFrame, name: str, config: Mapping[str, Any] | None = None) -> DataFrame:
     """Adds ``result`` of one built-in rule."""
     rule = next(r for r in BUILT_IN if r.name == name)
-    return df.withColumn("result", rule.evaluate(Context.of(df, config)))
+    wide, c = with_facts(df, Context.of(df, config), [rule])
+    return wide.select(*df.columns, rule.evaluate(c).alias("result"))
 
 
 def bundle(results: Column, weights: Sequence[float], threshold: float = THRESHOLD) -> Column:
@@ -272,7 +322,7 @@ def evaluate(df: DataFrame, eval_types: Sequence[str] = EVAL_TYPES, keys: Sequen
 
     The rules of all types are evaluated in one projection and the types exploded after it, so the
     table is read once; rule text is tokenised per row, nothing is shuffled."""
-    c = Context.of(df, config)
+    df, c = with_facts(df, Context.of(df, config), [r for t in eval_types for r in rules_of(t, more)])
     parts = []
     for t in eval_types:
         rules = rules_of(t, more)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaywork.operators import custom, rules
-from assaywork.sources.views import oracle, view
+from assaywork.sources.views import oracle, spread, view
 
 
 def q(text: str) -> str:
@@ -68,8 +68,12 @@ def rule_columns(name: str) -> tuple[str, str, str]:
     return f"coalesce({skip}, false)", f"case when coalesce({skip}, false) then {lenient} else {ok} end", f"case when coalesce({skip}, false) then case when {lenient} then 1e0 else 0e0 end else {score} end"
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(view(spark, sf_dir, "text_traces"), "trace_id")
+
+
 def rule_query(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    scored = rules.apply_rule(view(spark, sf_dir, "text_traces"), name)
+    scored = rules.apply_rule(texts(spark, sf_dir), name)
     return scored.select("tenant_id", "trace_id", "result.skipped", "result.passed", "result.score")
 
 
@@ -105,7 +109,7 @@ def scored_oracle(sql: str) -> str:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(view(spark, sf_dir, "text_traces"))
+    return rules.evaluate(texts(spark, sf_dir))
 
 
 def score_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +117,7 @@ def score_all_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.evaluate(view(spark, sf_dir, "text_traces"), ["safety"]).select("tenant_id", "trace_id", "score", "passed")
+    return rules.evaluate(texts(spark, sf_dir), ["safety"]).select("tenant_id", "trace_id", "score", "passed")
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +126,7 @@ def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agent_eval_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk scoring end to end: pass rate of each agent and eval type."""
-    t = view(spark, sf_dir, "text_traces")
+    t = texts(spark, sf_dir)
     e = rules.evaluate(t, keys=("tenant_id", "trace_id", "agent_name"))
     return e.groupBy("agent_name", "eval_type").agg(F.count("*").alias("evals"), F.count_if("passed").alias("passed"))
 
@@ -140,7 +144,7 @@ CUSTOM = (
 
 
 def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view(spark, sf_dir, "text_traces")
+    t = texts(spark, sf_dir)
     c = rules.Context.of(t)
     each = F.explode(F.array(*[custom.custom_rule(d).evaluate(c) for d in CUSTOM]))
     return t.select("trace_id", each.alias("r")).select("trace_id", F.col("r.ruleName").alias("rule_name"), "r.passed", "r.score")
@@ -158,7 +162,7 @@ _CUSTOM_ORACLE = "with t as (select *, cast(contains(lower(output), 'the') as in
 
 def regex_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the pattern guard per pattern, with the texts that an accepted one meets."""
-    t = view(spark, sf_dir, "text_traces")
+    t = texts(spark, sf_dir)
     patterns = {"plain": "Thing", "hoisted": "(?i)THING", "nested": "(a+)+$", "broken": "(", "long": "a" * 1001}
     guarded = {k: custom.guarded_pattern(p) for k, p in patterns.items()}
     counts = [F.count_if(F.col("output").rlike(p)).alias(k) if p else F.lit(-1).cast("long").alias(k) for k, (p, _) in guarded.items()]
@@ -167,11 +171,11 @@ def regex_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deployed_rule_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = [custom.custom_rule({"name": "at-least-300", "type": "min_length", "config": {"length": 300}}, "safety")]
-    return rules.evaluate(view(spark, sf_dir, "text_traces"), ["safety"], more=more).select("trace_id", "rules_evaluated", "score", "passed")
+    return rules.evaluate(texts(spark, sf_dir), ["safety"], more=more).select("trace_id", "rules_evaluated", "score", "passed")
 
 
 def rule_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = view(spark, sf_dir, "text_traces")
+    t = texts(spark, sf_dir)
     start, end = (F.expr(f"timestamp_ntz'{d} 00:00:00'") for d in ("2024-01-05", "2024-01-25"))
     return custom.preview(t, {"name": "p", "type": "max_length", "config": {"length": 2000}}, start, end)[0]
 

@@ -155,5 +155,15 @@ def oracle(sql: str) -> str:
     return _with(sql, "oracle")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table that is too small to fill the cores with splits of the session's size, dealt to all of them
+    by ``key``; a larger one as it is, unshuffled."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split
+    return df.repartition(cores, key) if small else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run_sql(spark, sf_dir, f"select * from {name}")
