@@ -51,9 +51,15 @@ def uniform(seed: int, *columns: Column | str) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def row_key() -> Column:
+    """A digest of id, source and text: what rows that are alike in these share."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in ("doc_id", "source", "text")]
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
 def keyed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, key of every document. No text leaves this step."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("weight"))
+    """doc_id, source, row_key, size, key of every document. No text leaves this step."""
+    sized = docs.select("doc_id", "source", row_key().alias("row_key"), word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("weight"))
     return sized.withColumn("key", -F.log(uniform(seed, "doc_id")) / F.col("weight")).drop("weight")
 
 
@@ -84,7 +90,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the words the mix takes from each document,
+    """doc_id, source, row_key, size, source_size, target, taken: the words the mix takes from each document,
     repeats counted. The document in which a budget ends gives only the words up to it.
 
     ``docs`` needs doc_id, text and source; further columns play no part."""
@@ -103,7 +109,7 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
         b["source"].alias("b_source"), b["bucket"].alias("b_bucket"), "before", "words", "source_size", "target", "epochs", "rest")
     d = k.join(b, k["source"].eqNullSafe(b["b_source"]) & (k["bucket"] == b["b_bucket"])).drop("b_source", "b_bucket")
     ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
-    same = ["doc_id", "source", "size", "source_size", "target"]
+    same = ["doc_id", "source", "row_key", "size", "source_size", "target"]
     outside = d.filter(~ends).select(*same, (F.col("epochs") * F.col("size") + F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)).alias("taken"))
     inside = Window.partitionBy("source").orderBy("key", "doc_id")
     cut = d.filter(ends).withColumn("ahead", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -113,15 +119,22 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
 
 def mixed_rows(docs: DataFrame, mixture: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, the last time cut to the words left;
-    n_chars follows the cut. Rows taken 0 words go. Rows of one id (or of none) and one size that
-    were sampled apart are each taken as the most taken of them."""
-    m = mixture.filter("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    d = docs.withColumn("__words", word_count(F.col("text")))
-    d = d.join(m, d["doc_id"].eqNullSafe(m["__id"]) & (d["__words"] == m["__size"]))
-    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
-    left = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size"))
+    n_chars follows the cut. Rows taken 0 words go. Rows that are alike in id, source and text are numbered
+    and share out what was taken of them, the most first."""
+    m = mixture.filter("taken > 0").groupBy("row_key", "size", "taken").agg(F.count("*").alias("n"))
+    # a source has whole epochs, with or without one more, and one cut: three values at most
+    m = m.groupBy("row_key").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("shares")).select(F.struct("size", "shares").alias("__m"), F.col("row_key").alias("__k"))
+    d = docs.withColumn("__key", row_key())
+    d = d.join(m, F.col("__key") == F.col("__k"))
+    d = d.withColumn("__number", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
+    start = F.struct(F.col("__number").cast("long").alias("left"), F.lit(0).cast("long").alias("taken"))
+    step = lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when((a["left"] > 0) & (a["left"] <= x["n"]), x["taken"]).otherwise(a["taken"]).alias("taken"))
+    d = d.withColumn("__taken", F.aggregate("__m.shares", start, step)["taken"]).filter("__taken > 0")
+    size = F.col("__m.size")
+    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / size))))
+    left = F.least(size, F.col("__taken") - F.col("__copy") * size)
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
-    d = d.withColumn("text", F.when(left < F.col("__size"), cut).otherwise(F.col("text")))
+    d = d.withColumn("text", F.when(left < size, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.length("text").cast("long"))
     return d.select(docs.columns)

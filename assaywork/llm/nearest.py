@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: inverted lists with an adaptive dimension scan.
 
 Lists are those of k-means centroids, fitted on a bounded sample; every row is in its list. Each query
-probes the lists with the nearest centroids. Within a probed block vectors are rotated by one random
+probes the lists with the nearest centroids, a share of all and on until they hold enough. Within a probed block vectors are rotated by one random
 orthogonal matrix, so that the first coordinates are a fair sample of a vector's distance. The columns
 are scanned a block at a time: after d of D coordinates the hypothesis that a candidate's distance is
 within the query's k-th best so far is rejected when sqrt(D/d) times its partial distance is beyond
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from assaywork.llm.common import stage, table
 from assaywork.llm.vectors import BLOCK, assign, best, blocks_of, in_blocks, matrix, sample, squared, usable
 
-#: Vectors that the centroids are fitted on at most, and lists at most.
-SAMPLE, LISTS = 8192, 256
+#: Vectors that the centroids are fitted on at most, and lists at most (the square root of the rows, below).
+SAMPLE, LISTS = 8192, 1024
 #: Share of the lists that a query probes, and how many at least.
 PROBE, PROBE_LEAST = 0.6, 8
 #: Columns of a block of the scan, and the significance of its test.
@@ -50,21 +50,25 @@ def rotation(dimension: int, seed: int = 17) -> np.ndarray:
 
 
 def scan(q: np.ndarray, x: np.ndarray, turned_q: np.ndarray, turned_x: np.ndarray, near: np.ndarray, k: int, columns: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``x`` of the k nearest to ``q``, and their exact distances. ``near``: places in the
-    order in which they are tried; the first 4k set the bar."""
+    """Places in ``x`` of candidates for the k nearest to ``q``, and their exact distances. ``near``: the
+    places that are tried. Those nearest in the first block of columns set the bar."""
     dim = x.shape[1]
-    head, rest = near[: 4 * k], near[4 * k :]
+    part = ((turned_x[near, :columns] - turned_q[:columns]) ** 2).sum(1)
+    if len(near) > 4 * k:
+        order = np.argpartition(part, 4 * k)
+        head, rest, part = near[order[: 4 * k]], near[order[4 * k :]], part[order[4 * k :]]
+    else:
+        head, rest, part = near, near[:0], part[:0]
     exact = np.sqrt(((x[head] - q) ** 2).sum(1))
-    if len(head) >= k and len(rest):
+    if len(rest):
         bar = np.partition(exact, k - 1)[k - 1]
-        part = np.zeros(len(rest))
-        for lo in range(0, dim, columns):
-            hi = min(dim, lo + columns)
-            part += ((turned_x[rest, lo:hi] - turned_q[lo:hi]) ** 2).sum(1)
+        for hi in range(min(dim, columns), dim + columns, columns):
+            hi = min(hi, dim)
             keep = np.sqrt(part * (dim / hi)) <= bar * (1 + epsilon / math.sqrt(hi) * (hi < dim)) * (1 + 1e-9)
             rest, part = rest[keep], part[keep]
-            if not len(rest):
+            if not len(rest) or hi == dim:
                 break
+            part = part + ((turned_x[rest, hi : hi + columns] - turned_q[hi : hi + columns]) ** 2).sum(1)
     at = np.concatenate([head, rest])
     return at, np.concatenate([exact, np.sqrt(((x[rest] - q) ** 2).sum(1))])
 
@@ -83,15 +87,18 @@ def search(df: DataFrame, is_query: Column, k: int = 10, probe: float = PROBE, l
     counts = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
     blocks = blocks_of(counts)
     turn = rotation(fitted.shape[1])
-    sent = spark.sparkContext.broadcast((centres, blocks, turn))
+    sent = spark.sparkContext.broadcast((centres, blocks, turn, np.array([counts.get(c, 0) for c in range(len(centres))])))
     queries = cells.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     query_blocks = max(1, math.ceil(queries.count() / BLOCK))
 
     def deal(batches):
-        c, block, _ = sent.value
+        c, block, _, size = sent.value
         for batch in batches:
-            near = np.argsort(squared(matrix(batch["q"]), c), axis=1, kind="stable")[:, :probes]
-            out = [(i, cell, b) for i, own in enumerate(near.tolist()) for cell in own for b in range(block.get(cell, 0))]
+            near = np.argsort(squared(matrix(batch["q"]), c), axis=1, kind="stable")
+            # on until there are k besides the query's own row
+            enough = (np.cumsum(size[near], axis=1) > k).argmax(1) + 1
+            enough = np.where(size.sum() > k, enough, len(c))
+            out = [(i, cell, b) for i, own in enumerate(near.tolist()) for cell in own[: max(probes, int(enough[i]))] for b in range(block.get(cell, 0))]
             i, cell, b = (pa.array([o[j] for o in out], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int32())))
             own = batch.take(i)
             qb = pa.array((own["query_id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % query_blocks, pa.int32())

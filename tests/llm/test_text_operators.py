@@ -199,6 +199,21 @@ def test_mixed_rows_take_the_words(spark):
     assert words == Counter({r["doc_id"]: r["taken"] for r in m.collect() if r["taken"]})
 
 
+def test_mixed_rows_of_repeated_rows(spark):
+    """Repeats of one row share out what was taken of them; rows of one id and size don't lend each other theirs."""
+    data = [(i % 5, prose(i % 5, 9), "a", f"m{i}") for i in range(40)] + [(1, prose(77, 9), "a", "other"), (None, prose(3, 9), None, "x"), (None, prose(3, 9), None, "y"), (9, None, "b", "z")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, more string")
+    m = mixing.mix(docs)
+    out = mixing.mixed_rows(docs, m).collect()
+    want = Counter()
+    for r in m.collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    got = Counter()
+    for r in out:
+        got[r["doc_id"], r["source"]] += len(r["text"].split())
+    assert +got == +want
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.mix(empty).collect() == []
 

@@ -96,7 +96,7 @@ def test_listed_rules(spark):
     assert got == {i: u[1:] for i, u in URLS.items()} | {None: ("q.net", "/", "net/", "block")}
 
 
-def test_mined_rules_match_brute_force(spark):
+def test_planted_token_is_mined(spark):
     data = [(i, f"http://site{i % 5}.example.org/{'casino' if i % 3 == 0 else 'news'}/{i}?id={i}") for i in range(300)]
     labels = [(i, 1, int(i % 3 == 0 and i % 5 != 1)) for i in range(0, 300, 2)] + [(None, None, None), (2, None, 1)]
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(data, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
