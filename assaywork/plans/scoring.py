@@ -82,9 +82,9 @@ def rule_oracle(name: str) -> str:
     return oracle(f"select tenant_id, trace_id, {skip} as skipped, {ok} as passed, {score} as score from {_TEXTS}")
 
 
-def _all_results() -> str:
+def _all_results(names: tuple[str, ...] = tuple(r.name for r in rules.BUILT_IN)) -> str:
     cols = []
-    for r in rules.BUILT_IN:
+    for r in (r for r in rules.BUILT_IN if r.name in names):
         skip, ok, score = rule_columns(r.name)
         cols += [f"{skip} as {r.name}_k", f"{ok} as {r.name}_p", f"{score} as {r.name}_s"]
     return f"select tenant_id, trace_id, agent_name, {', '.join(cols)} from {_TEXTS}"
@@ -193,7 +193,7 @@ ORACLES |= {
     "agent_eval_rates": scored_oracle("select r.agent_name, s.eval_type, count(*) as evals, cast(count_if(s.passed) as bigint) as passed from scored s join results r on r.tenant_id = s.tenant_id and r.trace_id = s.trace_id group by r.agent_name, s.eval_type"),
     "custom_rules": oracle(_CUSTOM_ORACLE),
     "regex_flags": oracle("select cast(count_if(contains(output, 'Thing')) as bigint) as plain, cast(count_if(contains(lower(output), 'thing')) as bigint) as hoisted, cast(-1 as bigint) as nested, cast(-1 as bigint) as broken, cast(-1 as bigint) as long from text_traces"),
-    "deployed_rule_scoring": scored_oracle("""select trace_id, cast(5 as integer) as rules_evaluated, floor(raw * 1000e0 + 0.5e0) / 1000e0 as score, raw >= 0.7e0 as passed from (select trace_id,
+    "deployed_rule_scoring": oracle(f"with results as ({_all_results(rules.SAFETY_RULES)}) " + """select trace_id, cast(5 as integer) as rules_evaluated, floor(raw * 1000e0 + 0.5e0) / 1000e0 as score, raw >= 0.7e0 as passed from (select trace_id,
       (no_pii_s * 2e0 + no_blocklist_words_s * 2e0 + no_injection_patterns_s * 2e0 + no_stub_output_s * 1.5e0 + case when n >= 300 then 1e0 else n / 300e0 end) / 8.5e0 as raw from results join (select trace_id as i, length(output) as n from text_traces) on i = trace_id)"""),
     "rule_preview": oracle("select cast(count_if(length(output) > 2000) as bigint) as would_fail, cast(count_if(length(output) <= 2000) as bigint) as would_pass, cast(0 as bigint) as would_skip from text_traces where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-25 00:00:00'"),
 }

@@ -52,6 +52,10 @@ from orders""",
   case when n = 1 then (case when l_orderkey % 17 = 0 then 99 end) when n = 3 and l_orderkey % 10 = 0 then 99 else cast(floor(n / 2) as int) end parent_no,
   case n % 3 when 0 then 'LLM' when 1 then 'INTERNAL' else 'TOOL' end kind,
   case l_returnflag when 'R' then 'ERROR' when 'A' then 'OK' else 'UNSET' end status_code, l_shipdate start_time, l_quantity duration_s
+from {_LINES}""",
+    # Calls of tools, with an error text where one failed.
+    "tool_calls": f"""select {_TENANT} tenant_id, l_orderkey trace_id, concat('tool-', cast(l_suppkey % 8 as string)) tool_name, l_quantity * 20.0e0 latency_ms,
+  case when l_returnflag = 'R' then 'timeout' end error
 from {_LINES}""",
     "rule_results": f"""select {_TENANT} tenant_id, l_orderkey trace_id, cast(n as int) rule_no,
   case n % 4 when 0 then 'safety' when 1 then 'completeness' when 2 then 'relevance' else 'cost' end eval_type,
@@ -60,7 +64,7 @@ from {_LINES}""",
     when 1 then (case when l_partkey % 2 = 0 then 'min_output_length' else 'sentence_count' end)
     when 2 then (case when l_partkey % 2 = 0 then 'keyword_overlap' else 'no_hallucination_markers' end)
     else (case when l_partkey % 2 = 0 then 'cost_under_threshold' else 'token_efficiency' end) end rule_name,
-  l_returnflag <> 'R' and l_suppkey % 10 <> 0 passed, l_suppkey % 10 = 0 skipped, 1 - l_discount * 5 score, o_orderdate created_at
+  l_returnflag <> 'R' and l_suppkey % 10 <> 0 passed, l_suppkey % 10 = 0 skipped, 1 - l_discount * 10 score, o_orderdate created_at
 from {_LINES}""",
     "event_traces": """select event_id trace_id, concat('agent-', cast(user_id % 20 as string)) agent_name, event_type, ts,
   value / 1000 as cost_usd, event_type = 'error' failed, @[prop_k] k from events""",
@@ -70,7 +74,7 @@ from conversations u join conversations a on a.conv_id = u.conv_id and a.turn =
 from documents d join pages p on p.page_id = d.doc_id % (select count(*) from pages)""",
     # Rule lifecycle entries.
     "audit": """select event_id entry_id, concat('t', cast(user_id % 3 as string)) tenant_id, ts,
-  case event_id % 4 when 0 then 'rule.deploy' when 1 then 'rule.toggle' when 2 then 'rule.update' else 'rule.delete' end action,
+  case (event_id + cast(floor(event_id / 40) as bigint)) % 4 when 0 then 'rule.deploy' when 1 then 'rule.toggle' when 2 then 'rule.update' else 'rule.delete' end action,
   concat('user-', cast(user_id % 7 as string)) actor, concat('rule-', cast((event_id * 7) % 40 as string)) rule_id,
   case when event_id % 5 = 0 then null else concat('Rule ', event_type) end rule_name, event_id % 3 <> 0 enabled, event_type from events""",
     # One row per trace and eval type: weighted mean in millionths, so that sums are exact.
