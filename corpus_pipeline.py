@@ -2,7 +2,13 @@
 data is masked, sources are mixed to their weights, and the mix is packed into sequences.
 
 Each stage is judged on its own input, so its statistics, classes and budgets are those of what its
-predecessor kept. All stages but the last return the columns of ``documents``."""
+predecessor kept. All stages but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty, is clean, alike to nothing, taken 0 words by the mix and so not
+packed; a null id is kept by the first three stages; repeated rows of one id are judged alike and, where they
+differ in text, by one text of the id in the second stage, and each is a document of its own in the mix;
+ties go as the operators' docstrings say; very long texts are worked on whole; an empty table gives an empty
+result; further columns pass through all stages but the last, whatever their names."""
 
 from __future__ import annotations
 
@@ -31,9 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data becomes its kind in square brackets; n_chars follows."""
-    found = pii.detect(docs)
-    masked = found.withColumn("text", pii.redacted(found))
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = pii.detect(docs.select("doc_id", "text", row))
+    masked = found.select("row", pii.redacted(found).alias("masked"))
+    made = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    return masked.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
