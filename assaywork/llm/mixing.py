@@ -123,21 +123,19 @@ def mixed_rows(docs: DataFrame, mixture: DataFrame) -> DataFrame:
     and share out what was taken of them, the most first."""
     m = mixture.filter("taken > 0").groupBy("row_key", "size", "taken").agg(F.count("*").alias("n"))
     # a source has whole epochs, with or without one more, and one cut: three values at most
-    m = m.groupBy("row_key").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("shares")).select(F.struct("size", "shares").alias("__m"), F.col("row_key").alias("__k"))
-    d = docs.withColumn("__key", row_key())
-    d = d.join(m, F.col("__key") == F.col("__k"))
-    d = d.withColumn("__number", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
-    start = F.struct(F.col("__number").cast("long").alias("left"), F.lit(0).cast("long").alias("taken"))
+    m = m.groupBy("row_key").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("shares"))
+    d = docs.select(row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(m, "row_key")
+    d = d.withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    start = F.struct(F.col("number").cast("long").alias("left"), F.lit(0).cast("long").alias("taken"))
     step = lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when((a["left"] > 0) & (a["left"] <= x["n"]), x["taken"]).otherwise(a["taken"]).alias("taken"))
-    d = d.withColumn("__taken", F.aggregate("__m.shares", start, step)["taken"]).filter("__taken > 0")
-    size = F.col("__m.size")
-    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / size))))
-    left = F.least(size, F.col("__taken") - F.col("__copy") * size)
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
-    d = d.withColumn("text", F.when(left < size, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast("long"))
-    return d.select(docs.columns)
+    d = d.withColumn("taken", F.aggregate("shares", start, step)["taken"]).filter("taken > 0")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    left = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    text = F.col("row")["text"]
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
+    d = d.withColumn("mixed", F.when(left < F.col("size"), cut).otherwise(text))
+    made = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return d.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

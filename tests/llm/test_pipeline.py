@@ -67,3 +67,18 @@ def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_further_columns_of_any_name_pass_through(spark, folder):
+    """Names that the stages use themselves, nulls in all of them, and a repeated row."""
+    more = ["spans", "row", "masked", "key", "class_id", "id", "score", "predicted", "size", "taken", "row_key", "__key", "__taken", "__m", "__copy", "__words", "a"]
+    docs = common.table(spark, folder, "documents").filter("doc_id < 40 or doc_id >= 2990")
+    docs = docs.unionByName(docs.filter("doc_id = 3000"))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id")).alias(c) for c in more])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stage(stage(spark, docs, folder))
+        if name != "packing":
+            assert docs.columns == COLUMNS + more, name
+            rows = docs.collect()
+            assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}:{r['doc_id']}") for r in rows for c in more), name
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= {*range(40), 3000}
