@@ -4,7 +4,7 @@ Vectors become integers, floor(1024 x), and are grouped by their nearest pivot.
 its count and radius; with them q.x <= q.p + |q| * radius bounds every score in the cell. A query is
 first solved in the cells with the largest q.p that hold enough vectors, which gives a score that its
 k-th best reaches at least. Then it is replicated to exactly the cells whose bound reaches that score;
-the smaller side, the queries, is replicated, never the data. Each block is solved by a matrix product
+queries are replicated to cells, and a cell's data once per 4096 queries in all. Each block is solved by a matrix product
 of integers, exact in double precision, or in Python's integers where they are too large for it.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
