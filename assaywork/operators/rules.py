@@ -105,6 +105,8 @@ class Rule:
     eval_type: str
     weight: float
     evaluate: Callable[[Context], Column]
+    #: Tenants whose outputs it is for; none: all.
+    tenants: tuple[str, ...] = ()
 
 
 def with_facts(df: DataFrame, c: Context, rules: Sequence[Rule]) -> tuple[DataFrame, Context]:
@@ -296,11 +298,12 @@ def apply_rule(df: DataFrame, name: str, config: Mapping[str, Any] | None = None
     return wide.select(*df.columns, rule.evaluate(c).alias("result"))
 
 
-def bundle(results: Column, weights: Sequence[float], threshold: float = THRESHOLD) -> Column:
+def bundle(results: Column, weights: Sequence[float] | Column, threshold: float = THRESHOLD) -> Column:
     """struct<score,passed,rules_evaluated,rules_skipped,insufficient_data,suggestions> of an array of
     results: the weighted mean over those not skipped, rounded half up to three digits, while passing
     is decided before rounding."""
-    pairs = F.arrays_zip(results.alias("r"), F.array(*[F.lit(float(w)) for w in weights]).alias("w"))
+    each = weights if isinstance(weights, Column) else F.array(*[F.lit(float(w)) for w in weights])
+    pairs = F.arrays_zip(results.alias("r"), each.alias("w"))
     used = F.filter(pairs, lambda p: ~p["r"]["skipped"])
     finite = lambda s: F.when(F.isnan(s) | (F.abs(s) == float("inf")), 0.0).otherwise(F.coalesce(s, F.lit(0.0)))
     total = F.aggregate(used, F.lit(0.0), lambda a, p: a + p["w"])
@@ -325,10 +328,12 @@ def evaluate(df: DataFrame, eval_types: Sequence[str] = EVAL_TYPES, keys: Sequen
     df, c = with_facts(df, Context.of(df, config), [r for t in eval_types for r in rules_of(t, more)])
     parts = []
     for t in eval_types:
-        rules = rules_of(t, more)
-        results = F.array(*[r.evaluate(c) for r in rules]) if rules else F.array().cast(f"array<{RESULT}>")
-        parts.append((t, results, [r.weight for r in rules]))
-    staged = df.select(*keys, *[results.alias(f"__{t}") for t, results, _ in parts])
-    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("eval_type"), F.col(f"__{t}").alias("rule_results"), bundle(F.col(f"__{t}"), w, threshold).alias("b")) for t, _, w in parts]))
+        own = rules_of(t, more)
+        weighed = [(r, F.struct(r.evaluate(c).cast(RESULT).alias("r"), F.lit(float(r.weight)).alias("w"))) for r in own]
+        pairs = F.array(*[F.when(F.col("tenant_id").isin(*r.tenants), p) if r.tenants else p for r, p in weighed]) if own else F.array().cast(f"array<struct<r:{RESULT},w:double>>")
+        parts.append((t, F.filter(pairs, lambda p: p.isNotNull()) if any(r.tenants for r in own) else pairs))
+    staged = df.select(*keys, *[pairs.alias(f"__{t}") for t, pairs in parts])
+    of = lambda t, f: F.transform(F.col(f"__{t}"), lambda p: p[f])
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("eval_type"), of(t, "r").alias("rule_results"), bundle(of(t, "r"), of(t, "w"), threshold).alias("b")) for t, _ in parts]))
     out = staged.select(*keys, rows.alias("e")).select(*keys, "e.eval_type", "e.rule_results", "e.b.*")
     return out.withColumn("id", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "eval_type")))

@@ -74,17 +74,35 @@ def judge_to_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, s = view(spark, sf_dir, "agent_traces"), view(spark, sf_dir, "spans")
+    t, s, c = (view(spark, sf_dir, v) for v in ("agent_traces", "spans", "tool_calls"))
+    attributes = F.struct(F.col("duration_s").alias("seconds"), (F.col("span_no") % 2 == 0).alias("even"), F.struct(F.lit("m").alias("model"), F.array(F.lit(1), F.lit(2)).alias("sizes")).alias("call"))
+    event = F.struct(F.lit("started").alias("name"), _string_ts("start_time").alias("timestamp"), F.struct(F.col("span_no").alias("at")).alias("attributes"))
     span = F.struct(F.col("span_no").cast("string").alias("span_id"), F.col("parent_no").cast("string").alias("parent_span_id"), F.col("kind").alias("name"), F.when(F.col("kind") != "INTERNAL", F.col("kind")).alias("kind"),
-                    F.when(F.col("status_code") != "UNSET", F.col("status_code")).alias("status_code"), _string_ts("start_time").alias("start_time"))
-    own = s.groupBy("tenant_id", "trace_id").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-    j = t.join(own, ["tenant_id", "trace_id"], "left")
-    return j.select(F.to_json(F.struct(F.col("trace_id").cast("string").alias("trace_id"), F.when(F.col("tenant_id") != "t0", F.col("tenant_id")).alias("tenant_id"), F.when(F.col("trace_id") % 11 != 0, F.col("agent_name")).alias("agent_name"), _string_ts("ts").alias("timestamp"), "cost_usd", "spans")).alias("value"))
+                    F.when(F.col("status_code") != "UNSET", F.col("status_code")).alias("status_code"), F.when(F.col("status_code") == "ERROR", "failed").alias("status_message"), _string_ts("start_time").alias("start_time"), attributes.alias("attributes"), F.array(event).alias("events"))
+    call = F.struct("tool_name", "latency_ms", "error", F.struct(F.col("trace_id").alias("of")).alias("input"))
+    key = ["tenant_id", "trace_id"]
+    own = s.groupBy(*key).agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    j = t.join(own, key, "left").join(c.groupBy(*key).agg(F.collect_list(call).alias("tool_calls")), key, "left")
+    tokens = F.struct((F.col("trace_id") % 200).alias("prompt_tokens"), (F.col("trace_id") % 300).alias("completion_tokens"), (F.col("trace_id") % 200 + F.col("trace_id") % 300).alias("total_tokens"))
+    tags = F.struct(F.concat(F.lit("request-"), F.col("trace_id").cast("string")).alias("requestId"), (F.col("trace_id") % 3).alias("shard"))
+    return j.select(F.to_json(F.struct(F.col("trace_id").cast("string").alias("trace_id"), F.when(F.col("tenant_id") != "t0", F.col("tenant_id")).alias("tenant_id"), F.when(F.col("trace_id") % 11 != 0, F.col("agent_name")).alias("agent_name"), "framework", _string_ts("ts").alias("timestamp"), "latency_ms", "cost_usd",
+                                       tokens.alias("token_usage"), tags.alias("metadata"), "tool_calls", F.when(F.col("trace_id") % 13 != 0, F.col("spans")).alias("spans"))).alias("value"))
 
 
 def ingest_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, _ = ingest.ingest(_payloads(spark, sf_dir), F.lit("2000-01-01 00:00:00").cast("timestamp"))
-    return t.select(F.col("trace_id").cast("long").alias("trace_id"), "tenant_id", "agent_name", _string_ts("ts").alias("ts"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return t.select(
+        F.col("trace_id").cast("long").alias("trace_id"), "tenant_id", "agent_name", "framework", _string_ts("ts").alias("ts"), size("spans").alias("n_spans"), size("tool_calls").alias("n_tool_calls"),
+        F.col("token_usage.total_tokens").cast("long").alias("total_tokens"), F.try_variant_get(F.element_at("metadata", "requestId"), "$", "string").alias("request_id"),
+        size(F.filter("spans", lambda s: s["status_message"] == "failed")).alias("n_failed"), size(F.filter("spans", lambda s: F.try_variant_get(F.element_at(s["attributes"], "even"), "$", "boolean"))).alias("n_even"))
+
+
+def ingested_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, time and errors of each tool over ingested payloads."""
+    t, _ = ingest.ingest(_payloads(spark, sf_dir), F.lit(None).cast("timestamp"))
+    c = ingest.explode_tool_calls(t)
+    return c.groupBy("tool_name").agg(F.count("*").alias("calls"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.sum(F.round("latency_ms").cast("long")).alias("total_ms"), F.max("latency_ms").alias("slowest_ms"))
 
 
 def ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +152,7 @@ def read_rules_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def otlp_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.otlp(view(spark, sf_dir, "agent_traces"), view(spark, sf_dir, "spans"))
+    return ingest.otlp(ingest.ingest(_payloads(spark, sf_dir), F.lit(None).cast("timestamp"))[0])
 
 
 def write_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +233,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str, mode: str) -> DataFrame
 
 STREAMS = {"stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_first_failure": "append", "stream_sessionize": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
 QUERIES = {f.__name__: f for f in (
-    extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, citation_source_join, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingest_rejects, explode_spans, parse_json_cols,
+    extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, citation_source_join, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingested_tools, ingest_rejects, explode_spans, parse_json_cols,
     ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, query_traces, query_evals, annotate_trend, rule_impact, marker_clusters)}
 QUERIES |= {k: partial(_stream, name=k, mode=m) for k, m in STREAMS.items()}
 
@@ -230,10 +248,13 @@ ORACLES = {
     "judge_requests": oracle("""select trace_id, cast(length(output) + 20 + case when input is null or input = '' then 0 else length(input) + 12 end + case when expected is null or expected = '' then 0 else length(expected) + 20 end as integer) as n_user, expected is null or expected = '' as rejected from text_traces"""),
     "parse_judge_response": oracle(f"""select trace_id, not ({_GOOD}) as malformed, case when {_GOOD} then floor({_SCORE} * 100 + 0.5e0) / 100 end as score, case when {_GOOD} then trace_id % 2 = 0 or {_SCORE} >= 0.7e0 end as passed, cast(case when {_GOOD} then 1 end as integer) as n_dimensions from text_traces"""),
     "judge_to_eval": oracle(f"""select tenant_id, trace_id, 'custom' as eval_type, 'llm_judge:accuracy:openai/gpt-4o' as rule_name, floor({_SCORE} * 100 + 0.5e0) / 100 as score, trace_id % 2 = 0 or {_SCORE} >= 0.7e0 as passed from text_traces where {_GOOD}"""),
-    "ingest_traces": oracle(f"""select t.trace_id, case when t.tenant_id = 't0' then 'local' else t.tenant_id end as tenant_id, t.agent_name, {_U.format('t.ts')} as ts, cast(coalesce(s.n, 0) as integer) as n_spans
-      from agent_traces t left join (select tenant_id, trace_id, count(*) as n from spans group by 1, 2) s on s.tenant_id = t.tenant_id and s.trace_id = t.trace_id where t.trace_id % 11 <> 0"""),
+    "ingest_traces": oracle(f"""select t.trace_id, case when t.tenant_id = 't0' then 'local' else t.tenant_id end as tenant_id, t.agent_name, t.framework, {_U.format('t.ts')} as ts, {', '.join(f"cast(case when t.trace_id % 13 = 0 then 0 else coalesce(s.{k}, 0) end as integer) as {v}" for k, v in (("n", "n_spans"), ("f", "n_failed"), ("e", "n_even")))},
+      cast(coalesce(c.n, 0) as integer) as n_tool_calls, cast(t.trace_id % 200 + t.trace_id % 300 as bigint) as total_tokens, concat('request-', cast(t.trace_id as string)) as request_id
+      from agent_traces t left join (select tenant_id, trace_id, count(*) as n, count_if(status_code = 'ERROR') as f, count_if(span_no % 2 = 0) as e from spans group by 1, 2) s on s.tenant_id = t.tenant_id and s.trace_id = t.trace_id
+      left join (select tenant_id, trace_id, count(*) as n from tool_calls group by 1, 2) c on c.tenant_id = t.tenant_id and c.trace_id = t.trace_id where t.trace_id % 11 <> 0"""),
+    "ingested_tools": oracle("select tool_name, count(*) as calls, cast(count_if(error is not null) as bigint) as errors, cast(sum(cast(round(latency_ms) as bigint)) as bigint) as total_ms, max(latency_ms) as slowest_ms from tool_calls where trace_id % 11 <> 0 group by 1"),
     "ingest_rejects": oracle("select count(*) as rejects from agent_traces where trace_id % 11 = 0"),
-    "explode_spans": oracle("select case when tenant_id = 't0' then 'local' else tenant_id end as tenant_id, kind, status_code, count(*) as spans from spans where trace_id % 11 <> 0 group by 1, 2, 3"),
+    "explode_spans": oracle("select case when tenant_id = 't0' then 'local' else tenant_id end as tenant_id, kind, status_code, count(*) as spans from spans where trace_id % 11 <> 0 and trace_id % 13 <> 0 group by 1, 2, 3"),
     "parse_json_cols": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
     "ingest_callback_events": oracle("""select cast(floor(trace_id / 6) as bigint) as run_id, cast(sum(k) as bigint) as prompt_tokens, cast(sum(2 * k) as bigint) as completion_tokens, cast(count_if(trace_id % 6 = 3) as bigint) as tool_calls, max(case when trace_id % 6 = 5 then event_type end) as output from event_traces group by 1"""),
     "read_audit_log": oracle("select case when tenant_id = 't0' then 'local' else tenant_id end as tenant_id, action, count(*) as entries from audit where entry_id % 13 <> 0 and entry_id % 9 <> 0 group by 1, 2"),

@@ -5,28 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "span_id string, parent_span_id string, name string, kind string, status_code string, start_time string, end_time string"
-PAYLOAD = f"trace_id string, tenant_id string, agent_name string, framework string, input string, output string, latency_ms double, cost_usd double, timestamp string, spans array<struct<{', '.join(c.replace(' ', ':', 1) for c in SPAN.split(', ')).replace(', ', ',')}>>"
+ATTRIBUTES = "map<string,variant>"
+SPAN = f"struct<span_id:string,parent_span_id:string,name:string,kind:string,status_code:string,status_message:string,start_time:string,end_time:string,attributes:{ATTRIBUTES},events:array<struct<name:string,timestamp:string,attributes:{ATTRIBUTES}>>>"
+TOOL_CALL = "struct<tool_name:string,input:variant,output:variant,latency_ms:double,error:string>"
+PAYLOAD = f"""trace_id string, tenant_id string, agent_name string, framework string, input string, output string, tool_calls array<{TOOL_CALL}>, latency_ms double,
+  token_usage struct<prompt_tokens:double,completion_tokens:double,total_tokens:double>, cost_usd double, metadata {ATTRIBUTES}, timestamp string, spans array<{SPAN}>"""
+KINDS = ("INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER", "LLM", "TOOL")
+STATUSES = ("UNSET", "OK", "ERROR")
 AUDIT = "ts string, tenantId string, action string, user string, ruleId string, ruleName string, details map<string,string>"
 ACTIONS = ("rule.deploy", "rule.delete", "rule.toggle", "rule.update")
 
 
 def ingest(lines: DataFrame, now: Column, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(traces, rejects) of payload lines. An agent name is required; kind, status, tenant and time have
-    defaults; a missing id is a digest of the payload, so that a second run mints the same."""
+    """(traces, rejects) of payload lines. An agent name is required, of each span a name, a start and a
+    known kind and status, of each tool call a name; kind, status, tenant and time have defaults; a
+    missing id is a digest of the payload, so that a second run mints the same. Values of metadata and
+    attributes keep their JSON types."""
     read = lines.select(F.col(column), F.from_json(column, PAYLOAD).alias("p"))
-    good = F.coalesce(F.col("p.agent_name") != "", F.lit(False))
-    trace_id = F.coalesce("p.trace_id", F.md5(F.col(column).cast("binary")))
-    spans = F.transform("p.spans", lambda s: F.struct(
-        F.coalesce(s["span_id"], F.md5(F.to_json(s))).alias("span_id"), s["parent_span_id"].alias("parent_span_id"), trace_id.alias("trace_id"), s["name"].alias("name"),
-        F.coalesce(s["kind"], F.lit("INTERNAL")).alias("kind"), F.coalesce(s["status_code"], F.lit("UNSET")).alias("status_code"),
-        F.to_timestamp(s["start_time"]).alias("start_time"), F.to_timestamp(s["end_time"]).alias("end_time")))
+    among = lambda c, known: c.isNull() | c.isin(*known)
+    whole = F.forall("p.spans", lambda s: s["name"].isNotNull() & s["start_time"].isNotNull() & among(s["kind"], KINDS) & among(s["status_code"], STATUSES))
+    called = F.forall("p.tool_calls", lambda c: c["tool_name"].isNotNull())
+    good = F.coalesce((F.col("p.agent_name") != "") & F.coalesce(whole, F.col("p.spans").isNull()) & F.coalesce(called, F.col("p.tool_calls").isNull()), F.lit(False))
+    minted = F.md5(F.col(column).cast("binary"))
+    trace_id = F.coalesce("p.trace_id", minted)
+    spans = F.transform("p.spans", lambda s, i: F.struct(
+        F.coalesce(s["span_id"], F.substring(F.md5(F.concat_ws("/", minted, i.cast("string")).cast("binary")), 1, 16)).alias("span_id"), s["parent_span_id"].alias("parent_span_id"), trace_id.alias("trace_id"), s["name"].alias("name"),
+        F.coalesce(s["kind"], F.lit("INTERNAL")).alias("kind"), F.coalesce(s["status_code"], F.lit("UNSET")).alias("status_code"), s["status_message"].alias("status_message"),
+        F.try_to_timestamp(s["start_time"]).alias("start_time"), F.try_to_timestamp(s["end_time"]).alias("end_time"), s["attributes"].alias("attributes"), s["events"].alias("events")))
     traces = read.filter(good).select(
-        trace_id.alias("trace_id"), F.coalesce("p.tenant_id", F.lit("local")).alias("tenant_id"), "p.agent_name", "p.framework", "p.input", "p.output", "p.latency_ms", "p.cost_usd",
-        F.coalesce(F.to_timestamp("p.timestamp"), now).alias("ts"), spans.alias("spans"))
+        trace_id.alias("trace_id"), F.coalesce("p.tenant_id", F.lit("local")).alias("tenant_id"), "p.agent_name", "p.framework", "p.input", "p.output", "p.tool_calls", "p.latency_ms", "p.token_usage", "p.cost_usd", "p.metadata",
+        F.coalesce(F.try_to_timestamp(F.col("p.timestamp")), now).alias("ts"), spans.alias("spans"))
     return traces, read.filter(~good).select(column)
 
 
+def explode_tool_calls(traces: DataFrame) -> DataFrame:
+    return traces.select("tenant_id", "trace_id", F.inline("tool_calls"))
+
+
 def explode_spans(traces: DataFrame) -> DataFrame:
     return traces.select("tenant_id", F.inline("spans"))
 
@@ -64,19 +79,72 @@ def runs_of_callbacks(events: DataFrame, redact: bool = False) -> DataFrame:
     return runs.withColumn("cost_usd", F.floor(cost * 10000 + 0.5) / 10000)
 
 
-def otlp(traces: DataFrame, spans: DataFrame) -> DataFrame:
-    """(tenant_id, trace_id, payload): spans of a trace as export JSON; a trace without spans gets a root.
-    Kinds and statuses by number; ids as hex digests of the names; times in nanoseconds."""
-    kind = F.when(F.col("kind") == "SERVER", 2).when(F.col("kind") == "CLIENT", 3).when(F.col("kind") == "PRODUCER", 4).when(F.col("kind") == "CONSUMER", 5).otherwise(1)
-    status = F.when(F.col("status_code") == "OK", 1).when(F.col("status_code") == "ERROR", 2).otherwise(0)
-    nanos = lambda c: F.concat((F.unix_micros(c.cast("timestamp"))).cast("string"), F.lit("000"))
-    hex_id = lambda *c: F.md5(F.concat_ws("/", *[F.col(x).cast("string") for x in c]).cast("binary"))
-    one = F.struct(
-        hex_id("tenant_id", "trace_id").alias("traceId"), F.substring(hex_id("trace_id", "span_no"), 1, 16).alias("spanId"),
-        F.when(F.col("parent_no").isNotNull(), F.substring(hex_id("trace_id", "parent_no"), 1, 16)).alias("parentSpanId"),
-        F.col("kind").alias("name"), kind.alias("kind"), nanos(F.col("start_time")).alias("startTimeUnixNano"), F.struct(status.alias("code")).alias("status"))
-    grouped = spans.groupBy("tenant_id", "trace_id").agg(F.sort_array(F.collect_list(F.struct("span_no", one.alias("span")))).alias("s"))
-    root = F.array(F.struct(hex_id("tenant_id", "trace_id").alias("traceId"), F.substring(hex_id("trace_id"), 1, 16).alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"),
-                            F.col("agent_name").alias("name"), F.lit(1).alias("kind"), nanos(F.col("ts")).alias("startTimeUnixNano"), F.struct(F.lit(0).alias("code")).alias("status")))
-    joined = traces.join(grouped, ["tenant_id", "trace_id"], "left")
-    return joined.select("tenant_id", "trace_id", F.to_json(F.struct(F.coalesce(F.transform("s", lambda x: x["span"]), root).alias("spans"))).alias("payload"))
+def typed(value: Column, depth: int = 2) -> Column:
+    """An attribute's value as the export has it: by its JSON type, arrays and objects ``depth`` deep and as JSON text below."""
+    kind = F.schema_of_variant(value)
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "VOID", "null")
+    number = F.try_variant_get(value, "$", "double")
+    nested, names = kind.startswith("ARRAY") | kind.startswith("OBJECT"), []
+    if depth:
+        inner = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: typed(v, depth - 1))
+        pairs = F.transform(F.map_entries(F.try_variant_get(value, "$", ATTRIBUTES)), lambda e: F.struct(e["key"].alias("key"), typed(e["value"], depth - 1).alias("value")))
+        names = [F.when(kind.startswith("ARRAY"), F.struct(inner.alias("values"))).alias("arrayValue"), F.when(kind.startswith("OBJECT"), F.struct(pairs.alias("values"))).alias("kvlistValue")]
+    else:
+        text = text.when(nested, F.to_json(value))
+    whole = kind == "BIGINT"
+    real = (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
+    return F.struct(text.alias("stringValue"), F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).alias("boolValue"),
+                    F.when(whole, F.try_variant_get(value, "$", "string")).alias("intValue"), F.when(real, number).alias("doubleValue"), *names)
+
+
+def _attributes(values: Column) -> Column:
+    return F.coalesce(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), typed(e["value"]).alias("value"))), F.array())
+
+
+def _hex(raw: Column, digits: int, least: int) -> Column:
+    """An id of so many hex digits: one that is hex already is cut or filled with zeros, any other is hashed."""
+    plain = F.lower(F.replace(raw, F.lit("-")))
+    return F.when(plain.rlike(f"^[0-9a-f]{{{least},}}$"), F.rpad(F.substring(plain, 1, digits), digits, "0")).otherwise(F.substring(F.md5(raw.cast("binary")), 1, digits))
+
+
+def _nanos(at: Column) -> Column:
+    return F.coalesce(F.concat(F.unix_millis(at).cast("string"), F.lit("000000")), F.lit("0"))
+
+
+def otlp(traces: DataFrame, service: str = "agents", prefix: str = "agent", longest: int = 4096) -> DataFrame:
+    """(tenant_id, trace_id, payload): export JSON of ingested traces, one projection. Kinds and statuses
+    by number, LLM and TOOL as an attribute besides; a span without an end ends where it starts; a trace
+    without spans gives one of its own fields, with texts cut to ``longest`` characters."""
+    def numbered(c: Column, known: tuple[str, ...], other: int) -> Column:
+        found = F.lit(other)
+        for i, k in enumerate(known):
+            found = F.when(c == k, i).otherwise(found)
+        return found
+
+    own = lambda name, c: F.struct(F.lit(f"{prefix}.{name}").alias("key"), typed(c).alias("value"))
+    one = lambda name, c: F.when(c.isNotNull(), own(name, c.cast("variant")))
+    cut = lambda c: F.when(F.col(c) != "", F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit("…"))).otherwise(F.col(c)))
+
+    def span(s: Column) -> Column:
+        special = F.when(s["kind"].isin("LLM", "TOOL"), F.array(own("span_kind", s["kind"].cast("variant")))).otherwise(F.array())
+        events = F.transform(s["events"], lambda e: F.struct(_nanos(F.try_to_timestamp(e["timestamp"])).alias("timeUnixNano"), e["name"].alias("name"), _attributes(e["attributes"]).alias("attributes")))
+        return F.struct(
+            _hex(s["trace_id"], 32, 16).alias("traceId"), _hex(s["span_id"], 16, 8).alias("spanId"), F.when(s["parent_span_id"] != "", _hex(s["parent_span_id"], 16, 8)).alias("parentSpanId"), s["name"].alias("name"),
+            numbered(s["kind"], ("", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER"), 1).alias("kind"), _nanos(s["start_time"]).alias("startTimeUnixNano"), _nanos(F.coalesce(s["end_time"], s["start_time"])).alias("endTimeUnixNano"),
+            F.concat(_attributes(s["attributes"]), special).alias("attributes"), F.coalesce(events, F.array()).alias("events"), F.struct(numbered(s["status_code"], STATUSES, 0).alias("code"), s["status_message"].alias("message")).alias("status"))
+
+    usage = lambda name: F.col(f"token_usage.{name}")
+    whole = lambda c: F.when(c == F.floor(c), F.floor(c).cast("variant")).otherwise(c.cast("variant"))
+    number = lambda name, c: F.when(c.isNotNull(), own(name, whole(c)))
+    attributes = F.array(one("agent_name", F.col("agent_name")), one("framework", F.col("framework")), one("input", cut("input")), one("output", cut("output")), number("cost_usd", F.col("cost_usd")),
+                         *[number(k, usage(k)) for k in ("total_tokens", "prompt_tokens", "completion_tokens")])
+    end = F.timestamp_micros(F.unix_micros("ts") + F.coalesce(F.col("latency_ms") * 1000, F.lit(0)).cast("long"))
+    root = F.struct(
+        _hex(F.col("trace_id"), 32, 16).alias("traceId"), _hex(F.concat("trace_id", F.lit(":root")), 16, 8).alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"), F.col("agent_name").alias("name"),
+        F.lit(1).alias("kind"), _nanos(F.col("ts")).alias("startTimeUnixNano"), _nanos(end).alias("endTimeUnixNano"), F.filter(attributes, lambda a: a.isNotNull()).alias("attributes"),
+        F.array().alias("events"), F.struct(F.lit(0).alias("code"), F.lit(None).cast("string").alias("message")).alias("status"))
+    spans = F.when(F.size("spans") > 0, F.transform("spans", span)).otherwise(F.array(root))
+    named = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value"))).alias("attributes"))
+    scope = F.struct(F.struct(F.lit(f"{prefix}.trace").alias("name")).alias("scope"), spans.alias("spans"))
+    request = F.struct(F.array(F.struct(named.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))
+    return traces.select("tenant_id", "trace_id", F.to_json(request).alias("payload"))
