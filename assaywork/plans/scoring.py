@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaywork.operators import custom, rules
+from assaywork.operators import custom, deployed, rules
 from assaywork.sources.views import oracle, spread, view
 
 
@@ -169,9 +169,37 @@ def regex_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(*counts)
 
 
+#: Keywords that the rules which exclude some are about, by rule number.
+KEYWORDS = ("idiot", "the", "und", "scum")
+
+
+def _deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = view(spark, sf_dir, "deployed_rules")
+    bound = F.pow(F.lit(2), F.col("k") % 6 + 7).cast("int")
+    config = F.when(F.col("type") == "min_length", F.to_json(F.struct(bound.alias("length")))).when(F.col("type") == "cost_threshold", F.to_json(F.struct(((F.col("k") % 8) / 64).alias("max_cost"))))
+    config = config.otherwise(F.to_json(F.struct(F.array(F.get(F.array(*map(F.lit, KEYWORDS)), F.col("k") % 4)).alias("keywords"))))
+    text = F.concat(F.lit('{"name": "'), F.col("rule_id"), F.lit('", "type": "'), F.col("type"), F.lit('", "weight": '), (F.col("k") % 2 + 1).cast("string"), F.lit(', "config": '), config, F.lit("}"))
+    return r.select("tenant_id", "rule_id", "eval_type", "enabled", text.alias("definition"))
+
+
 def deployed_rule_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    more = [custom.custom_rule({"name": "at-least-300", "type": "min_length", "config": {"length": 300}}, "safety")]
-    return rules.evaluate(texts(spark, sf_dir), ["safety"], more=more).select("trace_id", "rules_evaluated", "score", "passed")
+    """Safety and cost with each tenant's enabled rules."""
+    e = deployed.score(texts(spark, sf_dir), _deployed(spark, sf_dir), ("safety", "cost"))
+    return e.select("tenant_id", "trace_id", "eval_type", "rules_evaluated", "rules_skipped", "score", "passed")
+
+
+def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored again, against its stored evals."""
+    return deployed.replay(texts(spark, sf_dir), view(spark, sf_dir, "stored_evals"))
+
+
+_NOW = ("safety", "cost")
+_OWN = {t: [r for r in rules.BUILT_IN if r.eval_type == t] for t in _NOW}
+_BASE = " union all ".join(f"""select tenant_id, trace_id, '{t}' as eval_type, {' + '.join(f"case when {r.name}_k then 0e0 else {r.name}_s * {r.weight}e0 end" for r in own)} as points,
+  {' + '.join(f"case when {r.name}_k then 0e0 else {r.weight}e0 end" for r in own)} as weight, {' + '.join(f"cast({r.name}_k as int)" for r in own)} as skipped, {len(own)} as rules from results""" for t, own in _OWN.items())
+_MORE = f"""select t.tenant_id, t.trace_id, d.eval_type, sum((d.k % 2 + 1) * case d.type when 'min_length' then least(1e0, length(t.output) / cast(pow(2, d.k % 6 + 7) as double))
+    when 'cost_threshold' then cast(coalesce(t.cost_usd, 0) <= (d.k % 8) / 64e0 as int) else cast(not contains(lower(t.output), case d.k % 4 {' '.join(f"when {i} then {q(w)}" for i, w in enumerate(KEYWORDS))} end) as int) end) as points, sum(d.k % 2 + 1) as weight, count(*) as n
+  from text_traces t join deployed_rules d on d.tenant_id = t.tenant_id and d.enabled group by 1, 2, 3"""
 
 
 def rule_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +212,7 @@ QUERIES = {f"rule_{r.name}": partial(rule_query, name=r.name) for r in rules.BUI
 ORACLES = {f"rule_{r.name}": rule_oracle(r.name) for r in rules.BUILT_IN}
 QUERIES |= {
     "score_all_types": score_all_types, "score_bundle": score_bundle, "suggestions": suggestions, "agent_eval_rates": agent_eval_rates, "custom_rules": custom_rules,
-    "regex_flags": regex_flags, "deployed_rule_scoring": deployed_rule_scoring, "rule_preview": rule_preview,
+    "regex_flags": regex_flags, "deployed_rule_scoring": deployed_rule_scoring, "replay": replay, "rule_preview": rule_preview,
 }
 ORACLES |= {
     "score_all_types": scored_oracle("select * exclude (n_suggestions) from scored"),
@@ -193,7 +221,11 @@ ORACLES |= {
     "agent_eval_rates": scored_oracle("select r.agent_name, s.eval_type, count(*) as evals, cast(count_if(s.passed) as bigint) as passed from scored s join results r on r.tenant_id = s.tenant_id and r.trace_id = s.trace_id group by r.agent_name, s.eval_type"),
     "custom_rules": oracle(_CUSTOM_ORACLE),
     "regex_flags": oracle("select cast(count_if(contains(output, 'Thing')) as bigint) as plain, cast(count_if(contains(lower(output), 'thing')) as bigint) as hoisted, cast(-1 as bigint) as nested, cast(-1 as bigint) as broken, cast(-1 as bigint) as long from text_traces"),
-    "deployed_rule_scoring": oracle(f"with results as ({_all_results(rules.SAFETY_RULES)}) " + """select trace_id, cast(5 as integer) as rules_evaluated, floor(raw * 1000e0 + 0.5e0) / 1000e0 as score, raw >= 0.7e0 as passed from (select trace_id,
-      (no_pii_s * 2e0 + no_blocklist_words_s * 2e0 + no_injection_patterns_s * 2e0 + no_stub_output_s * 1.5e0 + case when n >= 300 then 1e0 else n / 300e0 end) / 8.5e0 as raw from results join (select trace_id as i, length(output) as n from text_traces) on i = trace_id)"""),
+    "deployed_rule_scoring": oracle(f"with results as ({_all_results(tuple(r.name for own in _OWN.values() for r in own))}), base as ({_BASE}), more as ({_MORE}) " + """select tenant_id, trace_id, eval_type, cast(n as integer) as rules_evaluated, cast(skipped as integer) as rules_skipped,
+      case when n = 0 then 0e0 else floor(points / weight * 1000e0 + 0.5e0) / 1000e0 end as score, n > 0 and points / weight >= 0.7e0 as passed from (
+      select b.tenant_id, b.trace_id, b.eval_type, b.skipped, b.rules - b.skipped + coalesce(m.n, 0) as n, b.points + coalesce(m.points, 0) as points, b.weight + coalesce(m.weight, 0) as weight
+      from base b left join more m on m.tenant_id = b.tenant_id and m.trace_id = b.trace_id and m.eval_type = b.eval_type) x"""),
+    "replay": scored_oracle("""select s.tenant_id, s.trace_id, s.eval_type, s.score, s.passed, o.score as stored_score, o.passed as stored_passed, floor((s.score - o.score) * 1000 + 0.5e0) / 1000 as delta, s.passed <> o.passed as changed
+      from scored s left join stored_evals o on o.tenant_id = s.tenant_id and o.trace_id = s.trace_id and o.eval_type = s.eval_type"""),
     "rule_preview": oracle("select cast(count_if(length(output) > 2000) as bigint) as would_fail, cast(count_if(length(output) <= 2000) as bigint) as would_pass, cast(0 as bigint) as would_skip from text_traces where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-25 00:00:00'"),
 }

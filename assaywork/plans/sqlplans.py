@@ -253,8 +253,6 @@ SQL: dict[str, str] = {
       select e.tenant_id, e.trace_id, cast(sum(cast(round(e.score * 1000) as bigint) * case e.eval_type when 'completeness' then 30 when 'relevance' then 30 when 'safety' then 25 else 15 end) as double) / 1000 as points,
         cast(sum(case e.eval_type when 'completeness' then 30 when 'relevance' then 30 when 'safety' then 25 else 15 end) as double) as weight, max(coalesce(u.n, 0)) as unsafe
       from evals e left join (select tenant_id, trace_id, count(*) as n from rule_results where eval_type = 'safety' and not skipped and score <= 0.0 group by tenant_id, trace_id) u on u.tenant_id = e.tenant_id and u.trace_id = e.trace_id group by e.tenant_id, e.trace_id) x""",
-    "replay": """select e.eval_type, count(*) as evals, cast(count_if(e.passed <> (r.n_failed = 0)) as bigint) as changed from evals e join (select tenant_id, trace_id, eval_type, count_if(not skipped and not passed) as n_failed from rule_results group by tenant_id, trace_id, eval_type) r
-      on r.tenant_id = e.tenant_id and r.trace_id = e.trace_id and r.eval_type = e.eval_type group by e.eval_type""",
 }
 _DOUBLE = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\w'])")
 SQL = {k: _DOUBLE.sub(r"\1e0", v.replace("EVENTS_AS_OF", "@E").replace("AS_OF", AS_OF).replace("@E", EVENTS_AS_OF)) for k, v in SQL.items()}

@@ -77,6 +77,14 @@ from documents d join pages p on p.page_id = d.doc_id % (select count(*) from pa
   case (event_id + cast(floor(event_id / 40) as bigint)) % 4 when 0 then 'rule.deploy' when 1 then 'rule.toggle' when 2 then 'rule.update' else 'rule.delete' end action,
   concat('user-', cast(user_id % 7 as string)) actor, concat('rule-', cast((event_id * 7) % 40 as string)) rule_id,
   case when event_id % 5 = 0 then null else concat('Rule ', event_type) end rule_name, event_id % 3 <> 0 enabled, event_type from events""",
+    # Rules as they stand: the latest entry of each says whether it is enabled or deleted.
+    "deployed_rules": """select tenant_id, rule_id, case when k % 2 = 0 then 'safety' else 'cost' end eval_type, enabled, k,
+  case k % 3 when 0 then 'min_length' when 1 then 'excludes_keywords' else 'cost_threshold' end type
+from (select *, cast(substring(rule_id, 6) as int) k, row_number() over (partition by tenant_id, rule_id order by ts desc, entry_id desc) n from audit where action <> 'rule.update') x
+where n = 1 and action <> 'rule.delete'""",
+    # Evals of texts as an earlier set of rules left them.
+    "stored_evals": """select t.tenant_id, t.trace_id, e.eval_type, cast(t.trace_id * e.f % 101 as double) / 100 score, t.trace_id * e.f % 101 >= 70 passed
+from text_traces t join (select 'completeness' eval_type, 7 f union all select 'relevance', 11 union all select 'safety', 13 union all select 'cost', 17) e on t.trace_id % 19 <> e.f""",
     # One row per trace and eval type: weighted mean in millionths, so that sums are exact.
     "evals": """select tenant_id, trace_id, eval_type, created_at, n_used as rules_evaluated, n_skipped as rules_skipped, n_used = 0 as insufficient_data,
   case when n_used = 0 then 0.0e0 else floor(points / weight / 1000 + 0.5e0) / 1000 end as score,
@@ -111,7 +119,7 @@ from (
       on r.tenant_id = t.tenant_id and r.trace_id = t.trace_id) a) b""",
 }
 #: Views that a view reads.
-NEEDS = {"evals": ["rule_results"], "moments": ["agent_traces", "evals", "rule_results"]}
+NEEDS = {"deployed_rules": ["audit"], "stored_evals": ["text_traces"], "evals": ["rule_results"], "moments": ["agent_traces", "evals", "rule_results"]}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
