@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assaywork.operators import citations, judge, spans, timeline
 from assaywork.sources import ingest
+from assaywork.plans.scoring import scored_oracle
 from assaywork.plans.sqlplans import AS_OF
 from assaywork.sources.views import oracle, render, view
 from assaywork.streaming import jobs
@@ -157,11 +158,7 @@ def otlp_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evals written by day and read back."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-assay-")
-    path = f"{shared.rstrip('/')}/evals-{uuid.uuid4().hex}"
+    path = jobs.shared_folder(spark, "evals")
     e = view(spark, sf_dir, "evals").withColumn("event_date", F.to_date("created_at"))
     e.repartition("event_date").write.partitionBy("event_date").parquet(path)
     return spark.read.parquet(path).groupBy("event_date").agg(F.count("*").alias("evals")).select(F.col("event_date").cast("string").alias("event_date"), "evals")
@@ -226,15 +223,24 @@ def marker_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.clusters(a).withColumn("n", F.col("n").cast("int"))
 
 
+def _plain_times(df: DataFrame) -> DataFrame:
+    return df.select(*[_string_ts(c).alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str, mode: str) -> DataFrame:
-    out = jobs.run_to_end(getattr(jobs, name)(jobs.events(spark, sf_dir)), mode)
-    return out.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if t == "timestamp" else F.col(c) for c, t in out.dtypes])
+    source = jobs.texts if name == "stream_score" else jobs.events
+    return _plain_times(jobs.run_to_end(getattr(jobs, name)(source(spark, sf_dir)), mode))
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows with late rows added up: four arrivals, the stream resumed for each."""
+    return _plain_times(jobs.late_arrivals(spark, sf_dir))
 
 
 STREAMS = {"stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_first_failure": "append", "stream_sessionize": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
 QUERIES = {f.__name__: f for f in (
     extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, citation_source_join, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingested_tools, ingest_rejects, explode_spans, parse_json_cols,
-    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, query_traces, query_evals, annotate_trend, rule_impact, marker_clusters)}
+    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, query_traces, query_evals, annotate_trend, rule_impact, marker_clusters, stream_late)}
 QUERIES |= {k: partial(_stream, name=k, mode=m) for k, m in STREAMS.items()}
 
 _U = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -268,7 +274,9 @@ ORACLES = {
     "keyword_sets": oracle(f"select trace_id, cast(len(list_intersect({_W.format('input')}, {_W.format('output')})) as integer) as common, cast(len(list_distinct(list_concat({_W.format('input')}, {_W.format('output')}))) as integer) as either from conv_traces"),
     "span_tree": oracle("""select tenant_id, trace_id, span_no, cast(depth as integer) as depth, cast(row_number() over (partition by tenant_id, trace_id order by path) - 1 as integer) as place from tree
       union all select s.tenant_id, s.trace_id, s.span_no, 0, cast(row_number() over (partition by s.tenant_id, s.trace_id order by s.start_time, s.span_no) - 1 as integer) from spans s where not exists (select 1 from tree t where t.tenant_id = s.tenant_id and t.trace_id = s.trace_id)""").replace("with ", "with recursive ", 1),
-    "stream_score": oracle("select trace_id, agent_name, not failed and cost_usd <= 0.1e0 as passed from event_traces"),
+    "stream_score": scored_oracle("select tenant_id, trace_id, eval_type, score, passed from scored"),
+    "stream_late": oracle(f"""select {_U.format('start')} as start, count(*) as traces, cast(count_if(not failed) as bigint) as passed, cast(count_if(coalesce(ts < newest - interval 2 hours, false)) as bigint) as late from (
+      select e.*, time_bucket(interval 6 hours, e.ts, timestamp '1970-01-01') as start, m.newest from event_traces e left join (select k.k, max(o.ts) as newest from (select * from (values (1), (2), (3)) v(k)) k join event_traces o on o.trace_id % 4 < k.k group by k.k) m on m.k = e.trace_id % 4) x group by 1"""),
     "stream_trend": oracle(f"select {_U.format('time_bucket(interval 6 hours, ts, timestamp ' + chr(39) + '1970-01-01' + chr(39) + ')')} as start, count(*) as traces, cast(count_if(not failed) as bigint) as passed from event_traces group by 1"),
     "stream_pulse": oracle(f"select {_U.format('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts) + to_hours(cast(h as integer))')} as \"end\", count(*) as traces, cast(count_if(not failed) as bigint) as passed from event_traces, range(1, 25) r(h) group by 1"),
     "stream_first_failure": oracle("select distinct agent_name, event_type from event_traces where failed"),
