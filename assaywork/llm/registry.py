@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function of session and folder) and ORACLES (name to SQL).
-MODULES = ("suffix_dedup", "packing", "mixing", "near_dedup", "toxicity", "nearest", "pii", "url_filter", "ngram_lm", "topk")
+MODULES = ("suffix_dedup", "packing", "mixing", "near_dedup", "toxicity", "nearest", "pii", "url_filter", "ngram_lm", "topk", "align", "quality", "fim")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
