@@ -27,7 +27,7 @@ import heapq
 import json
 import math
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, groupby
 
@@ -268,6 +268,13 @@ def settle(t: pa.Table, said: bytes | None, of_documents: bool) -> pa.Table:
     return _table(t["part"][0].as_py(), t["child"].to_pylist(), data)
 
 
+def _passing_on(of_documents: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def pass_on(own: pa.Table, said: pa.Table) -> pa.Table:
+        return settle(own, said["data"][0].as_py(), of_documents) if own.num_rows else _table(0, [], [])
+
+    return pass_on
+
+
 def encoded(docs: DataFrame, a_path: str, b_path: str, digest: bool, run_bytes: int = RUN, parts: int = PARTS) -> DataFrame:
     """Rows of documents (part null) with their run and number in it, and rows of runs, one for each part."""
     names = [c.split()[0] for c in ROWS.split(", ")]
@@ -329,10 +336,7 @@ def links(docs: DataFrame, a_path: str, b_path: str, digest: bool = False, run_b
         asked = below.withColumn("node", node(nodes))
         told = stage(answers).withColumnRenamed("child", "node")
 
-        def pass_on(own: pa.Table, said: pa.Table, of_documents: bool = k == 0) -> pa.Table:
-            return settle(own, said["data"][0].as_py(), of_documents) if own.num_rows else _table(0, [], [])
-
-        answers = asked.groupBy("part", "node").cogroup(told.groupBy("part", "node")).applyInArrow(pass_on, SPILT)
+        answers = asked.groupBy("part", "node").cogroup(told.groupBy("part", "node")).applyInArrow(_passing_on(k == 0), SPILT)
     answers = stage(answers)
     for up, _ in levels[1:]:
         drop_staged(up)

@@ -1,7 +1,8 @@
 """Quality: supervised subword embeddings, learnt by stochastic gradient descent.
 
 A document is the average of the vectors of its words, of the character n-grams of its words (with marks for a
-word's start and end), of its pairs of neighbouring words, and of one end mark, all hashed to 2**BITS places; a
+word's start and end), of its pairs of neighbouring words (a word that follows itself counts as one more pair, the same
+for all words), and of one end mark, all hashed to 2**BITS places; a
 softmax over two outputs gives the chance of a label. Training reads a bounded sample of labelled texts (``sample``
 rows, those of least digest) in one task, in numpy. As the average is linear, scoring needs each place's product with
 the outputs only, an array of a proven bound (2**BITS x 2), which is broadcast; each distinct word of a megabyte of
@@ -32,7 +33,7 @@ SAMPLE = 8_000
 #: Characters of an n-gram.
 GRAMS = (3, 4, 5)
 THRESHOLD = 0.5
-_START, _END, _PAIR, _DONE = (JOIN[k] for k in (30, 31, 32, 33))
+_START, _END, _PAIR, _DONE, _TWICE = (JOIN[k] for k in (30, 31, 32, 33, 34))
 
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -76,7 +77,7 @@ def subwords(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 class Features:
     """Places of a chunk's texts. ``word``: each token's distinct word, ``doc``: its text; ``part_of`` and ``part``: the
-    distinct words' places; ``pair_doc`` and ``pair``: those of pairs of neighbours."""
+    distinct words' places; ``pair_doc`` and ``pair``: those of pairs of neighbours, texts ascending."""
 
     def __init__(self, c: Chunk, bits: int):
         shift = np.uint64(64 - bits)
@@ -94,8 +95,12 @@ class Features:
         self.part_of = np.concatenate([np.arange(len(distinct)), of])
         self.part = (np.concatenate([mix(distinct + _DONE), sub]) >> shift).astype(np.int64)
         same = self.doc[1:] == self.doc[:-1]
-        self.pair_doc = self.doc[1:][same]
-        self.pair = (mix(gram(hashes, 0, 1)[same] + _PAIR) >> shift).astype(np.int64) if same.any() else self.pair
+        pair = (mix(gram(hashes, 0, 1)[same] + _PAIR) >> shift).astype(np.int64) if same.any() else self.pair
+        twice = (hashes[1:] == hashes[:-1])[same]
+        self.pair_doc = np.concatenate([self.doc[1:][same], self.doc[1:][same][twice]])
+        self.pair = np.concatenate([pair, np.full(int(twice.sum()), int(_TWICE >> shift))])
+        order = np.argsort(self.pair_doc, kind="stable")
+        self.pair_doc, self.pair = self.pair_doc[order], self.pair[order]
 
 
 def _of_texts(f: Features) -> Iterator[tuple[np.ndarray, np.ndarray]]:
