@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted sampling without replacement.
 
 Every document gets an Efraimidis-Spirakis key: an exponential variate, made from a digest of its
-id, divided by its quality weight. Within a source documents are taken by ascending key until the
+id, source and text, divided by its quality weight. Within a source documents are taken by ascending key until the
 source's token budget is met. Whole epochs come first: a budget of 1.3 source sizes is one copy of
 each document, then the keyed order for the remaining 0.3.
 
@@ -10,16 +10,20 @@ documents of earlier buckets are taken, none of later ones, and only that bucket
 source that holds a third of all rows costs a partial aggregation, not one large task.
 
 Only DataFrame functions are used. Defined results: a null or empty text has size 0 and is taken 0
-words; a null source is a source of its own, last in order; a null id has its own digest; equal keys
-go by doc_id; repeated rows are separate documents; an empty table gives an empty result.
+words; a null source is a source of its own, last in order; rows of one id, or without one, are told apart by
+their texts; equal keys go by that digest, so reruns agree; rows that are alike in all three are separate documents, and which
+of them the cut meets makes no difference; very long texts are counted whole; an empty table gives an empty result; other
+columns play no part.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import stage, table
+from assaywork.llm.common import stage_measured, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -27,8 +31,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 #: No target is above this many times its source's size.
 MOST = 2.0
-#: Buckets of the key's range per source; a bucket holds about this fraction of its documents.
-BUCKETS = 4096
+#: Documents of a bucket of the key's range, about, and buckets of a source at least.
+BUCKET, BUCKETS = 20_000, 4096
 _MARKS = "0123456789!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -60,7 +64,7 @@ def row_key() -> Column:
 def keyed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, row_key, size, key of every document. No text leaves this step."""
     sized = docs.select("doc_id", "source", row_key().alias("row_key"), word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("weight"))
-    return sized.withColumn("key", -F.log(uniform(seed, "doc_id")) / F.col("weight")).drop("weight")
+    return sized.withColumn("key", -F.log(uniform(seed, "row_key")) / F.col("weight")).drop("weight")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -94,7 +98,8 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
     repeats counted. The document in which a budget ends gives only the words up to it.
 
     ``docs`` needs doc_id, text and source; further columns play no part."""
-    k = stage(keyed(docs, seed))
+    k, seen = stage_measured(keyed(docs, seed), n=F.count(F.lit(1)))
+    buckets = max(buckets, math.ceil(seen["n"] / BUCKET))
     bucket = F.floor(F.col("key") / (F.col("key") + 1) * buckets).cast("int")  # monotone in the key
     k = k.withColumn("bucket", F.least(bucket, F.lit(buckets - 1)))
     per_bucket = k.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
@@ -111,7 +116,7 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
     ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
     same = ["doc_id", "source", "row_key", "size", "source_size", "target"]
     outside = d.filter(~ends).select(*same, (F.col("epochs") * F.col("size") + F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)).alias("taken"))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id")
+    inside = Window.partitionBy("source").orderBy("key", "row_key")
     cut = d.filter(ends).withColumn("ahead", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("rest") - F.col("ahead")))
     return outside.unionByName(cut.select(*same, (F.col("epochs") * F.col("size") + part).alias("taken")))
@@ -148,10 +153,10 @@ QUERIES = {"op3_mixing": op3_mixing}
 ORACLES = {
     "op3_mixing": r"""
 with k as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-    -ln((cast(concat('0x', substr(md5(concat('7|', coalesce(cast(doc_id as varchar), 'null'))), 1, 13)) as bigint) + 0.5e0) / 4503599627370496e0)
+  select doc_id, source, row_key, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    -ln((cast(concat('0x', substr(md5(concat('7|', row_key)), 1, 13)) as bigint) + 0.5e0) / 4503599627370496e0)
       / greatest(0.1e0, coalesce(length(translate(text, '@MARKS@', '')) / cast(nullif(length(text), 0) as double), 0.1e0)) as key
-  from documents
+  from (select *, md5(concat_ws('|', coalesce('=' || cast(doc_id as varchar), '-'), coalesce('=' || source, '-'), coalesce('=' || text, '-'))) as row_key from documents) d
 ), s as (
   select source, source_size, 2e0 * source_size as stop, 1.5e0 * sum(source_size) over () as total,
     case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5e0 when 1 then 2e0 else 1e0 end as w
@@ -168,7 +173,7 @@ with k as (
   select *, cast(case when source_size > 0 then floor(target / source_size) else 0 end as bigint) as epochs from g
 ), a as (
   select k.doc_id, k.size, k.source, e.source_size, e.target, e.epochs, cast(round(e.target - e.epochs * e.source_size) as bigint) as rest,
-    sum(k.size) over (partition by k.source order by k.key, k.doc_id) - k.size as ahead
+    sum(k.size) over (partition by k.source order by k.key, k.row_key) - k.size as ahead
   from k join e on e.source is not distinct from k.source
 )
 select doc_id, size, source_size, target, cast(epochs * size + least(size, greatest(0, rest - ahead)) as bigint) as taken, source from a

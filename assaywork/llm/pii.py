@@ -2,7 +2,8 @@
 
 Only built-in column functions are used. Spark has no function that returns match offsets, so a
 text is both matched and split by a pattern; the lengths of the pieces and of the matches, summed
-from the left, are the offsets (code points, end exclusive).
+from the left by doubling, are the offsets (code points, end exclusive). Work grows with a text's
+length and with n log n in its matches.
 
 Patterns are written so that the matcher never recurses or rescans: repeated groups are
 possessive (what they take never has to be given back), and a run of characters is entered only
@@ -10,11 +11,13 @@ at its start or where the previous match ended.
 
 Defined results: a null or empty text has no spans; kinds may overlap each other, matches of one
 kind don't; rows are neither dropped nor merged, so repeated rows give repeated results; other
-columns pass through untouched (a column named like the output is replaced).
+columns pass through untouched (a column named like the output is replaced). A text is worked on whole,
+in one task: very long ones with very many spans take some hundred bytes of memory a span.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +39,8 @@ EXTRA = rf"(?<![A-Za-z0-9+-])(?:{_IBAN}|{_SSN}|{_TEL})"
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn", "tel")
+#: Code points of a window.
+WINDOW = 1024
 #: Score of a confirmed span by kind, before the words near it are looked at.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "tel": 0.4}
 #: Words that make a kind likelier when they stand within ``reach`` characters.
@@ -73,22 +78,32 @@ def _matches(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(needs)), found) if needs else found
 
 
+def _scan(a: Column, both: Callable[[Column, Column], Column], none: Column) -> Column:
+    """Of an array, for each place ``both`` over all up to it: in each step a place takes in the one twice as far back, so n
+    places need log2(n) steps. ``none`` changes nothing."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(a), F.lit(1)).cast("double"))).cast("int"))
+    return F.aggregate(steps, a, lambda acc, k: F.transform(acc, lambda x, i: both(x, F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), none))))
+
+
 def _placed(text: Column, found: Column, kind: str) -> Column:
     """array<struct<start,end,text>> of the matches, in order."""
     pattern = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}.get(kind, EXTRA)
-    empty = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    ends = _scan(F.zip_with(pieces, found, lambda p, m: F.coalesce(F.length(p) + F.length(m), F.lit(0))), lambda x, y: x + y, F.lit(0))
+    placed = F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("text")))
+    return F.when(F.size(found) > 0, placed)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["piece"])
-        end = start + F.length(pair["match"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("text")))
-        return F.struct(
-            F.coalesce(end, acc["at"]).alias("at"),
-            F.when(pair["match"].isNull(), acc["out"]).otherwise(F.concat(F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,text:string>>")), one)).alias("out"),
-        )
 
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda a: a["out"]))
+def _windows(text: Column) -> Column:
+    """The text in windows of WINDOW code points, so that what stands at a place is found without a walk from the start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+
+
+def _between(windows: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` up to ``end`` (within the text, at least ``start``)."""
+    first = F.floor(start / WINDOW).cast("int")
+    some = F.slice(windows, first + 1, F.floor(end / WINDOW).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * WINDOW + 1, end - start)
 
 
 def _confirmed(kind: str, m: Column) -> Column:
@@ -110,11 +125,13 @@ def detect(df: DataFrame, text: str = "text", least: float = 0.5, reach: int = 4
     groups = (*BASE_KINDS, "extra")
     df = df.withColumns({f"__m_{k}": _matches(body, k) for k in groups})
     df = df.withColumns({f"__p_{k}": _placed(body, F.col(f"__m_{k}"), k) for k in groups})
+    some = reduce(lambda x, y: x | y, [F.col(f"__p_{k}").isNotNull() for k in groups])
+    df = df.withColumns({"__w": F.when(some, _windows(body)), "__n": F.length(body)})
 
     def near(kind: str, s: Column) -> Column:
-        words = F.lower(F.substring(body, F.greatest(s["start"] + 1 - reach, F.lit(1)), F.least(s["start"], F.lit(reach))))
-        after = F.lower(F.substring(body, s["end"] + 1, F.lit(reach)))
-        return F.concat_ws(" ", words, after).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})")
+        words = _between(F.col("__w"), F.greatest(s["start"] - reach, F.lit(0)), s["start"])
+        after = _between(F.col("__w"), s["end"], F.least(s["end"] + reach, F.col("__n")))
+        return F.lower(F.concat_ws(" ", words, after)).rlike(rf"(?<![a-z])(?:{CONTEXT[kind]})")
 
     def scored(kind: str, s: Column) -> Column:
         return F.struct(
@@ -132,26 +149,32 @@ def detect(df: DataFrame, text: str = "text", least: float = 0.5, reach: int = 4
         return F.coalesce(F.transform(F.filter(placed, keep), lambda s: scored(kind, s)), none)
 
     df = df.withColumn("__base", reduce(F.concat, [part(k) for k in BASE_KINDS]))
-    free = lambda s: ~F.exists(F.col("__base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    extra = F.when(F.col("__p_extra").isNotNull(), F.filter(reduce(F.concat, [part(k) for k in KINDS[4:]]), lambda s: (s["score"] >= least) & free(s)))
-    ordered = F.array_sort(F.transform(F.concat(F.col("__base"), F.coalesce(extra, none)), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], s["text"], s["score"], s["base"])))
-    return df.withColumn("spans", ordered).drop("__base", *[f"__{a}_{k}" for a in "mp" for k in groups])
+    likely = F.when(F.col("__p_extra").isNotNull(), F.filter(reduce(F.concat, [part(k) for k in KINDS[4:]]), lambda s: s["score"] >= least))
+    both = F.concat(F.col("__base"), F.coalesce(likely, none))
+    ordered = F.array_sort(F.transform(both, lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"], s["text"], s["score"], s["base"])))
+    df = df.withColumn("spans", ordered)
+    # a further span stays if all base spans before it end by its start, and all behind it start at its end or later
+    ended = _scan(F.transform("spans", lambda s: F.when(s["base"], s["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y), F.lit(-1))
+    coming = F.reverse(_scan(F.reverse(F.transform("spans", lambda s: F.when(s["base"], s["start"]).otherwise(2**31 - 1))), lambda x, y: F.least(x, y), F.lit(2**31 - 1)))
+    free = F.filter(F.transform(F.arrays_zip(F.col("spans").alias("s"), ended.alias("a"), coming.alias("b")), lambda z: F.when(z["s"]["base"] | ((z["a"] <= z["s"]["start"]) & (z["b"] >= z["s"]["end"])), z["s"])), lambda s: s.isNotNull())
+    df = df.withColumn("spans", F.when(F.exists("spans", lambda s: ~s["base"]), free).otherwise(F.col("spans")))
+    return df.drop("__base", "__w", "__n", *[f"__{a}_{k}" for a in "mp" for k in groups])
 
 
 def redacted(df: DataFrame, text: str = "text") -> Column:
     """The text of a row of ``detect`` with each span (overlapping ones together) as its kind in
     square brackets."""
     body = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(new, F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size("spans") == 0, body).otherwise(F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.length(body)))))
+    windows = _windows(body)
+    # how far the spans before each one reach: where it starts no earlier, a new mark begins
+    reach = _scan(F.transform("spans", lambda s: s["end"]), lambda x, y: F.greatest(x, y), F.lit(0))
+    placed = F.zip_with("spans", F.concat(F.array(F.lit(0)), F.slice(reach, 1, F.size(reach) - 1)), lambda s, at: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), at.alias("at")))
+    marks = F.filter(placed, lambda p: p["start"] >= p["at"])
+    # the windows are made once, as the value that the fold over one element hands on
+    out = F.element_at(F.transform(F.array(windows), lambda w: F.concat(
+        F.array_join(F.transform(marks, lambda p: F.concat(_between(w, p["at"], p["start"]), F.lit("["), F.upper(p["kind"]), F.lit("]"))), ""),
+        _between(w, F.element_at(reach, -1), F.length(body)))), 1)
+    return F.when(F.size("spans") == 0, body).otherwise(out)
 
 
 def digest(df: DataFrame) -> DataFrame:

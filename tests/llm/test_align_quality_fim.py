@@ -117,7 +117,7 @@ def test_runs_keep_their_records():
 
 def test_merge_counts_in_order():
     none = np.zeros(0, np.int64)
-    runs = [align.spill(np.array(c), np.array(n), none, none) for c, n in (([1 << 16 | 2, 5 << 16 | 1], [3, 1]), ([1 << 16 | 1, 1 << 16 | 2], [2, 4]), ([], []))]
+    runs = [align.spill(np.array(c, np.int64), np.array(n, np.int64), none, none) for c, n in (([1 << 16 | 2, 5 << 16 | 1], [3, 1]), ([1 << 16 | 1, 1 << 16 | 2], [2, 4]), ([], []))]
     assert [(m.a, m.b.tolist(), m.count.tolist()) for m in align.merge(runs)] == [(1, [1, 2], [2, 7]), (5, [1], [1])]
 
 

@@ -415,3 +415,24 @@ def test_language_model_without_training_or_rows(spark, empty):
     got = {r["doc_id"]: r for r in ngram_lm.fit_and_score(docs)[0].collect()}
     assert got[1]["n_tokens"] == 3 and got[1]["n_known"] == 0 and got[1]["train_tokens"] == 0
     assert ngram_lm.fit_and_score(empty.withColumn("learn", F.lit(True)))[0].collect() == []
+
+
+def test_mix_of_one_id_is_the_same_however_dealt(spark):
+    """All rows have one id, or none; only their texts tell them apart."""
+    made = [(7 if i % 2 else None, prose(i, 10 + i % 50), "s") for i in range(300)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string")
+    runs = [sorted((r["row_key"], r["taken"]) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1]
+    assert len({k for k, _ in runs[0]}) == 300
+
+
+def test_pii_of_many_spans(spark):
+    """Work follows the spans of a text; offsets, further kinds and marks as for few."""
+    n = 4000
+    text = "".join(f"é mail u{i}@a.bc; " + ("IBAN DE89370400440532013000. " if i % 50 == 0 else "") + ("ssn 123-45-6789 " if i % 70 == 0 else "") for i in range(n))
+    d = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    row = d.select("spans", pii.redacted(d).alias("out")).first()
+    assert [text[s["start"] : s["end"]] for s in row["spans"]] == [s["text"] for s in row["spans"]]
+    kinds = [s["kind"] for s in row["spans"]]
+    assert (kinds.count("email"), kinds.count("iban"), kinds.count("ssn")) == (n, 80, 58)
+    assert row["out"] == re.sub(r"DE89370400440532013000", "[IBAN]", re.sub(r"123-45-6789", "[SSN]", re.sub(r"u\d+@a\.bc", "[EMAIL]", text)))
