@@ -120,15 +120,6 @@ def parse_json_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-def ingest_callback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = view(spark, sf_dir, "event_traces")
-    kinds = F.array(*[F.lit(x) for x in ("chain_start", "llm_start", "llm_end", "tool_start", "tool_end", "chain_end")])
-    run = F.floor(F.col("trace_id") / 6).cast("long")
-    step = F.when((F.col("trace_id") % 6).isin(0, 5), 0).when((F.col("trace_id") % 6).isin(1, 2), 1).otherwise(2)
-    rows = e.select(run.alias("run_id"), step.alias("step"), F.get(kinds, (F.col("trace_id") % 6).cast("int")).alias("event"), F.col("ts").cast("timestamp").alias("ts"), F.col("k").alias("prompt_tokens"), (F.col("k") * 2).alias("completion_tokens"), F.col("event_type").alias("text"))
-    return ingest.runs_of_callbacks(rows).select("run_id", "prompt_tokens", "completion_tokens", "tool_calls", "output")
-
-
 def _audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = view(spark, sf_dir, "audit")
     details = F.create_map(F.lit("by"), F.col("actor"), F.lit("note"), F.lit('a "b"'))
@@ -228,8 +219,8 @@ def _plain_times(df: DataFrame) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str, mode: str) -> DataFrame:
-    source = jobs.texts if name == "stream_score" else jobs.events
-    return _plain_times(jobs.run_to_end(getattr(jobs, name)(source(spark, sf_dir)), mode))
+    source = {"stream_score": jobs.texts, "stream_dedupe": lambda *a: jobs.with_retries(jobs.events(*a))}.get(name, jobs.events)
+    return _plain_times(jobs.run_to_end(getattr(jobs, name.removesuffix("_hour").removesuffix("_day"))(source(spark, sf_dir), **WIDTHS.get(name, {})), mode))
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,10 +228,11 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_times(jobs.late_arrivals(spark, sf_dir))
 
 
-STREAMS = {"stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_first_failure": "append", "stream_sessionize": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
+WIDTHS = {"stream_trend_hour": {"width": "1 hour"}, "stream_trend_day": {"width": "1 day"}}
+STREAMS = {"stream_trend_hour": "complete", "stream_trend_day": "complete", "stream_score": "append", "stream_trend": "complete", "stream_pulse": "complete", "stream_cost_alert": "complete", "stream_dedupe": "append"}
 QUERIES = {f.__name__: f for f in (
     extract_citations, citation_counts, citation_host_policy, dedupe_sources, citation_verdicts, citation_source_join, judge_requests, parse_judge_response, judge_to_eval, ingest_traces, ingested_tools, ingest_rejects, explode_spans, parse_json_cols,
-    ingest_callback_events, read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, query_traces, query_evals, annotate_trend, rule_impact, marker_clusters, stream_late)}
+    read_audit_log, export_audit_csv, read_rules_file, otlp_export, write_evals, trace_detail, keyword_sets, span_tree, query_traces, query_evals, annotate_trend, rule_impact, marker_clusters, stream_late)}
 QUERIES |= {k: partial(_stream, name=k, mode=m) for k, m in STREAMS.items()}
 
 _U = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
@@ -262,7 +254,6 @@ ORACLES = {
     "ingest_rejects": oracle("select count(*) as rejects from agent_traces where trace_id % 11 = 0"),
     "explode_spans": oracle("select case when tenant_id = 't0' then 'local' else tenant_id end as tenant_id, kind, status_code, count(*) as spans from spans where trace_id % 11 <> 0 and trace_id % 13 <> 0 group by 1, 2, 3"),
     "parse_json_cols": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
-    "ingest_callback_events": oracle("""select cast(floor(trace_id / 6) as bigint) as run_id, cast(sum(k) as bigint) as prompt_tokens, cast(sum(2 * k) as bigint) as completion_tokens, cast(count_if(trace_id % 6 = 3) as bigint) as tool_calls, max(case when trace_id % 6 = 5 then event_type end) as output from event_traces group by 1"""),
     "read_audit_log": oracle("select case when tenant_id = 't0' then 'local' else tenant_id end as tenant_id, action, count(*) as entries from audit where entry_id % 13 <> 0 and entry_id % 9 <> 0 group by 1, 2"),
     "export_audit_csv": oracle(f"""select concat('"', {_U.format('ts')}, '","', case when tenant_id = 't0' then 'local' else tenant_id end, '","', action, '","', actor, '","', rule_id, '","', coalesce(rule_name, ''), '","by=', actor, ' · note=a ', repeat('"', 2), 'b', repeat('"', 3)) as line
       from audit where entry_id % 13 <> 0 and entry_id % 9 <> 0"""),
@@ -277,13 +268,11 @@ ORACLES = {
     "stream_score": scored_oracle("select tenant_id, trace_id, eval_type, score, passed from scored"),
     "stream_late": oracle(f"""select {_U.format('start')} as start, count(*) as traces, cast(count_if(not failed) as bigint) as passed, cast(count_if(coalesce(ts < newest - interval 2 hours, false)) as bigint) as late from (
       select e.*, time_bucket(interval 6 hours, e.ts, timestamp '1970-01-01') as start, m.newest from event_traces e left join (select k.k, max(o.ts) as newest from (select * from (values (1), (2), (3)) v(k)) k join event_traces o on o.trace_id % 4 < k.k group by k.k) m on m.k = e.trace_id % 4) x group by 1"""),
-    "stream_trend": oracle(f"select {_U.format('time_bucket(interval 6 hours, ts, timestamp ' + chr(39) + '1970-01-01' + chr(39) + ')')} as start, count(*) as traces, cast(count_if(not failed) as bigint) as passed from event_traces group by 1"),
+    **{f"stream_trend{name}": oracle(f"""select {_U.format(f"time_bucket(interval '{width}', ts, timestamp '1970-01-01')")} as start, count(*) as traces, cast(count_if(not failed) as bigint) as passed,
+      floor(cast(sum(case when failed then 250 else trace_id % 100 * 10 end) as double) / count(*) / 1000 * 1000 + 0.5e0) / 1000 as avg_score from event_traces group by 1""") for name, width in (("", "6 hours"), ("_hour", "1 hour"), ("_day", "1 day"))},
     "stream_pulse": oracle(f"select {_U.format('date_trunc(' + chr(39) + 'hour' + chr(39) + ', ts) + to_hours(cast(h as integer))')} as \"end\", count(*) as traces, cast(count_if(not failed) as bigint) as passed from event_traces, range(1, 25) r(h) group by 1"),
-    "stream_first_failure": oracle("select distinct agent_name, event_type from event_traces where failed"),
     "stream_cost_alert": oracle(f"select agent_name, {_U.format('cast(cast(ts as date) as timestamp)')} as start, cast(sum(cast(round(cost_usd * 1000000) as bigint)) as bigint) as micro_usd from event_traces group by 1, 2 having sum(cast(round(cost_usd * 1000000) as bigint)) > 500000"),
-    "stream_dedupe": oracle("select distinct trace_id, agent_name from event_traces"),
-    "stream_sessionize": oracle(f"""select agent_name, {_U.format('min(ts)')} as start, count(*) as traces, cast(count_if(failed) as bigint) as failures from (
-      select *, sum(fresh) over (partition by agent_name order by ts rows unbounded preceding) as session from (select *, case when ts - lag(ts) over (partition by agent_name order by ts) < interval 30 minutes then 0 else 1 end as fresh from event_traces) a) b group by agent_name, session"""),
+    "stream_dedupe": oracle("select agent_name, event_type, cost_usd from event_traces group by agent_name, event_type, ts, cost_usd, failed, k"),
 }
 # The tree is a recursive relation beside the views.
 ORACLES["span_tree"] = ORACLES["span_tree"].replace("\nselect tenant_id, trace_id, span_no, cast(depth", """, tree as (

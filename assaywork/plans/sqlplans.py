@@ -52,8 +52,21 @@ BUILT_IN = ("min_output_length", "non_empty_output", "sentence_count", "expected
             "no_pii", "no_blocklist_words", "no_injection_patterns", "no_stub_output", "cost_under_threshold", "token_efficiency")
 PERIODS = """select *, case when ts >= @[shift:AS_OF;90] then 'current' else 'prior' end as win from moments where ts >= @[shift:AS_OF;180] and ts < AS_OF"""
 
-#: Failures with the rule that failed. Bursts are looked for within a day, so that no agent is one task.
-FAILED = """select trace_id, agent_name, concat('rule-', cast(coalesce(k, 0) % 5 as string)) as rule_name, @[seconds:ts] as sec, cast(ts as date) as day from event_traces where failed"""
+#: Failures with the rule that failed.
+FAILED = """select trace_id, agent_name, concat('rule-', cast(coalesce(k, 0) % 5 as string)) as rule_name, @[seconds:ts] as sec from event_traces where failed"""
+#: The bucket of a sketch and its middle, of whole numbers, as ``functions.sketch`` has them.
+def _middle(v: str) -> str:
+    more = f"greatest(length(bin(cast({v} as bigint))) - 8, 0)"
+    width = f"cast(pow(2, {more}) as bigint)"
+    return f"(floor({v} / {width}) * {width} + ({width} - 1) / 2e0)"
+
+
+def _at(table: str, keys: str, v: str, p: int, name: str) -> str:
+    """(keys, name): the value at a per cent of the values in order, moved to its bucket's middle."""
+    return f"""(select {keys}, {_middle('v')} as {name} from (select {keys}, v, row_number() over (partition by {keys} order by v) as n, count(*) over (partition by {keys}) as total from (select {keys}, {v} as v from {table}) x) y where n = floor((total * {p} + 99) / 100))"""
+
+
+
 #: Sums of scores, in thousandths, and their number, per agent and day. An agent's first thirty days are its baseline.
 DAILY = """select t.agent_name, cast(e.created_at as date) as day, cast(floor(@[seconds:cast(cast(e.created_at as date) as @[ntz])] / 86400) as int) as day_no, cast(sum(cast(round(e.score * 1000) as bigint)) as bigint) as points, count(*) as n
   from evals e join agent_traces t on t.tenant_id = e.tenant_id and t.trace_id = e.trace_id group by 1, 2, 3"""
@@ -67,10 +80,31 @@ def _meter(one: str) -> str:
     return ", ".join(f"cast(sum(case when {c} then {one} else 0 end) as bigint) as {k}" for k, c in counts)
 
 
+#: Periods by name, and the days that they reach back.
+PERIODS_OF_STATS = (("24h", 1), ("7d", 7), ("30d", 30), ("all", 40000))
+
+
+def _since(c: str) -> list[tuple[str, str]]:
+    return [(name, f"{c} >= @[shift:AS_OF;{days}]") for name, days in PERIODS_OF_STATS]
+
+
+def _of_period(c: str) -> str:
+    """The period's column of one row that has them all."""
+    return f"case p.period {' '.join(f"when '{name}' then {c}_{name}" for name, _ in PERIODS_OF_STATS)} end"
+
+
 #: US dollars a million tokens, by provider and model.
-PRICES = """(select * from (values ('openai', 'gpt-4o', 2.5, 10.0), ('openai', 'gpt-4o-mini', 0.15, 0.6), ('openai', 'o1-mini', 3.0, 12.0), ('anthropic', 'claude-haiku-4-5', 1.0, 5.0), ('anthropic', 'claude-sonnet-4-6', 3.0, 15.0), ('anthropic', 'claude-opus-4-7', 15.0, 75.0)) as v(provider, model, input_usd, output_usd)) p"""
+PRICES = """(select * from (values ('anthropic', 'claude-opus-4', 15.0, 75.0), ('anthropic', 'claude-sonnet-4', 3.0, 15.0), ('anthropic', 'claude-haiku-4-5', 1.0, 5.0), ('anthropic', 'claude-3-5-sonnet', 3.0, 15.0), ('anthropic', 'claude-3-5-haiku', 0.8, 4.0),
+  ('openai', 'gpt-4o', 2.5, 10.0), ('openai', 'gpt-4o-mini', 0.15, 0.6), ('openai', 'o1', 15.0, 60.0), ('openai', 'o1-mini', 3.0, 12.0)) as v(provider, model, input_usd, output_usd)) p"""
+#: The same for judges, who are found by model alone.
+JUDGE_PRICES = """(select * from (values ('anthropic', 'claude-opus-4-7', 15.0, 75.0), ('anthropic', 'claude-sonnet-4-6', 3.0, 15.0), ('anthropic', 'claude-haiku-4-5', 1.0, 5.0), ('anthropic', 'claude-haiku-4-5-20251001', 1.0, 5.0),
+  ('openai', 'gpt-4o', 2.5, 10.0), ('openai', 'gpt-4o-mini', 0.15, 0.6), ('openai', 'o1-mini', 3.0, 12.0)) as v(provider, model, input_usd, output_usd)) p"""
 #: Calls with the provider and model that a trace is dealt, one of them unknown.
-CALLS = """(select t.*, m.provider, m.model from text_traces t join (select * from (values (0, 'openai', 'gpt-4o'), (1, 'anthropic', 'claude-haiku-4-5'), (2, 'openai', 'o1-mini'), (3, 'openai', 'unknown-model'), (4, 'anthropic', 'gpt-4o')) as v(k, provider, model)) m on m.k = t.trace_id % 5) c"""
+CALLS = """(select t.*, m.provider, m.model from text_traces t join (select * from (values (0, 'openai', 'gpt-4o'), (1, 'anthropic', 'claude-haiku-4-5'), (2, 'openai', 'o1-mini'), (3, 'openai', 'unknown-model'), (4, 'anthropic', 'gpt-4o'), (5, 'anthropic', 'claude-opus-4'), (6, 'anthropic', 'claude-3-5-haiku'),
+  (7, 'openai', 'o1'), (8, 'openai', 'gpt-4o-mini'), (9, 'anthropic', 'claude-sonnet-4'), (10, 'anthropic', 'claude-3-5-sonnet')) as v(k, provider, model)) m on m.k = t.trace_id % 11) c"""
+#: Calls of judges.
+JUDGED = """(select t.*, m.provider, m.model from text_traces t join (select * from (values (0, 'openai', 'gpt-4o'), (1, 'anthropic', 'claude-haiku-4-5'), (2, 'openai', 'o1-mini'), (3, 'openai', 'unknown-model'), (4, 'anthropic', 'claude-opus-4-7'), (5, 'anthropic', 'claude-sonnet-4-6'), (6, 'openai', 'gpt-4o-mini'),
+  (7, 'anthropic', 'claude-haiku-4-5-20251001')) as v(k, provider, model)) m on m.k = t.trace_id % 8) c"""
 
 
 SQL: dict[str, str] = {
@@ -149,26 +183,27 @@ SQL: dict[str, str] = {
       left join (select tenant_id, trace_id, count(*) n_evals, count_if(passed) n_passed_evals from evals group by tenant_id, trace_id) v on v.tenant_id = t.tenant_id and v.trace_id = t.trace_id where {last('t.ts', 365)}""",
     "traces_per_hour": """select cast(date_trunc('hour', ts) as string) as hour, count(*) as traces from event_traces group by date_trunc('hour', ts)""",
     "top_agents": """select cast(row_number() over (order by traces desc, agent_name) as int) as rank, agent_name, traces from (select agent_name, count(*) as traces from agent_traces group by agent_name order by traces desc, agent_name limit 10) x""",
-    "eval_stats": f"""select p.period, coalesce(e.pass_rate, 0.0) as pass_rate, coalesce(e.avg_score, 0.0) as avg_score, coalesce(e.n, 0) as total_evals, coalesce(t.cost, 0.0) as total_cost, coalesce(t.agents, 0) as agents
+    "eval_stats": f"""select p.period, {_of_period('pass_rate')} as pass_rate, {_of_period('avg_score')} as avg_score, {_of_period('n')} as total_evals, {_of_period('cost')} as total_cost, {_of_period('agents')} as agents
       from (select '24h' as period union all select '7d' union all select '30d' union all select 'all') p
-      left join (select w.period, {r('cast(count_if(e.passed) as double) / count(*)', 3)} as pass_rate, {r('cast(sum(cast(round(e.score * 1000) as bigint)) as double) / count(*) / 1000', 3)} as avg_score, count(*) as n
-        from evals e join (select '24h' as period, 1 as days union all select '7d', 7 union all select '30d', 30 union all select 'all', 40000) w on e.created_at >= @[shift:AS_OF;w.days] and e.created_at < AS_OF where e.trace_id is not null group by w.period) e on e.period = p.period
-      left join (select w.period, {r(cents('t.cost_usd'), 4)} as cost, count(distinct t.agent_name) as agents
-        from agent_traces t join (select '24h' as period, 1 as days union all select '7d', 7 union all select '30d', 30 union all select 'all', 40000) w on t.ts >= @[shift:AS_OF;w.days] and t.ts < AS_OF group by w.period) t on t.period = p.period""",
+      join (select {', '.join(f"coalesce({r(f'cast(count_if(passed and {c}) as double) / nullif(count_if({c}), 0)', 3)}, 0.0) as pass_rate_{k}, coalesce({r(f'cast(sum(case when {c} then cast(round(score * 1000) as bigint) else 0 end) as double) / nullif(count_if({c}), 0) / 1000', 3)}, 0.0) as avg_score_{k}, cast(count_if({c}) as bigint) as n_{k}" for k, c in _since('created_at'))}
+        from evals where created_at < AS_OF and trace_id is not null) e on true
+      join (select {', '.join(f"{r(cents(f'case when {c} then cost_usd end'), 4)} as cost_{k}, count(distinct case when {c} then agent_name end) as agents_{k}" for k, c in _since('ts'))} from agent_traces where ts < AS_OF) t on true""",
     "safety_violations": """select cast(count_if(r.rule_name = 'no_pii') as bigint) as pii, cast(count_if(r.rule_name = 'no_injection_patterns') as bigint) as injection, cast(count_if(r.rule_name = 'no_hallucination_markers') as bigint) as hallucination
       from rule_results r join evals e on e.tenant_id = r.tenant_id and e.trace_id = r.trace_id and e.eval_type = r.eval_type where e.eval_type = 'safety' and not e.passed and not r.passed""",
     "eval_trend": f"""select cast(date_trunc('day', created_at) as string) as bucket, {r('cast(sum(cast(round(score * 1000) as bigint)) as double) / count(*) / 1000', 3)} as avg_score, {r('cast(count_if(passed) as double) / count(*)', 3)} as pass_rate, count(*) as evals from evals where {last('created_at', 30)} group by date_trunc('day', created_at)""",
     "eval_trend_6h": f"""select cast(floor(@[seconds:created_at] / 21600) as bigint) * 21600 as bucket, {r('cast(sum(cast(round(score * 1000) as bigint)) as double) / count(*) / 1000', 3)} as avg_score, {r('cast(count_if(passed) as double) / count(*)', 3)} as pass_rate, count(*) as evals from evals where {last('created_at', 7)} group by cast(floor(@[seconds:created_at] / 21600) as bigint)""",
     "eval_trend_hour": f"""select cast(date_trunc('hour', created_at) as string) as bucket, {r('cast(sum(cast(round(score * 1000) as bigint)) as double) / count(*) / 1000', 3)} as avg_score, {r('cast(count_if(passed) as double) / count(*)', 3)} as pass_rate, count(*) as evals from evals where {last('created_at', 1)} group by date_trunc('hour', created_at)""",
     "rule_breakdown": f"""select cast(row_number() over (order by cast(count_if(passed) as double) / count(*), rule_name) as int) as rank, rule_name, count(*) as total_run, cast(count_if(not passed) as bigint) as fail_count, {r('cast(count_if(passed) as double) / count(*)', 4)} as pass_rate from rule_results where not skipped group by rule_name""",
-    "verdict_mix": """select v.verdict, cast(count(m.trace_id) as bigint) as moments from (select 'pass' as verdict union all select 'fail' union all select 'partial' union all select 'unevaluated') v left join moments m on m.verdict = v.verdict group by v.verdict""",
-    "significance_mix": """select k.kind, cast(count(m.trace_id) as bigint) as moments from (select 'safety-violation' as kind union all select 'cost-spike' union all select 'rule-collision' union all select 'normal-fail' union all select 'first-failure' union all select 'novel-pattern') k left join moments m on m.kind = k.kind group by k.kind""",
+    "verdict_mix": """select v.verdict, coalesce(m.n, 0) as moments from (select 'pass' as verdict union all select 'fail' union all select 'partial' union all select 'unevaluated') v left join (select verdict, count(*) as n from moments group by verdict) m on m.verdict = v.verdict""",
+    "significance_mix": """select k.kind, coalesce(m.n, 0) as moments from (select 'safety-violation' as kind union all select 'cost-spike' union all select 'rule-collision' union all select 'normal-fail' union all select 'first-failure' union all select 'novel-pattern') k left join (select kind, count(*) as n from moments group by kind) m on m.kind = k.kind""",
     "failures_by_category": """select kind, count(*) as moments from moments where verdict <> 'pass' group by kind""",
     "top_failing_rules": """select cast(row_number() over (order by failures desc, rule_name) as int) as rank, rule_name, failures from (select rule_name, count(*) as failures from rule_results where not skipped and not passed group by rule_name order by failures desc, rule_name limit 8) x""",
     "cost_by_agent": f"""select cast(row_number() over (order by cost desc, agent_name) as int) as rank, agent_name, cost from (select agent_name, {cents('cost_usd')} as cost from agent_traces group by agent_name order by cost desc, agent_name limit 8) x""",
     "agent_summary": """select agent_name, count(*) as total, cast(count_if(verdict = 'pass') as bigint) as passed, cast(count_if(verdict = 'partial') as bigint) as partial, cast(count_if(verdict = 'fail') as bigint) as failed, cast(count_if(verdict = 'unevaluated') as bigint) as unevaluated, cast(max(ts) as string) as last_seen from moments group by agent_name""",
-    "stacked_by_day": f"""select cast(d.day as string) as day, coalesce(cast(count_if(m.verdict = 'pass') as bigint), 0) as passed, coalesce(cast(count_if(m.verdict = 'partial') as bigint), 0) as partial, coalesce(cast(count_if(m.verdict = 'fail') as bigint), 0) as failed, coalesce(cast(count_if(m.verdict = 'unevaluated') as bigint), 0) as unevaluated, cast(count(m.trace_id) as bigint) as total
-      from (select cast(@[shift:AS_OF;n.i] as date) as day from {numbers(*range(1, 31))}) d left join (select * from moments where {last('ts', 30)}) m on cast(m.ts as date) = d.day group by d.day""",
+    "stacked_by_day": f"""select cast(d.day as string) as day, coalesce(m.passed, 0) as passed, coalesce(m.partial, 0) as partial, coalesce(m.failed, 0) as failed, coalesce(m.unevaluated, 0) as unevaluated, coalesce(m.total, 0) as total
+      from (select cast(@[shift:AS_OF;n.i] as date) as day from {numbers(*range(1, 31))}) d left join (
+        select cast(ts as date) as day, cast(count_if(verdict = 'pass') as bigint) as passed, cast(count_if(verdict = 'partial') as bigint) as partial, cast(count_if(verdict = 'fail') as bigint) as failed, cast(count_if(verdict = 'unevaluated') as bigint) as unevaluated, count(*) as total
+        from moments where {last('ts', 30)} group by cast(ts as date)) m on m.day = d.day""",
     "per_rule_meter": f"""select n.i as rule_name, {r(share("t.cur - coalesce(f.cur, 0)", "t.cur"), 4)} as pass_rate, t.cur as total,
       case when t.pri > 0 and t.cur > 0 then {r(share("t.cur - coalesce(f.cur, 0)", "t.cur") + " - " + share("t.pri - coalesce(f.pri, 0)", "t.pri"), 4)} end as drift, {', '.join(f"{r(share(f't.b{k} - coalesce(f.b{k}, 0)', f't.b{k}'), 4)} as b{k}" for k in range(6))}
       from {numbers(*BUILT_IN)} join (select {_meter('1')} from ({BUCKETED}) p where eval_count > 0) t on true
@@ -196,13 +231,17 @@ SQL: dict[str, str] = {
     "rule_band": f"""select rule_name, {r('rate', 4)} as pass_rate, case when rate >= 0.95 then 'success' when rate >= 0.85 then 'primary' when rate >= 0.70 then 'warning' else 'error' end as band from (
       select rule_name, cast(count_if(passed) as double) / count(*) as rate from rule_results where not skipped group by rule_name) x""",
     "eval_coverage": f"""select t.agent_name, {r('100.0 * count(e.trace_id) / count(*)', 2)} as coverage from agent_traces t left join (select distinct tenant_id, trace_id from evals) e on e.tenant_id = t.tenant_id and e.trace_id = t.trace_id group by t.agent_name""",
-    "threshold_calibration": f"""select n.agent_name, n.rank_now, b.rank_then, n.median_now, b.median_then, {r('n.median_now - b.median_then', 6)} as median_shift, n.p95_now as recommended from (
-      select agent_name, {r('avg(case when cost_usd <= 0.1 then 1.0 else 0.0 end)', 4)} as rank_now, {r('@[median:cost_usd]', 6)} as median_now, {r('@[p95:cost_usd]', 6)} as p95_now from agent_traces where {last('ts', 90)} group by agent_name) n
-      left join (select agent_name, {r('avg(case when cost_usd <= 0.1 then 1.0 else 0.0 end)', 4)} as rank_then, {r('@[median:cost_usd]', 6)} as median_then from agent_traces where ts < @[shift:AS_OF;90] group by agent_name) b on b.agent_name = n.agent_name""",
+    "threshold_calibration": f"""select n.agent_name, n.rank_now, b.rank_then, m.v / 1000000 as median_now, o.v / 1000000 as median_then, {r('m.v / 1000000 - o.v / 1000000', 6)} as median_shift, q.v / 1000000 as recommended from (
+      select agent_name, {r('avg(case when cost_usd <= 0.1 then 1.0 else 0.0 end)', 4)} as rank_now from agent_traces where {last('ts', 90)} group by agent_name) n
+      left join (select agent_name, {r('avg(case when cost_usd <= 0.1 then 1.0 else 0.0 end)', 4)} as rank_then from agent_traces where ts < @[shift:AS_OF;90] group by agent_name) b on b.agent_name = n.agent_name
+      left join {_at(f"(select * from agent_traces where {last('ts', 90)}) t", 'agent_name', 'cast(floor(cost_usd * 1000000) as bigint)', 50, 'v')} m on m.agent_name = n.agent_name
+      left join {_at(f"(select * from agent_traces where {last('ts', 90)}) t", 'agent_name', 'cast(floor(cost_usd * 1000000) as bigint)', 95, 'v')} q on q.agent_name = n.agent_name
+      left join {_at("(select * from agent_traces where ts < @[shift:AS_OF;90]) t", 'agent_name', 'cast(floor(cost_usd * 1000000) as bigint)', 50, 'v')} o on o.agent_name = n.agent_name""",
     "distribution_shift": f"""select d.day, d.n, {r('d.mean', 4)} as mean, {r('d.mean - b.mean', 3)} as shift, {r('d.sd', 4)} as stddev, {r('d.sd - b.sd', 3)} as stddev_shift, {r('d.failing', 4)} as failure_rate, {r('d.failing - b.failing', 3)} as failure_shift from (
       select cast(cast(created_at as date) as string) as day, count(*) as n, cast(sum(k) as double) / count(*) / 1000 as mean, case when count(*) > 1 then sqrt(greatest(0.0, (cast(sum(k * k) as double) - cast(sum(k) as double) * cast(sum(k) as double) / count(*)) / (count(*) - 1))) / 1000 end as sd, cast(count_if(not passed) as double) / count(*) as failing from (select *, cast(round(score * 1000) as bigint) as k from evals) e where {last('created_at', 30)} group by cast(created_at as date)) d
       join (select count(*) as n, cast(sum(k) as double) / count(*) / 1000 as mean, case when count(*) > 1 then sqrt(greatest(0.0, (cast(sum(k * k) as double) - cast(sum(k) as double) * cast(sum(k) as double) / count(*)) / (count(*) - 1))) / 1000 end as sd, cast(count_if(not passed) as double) / count(*) as failing from (select *, cast(round(score * 1000) as bigint) as k from evals) e where created_at < @[shift:AS_OF;30]) b on true""",
-    "tool_latency": f"""select tool_name, count(*) as calls, {r('avg(latency_ms)', 3)} as avg_ms, {r('@[median:latency_ms]', 3)} as median_ms, {r('@[p95:latency_ms]', 3)} as p95_ms, cast(count_if(error is not null) as bigint) as errors from tool_calls group by tool_name""",
+    "tool_latency": f"""select t.*, m.v as median_ms, q.v as p95_ms from (select tool_name, count(*) as calls, {r('avg(latency_ms)', 3)} as avg_ms, cast(count_if(error is not null) as bigint) as errors from tool_calls group by tool_name) t
+      left join {_at('tool_calls', 'tool_name', 'cast(floor(latency_ms) as bigint)', 50, 'v')} m on m.tool_name = t.tool_name left join {_at('tool_calls', 'tool_name', 'cast(floor(latency_ms) as bigint)', 95, 'v')} q on q.tool_name = t.tool_name""",
     # Windows
     "latest_eval": """select tenant_id, trace_id, eval_type, score from (select *, row_number() over (partition by tenant_id, trace_id order by created_at desc, eval_type) as n from evals) x where n = 1""",
     "rolling_7d": f"""select agent_name, cast(day as string) as day, {r('rolling', 4)} as rolling_mean, {r('base', 4)} as baseline, rolling < base as alert from (
@@ -210,9 +249,9 @@ SQL: dict[str, str] = {
         select d.*, b.points as first_points, b.n as first_n from ({DAILY}) d join (select agent_name, sum(points) as points, sum(n) as n from (
           select *, min(day_no) over (partition by agent_name) as first_day from ({DAILY}) x) y where day_no < first_day + 30 group by agent_name) b on b.agent_name = d.agent_name) z
       window w as (partition by agent_name order by day_no range between 6 preceding and current row)) q""",
-    "token_attribution": f"""select x.trace_id, x.agent_name, {r('x.completion_tokens / m.median', 3)} as ratio from text_traces x join (select agent_name, @[median:completion_tokens] as median from text_traces group by agent_name) m on m.agent_name = x.agent_name where m.median > 0 and x.completion_tokens / m.median >= 2""",
+    "token_attribution": f"""select x.trace_id, x.agent_name, {r('x.completion_tokens / m.v', 3)} as ratio from text_traces x join {_at('text_traces', 'agent_name', 'completion_tokens', 50, 'v')} m on m.agent_name = x.agent_name where m.v > 0 and x.completion_tokens / m.v >= 2""",
     "failure_burst": f"""select w.trace_id, w.agent_name, w.rule_name, w.in_last_hour, {r('b.per_hour', 6)} as baseline, w.in_last_hour > 2 * b.per_hour as burst from (
-      select trace_id, agent_name, rule_name, count(*) over (partition by agent_name, rule_name, day order by sec range between 3600 preceding and current row) as in_last_hour from ({FAILED}) f) w
+      select trace_id, agent_name, rule_name, count(*) over (partition by agent_name, rule_name order by sec range between 3600 preceding and current row) as in_last_hour from ({FAILED}) f) w
       join (select agent_name, rule_name, count(*) / greatest(1.0, (max(sec) - min(sec)) / 3600.0) as per_hour from ({FAILED}) f group by agent_name, rule_name) b on b.agent_name = w.agent_name and b.rule_name = w.rule_name""",
     "agent_sparkline": f"""select a.agent_name, a.bucket, coalesce(x.moments, 0) as moments, coalesce(x.passed, 0) as passed, {r(share('x.passed', 'x.moments'), 4)} as pass_rate from (
       select agent_name, n.i as bucket from (select distinct agent_name from moments where {last('ts', 90)}) m join {numbers(*range(8))} on true) a
@@ -232,10 +271,10 @@ SQL: dict[str, str] = {
     "cost_batch": f"""select count(p.model) as estimated, count(*) - count(p.model) as unknown_model, {r("cast(sum(cast(round((c.prompt_tokens * p.input_usd + c.completion_tokens * p.output_usd) * 100) as bigint)) as double) / 100000000", 6)} as usd
       from {CALLS} left join {PRICES} on p.provider = c.provider and p.model = c.model""",
     "judge_cost_gate": f"""select trace_id, model, usd, coalesce(usd <= 0.25, false) as admitted, case when usd is null then 'unknown model' when usd > 0.25 then 'over the cap' end as rejected from (
-      select c.trace_id, c.model, {r("ceil((length(c.input) + length(c.output) + 900) / 4.0) * p.input_usd / 1000000 + 512 * p.output_usd / 1000000", 6)} as usd from {CALLS} left join {PRICES} on p.provider = c.provider and p.model = c.model where c.input is not null) x""",
+      select c.trace_id, c.model, {r("ceil((length(c.input) + length(c.output) + 900) / 4.0) * p.input_usd / 1000000 + 512 * p.output_usd / 1000000", 6)} as usd from {JUDGED} left join {JUDGE_PRICES} on p.model = c.model where c.input is not null) x""",
     "judge_sampling": """select tenant_id, trace_id, eval_type, score from evals where trace_id * 2654435761 % 100 < 20 or score < 0.6""",
     "judge_spend": f"""select c.template, c.provider, c.model, count(*) as calls, cast(sum(c.prompt_tokens + c.completion_tokens) as bigint) as tokens, {r("cast(sum(cast(round((c.prompt_tokens * p.input_usd + c.completion_tokens * p.output_usd) * 100) as bigint)) as double) / 100000000", 6)} as usd
-      from (select *, case trace_id % 3 when 0 then 'accuracy' when 1 then 'helpfulness' else 'safety' end as template from {CALLS}) c left join {PRICES} on p.provider = c.provider and p.model = c.model group by c.template, c.provider, c.model""",
+      from (select *, case trace_id % 3 when 0 then 'accuracy' when 1 then 'helpfulness' else 'safety' end as template from {JUDGED}) c left join {JUDGE_PRICES} on p.model = c.model group by c.template, c.provider, c.model""",
     # Lifecycle and retention
     "retention_traces": """select tenant_id, trace_id from agent_traces where ts >= @[shift:AS_OF;30]""",
     "retention_spans": """select s.tenant_id, s.trace_id, s.span_no from spans s where exists (select 1 from agent_traces t where t.tenant_id = s.tenant_id and t.trace_id = s.trace_id and t.ts >= @[shift:AS_OF;30])""",
@@ -246,7 +285,6 @@ SQL: dict[str, str] = {
     "list_rules": """select tenant_id, rule_id, event_type as eval_type from (select *, row_number() over (partition by tenant_id, rule_id order by ts desc, entry_id desc) as n from audit) x where n = 1 and action <> 'rule.delete' and enabled and event_type <> 'view'""",
     "tenant_backfill": """select coalesce(nullif(tenant_id, 't0'), 'local') as tenant_id, count(*) as entries from audit group by 1""",
     # Spans
-    "span_rollup": f"""select tenant_id, trace_id, count(*) as spans, cast(count_if(status_code = 'ERROR') as bigint) as errors, cast(count_if(kind = 'LLM') as bigint) as llm, cast(count_if(kind = 'TOOL') as bigint) as tool, sum(duration_s) as duration_s from spans group by tenant_id, trace_id""",
     "critical_self_time": """select s.tenant_id, s.trace_id, s.span_no, greatest(0.0, s.duration_s - coalesce(c.children_s, 0.0)) as self_s from spans s
       left join (select tenant_id, trace_id, parent_no, sum(duration_s) as children_s from spans where parent_no is not null group by tenant_id, trace_id, parent_no) c on c.tenant_id = s.tenant_id and c.trace_id = s.trace_id and c.parent_no = s.span_no""",
     "oqs": f"""select tenant_id, trace_id, case when unsafe > 0 then 0.0 else {r('points / weight', 3)} end as oqs from (

@@ -63,20 +63,45 @@ def audit_csv(entries: DataFrame) -> DataFrame:
     return entries.select(F.concat_ws(",", *[quoted(c) for c in fields]).alias("line"))
 
 
-def runs_of_callbacks(events: DataFrame, redact: bool = False) -> DataFrame:
-    """One trace per run of callback events (run_id, step, event, ts, prompt_tokens, completion_tokens,
-    text): tokens summed, steps paired by start and end, latency, cost, and the error if there was one."""
-    steps = events.groupBy("run_id", "step").agg(
-        F.min(F.when(F.col("event").endswith("_start"), F.col("ts"))).alias("start"), F.max(F.when(~F.col("event").endswith("_start"), F.col("ts"))).alias("end"),
-        F.max(F.when(F.col("event") == "chain_error", F.col("text"))).alias("error"), F.max(F.when(F.col("event") == "chain_end", F.col("text"))).alias("said"),
-        F.count_if(F.col("event") == "tool_start").alias("tools"), F.sum("prompt_tokens").alias("prompt"), F.sum("completion_tokens").alias("completion"))
-    said = F.lit("[redacted]") if redact else F.max("said")
-    runs = steps.groupBy("run_id").agg(
-        F.sum("prompt").alias("prompt_tokens"), F.sum("completion").alias("completion_tokens"), F.sum("tools").alias("tool_calls"),
-        ((F.unix_micros(F.max("end")) - F.unix_micros(F.min("start"))) / 1000).alias("latency_ms"),
-        F.when(F.max("error").isNotNull(), F.concat(F.lit("ERROR: "), F.max("error"))).otherwise(said).alias("output"))
+def assembled(runs: DataFrame, redact: Column | bool = False) -> DataFrame:
+    """run_id, agent_name, closed, input, output, error, latency_ms, prompt_tokens, completion_tokens, cost_usd, tool_calls
+    (tool_name, input, output, duration_ms, status) and spans (name, kind, duration_ms, status) of runs (run_id, agent_name,
+    closed, events: array of ts in microseconds, step, event, name, text, prompt_tokens, completion_tokens).
+
+    Steps are paired by their number, start with end. Tokens are those of the model's answers. A call of a tool counts once it
+    has ended; a span without a duration of its own lasts to the run's end. A run that ended in an error has its text as
+    output, and neither tokens, cost nor calls. ``redact``: hides input and output."""
+    redact = F.lit(redact) if isinstance(redact, bool) else redact
+    order = lambda e: F.struct(*[e[c].alias(c) for c in ("ts", "step", "event", "name", "text", "prompt_tokens", "completion_tokens")])
+    r = runs.withColumn("e", F.array_sort(F.transform("events", order)))
+    of = lambda *names: F.filter("e", lambda x: x["event"].isin(*names))
+    ms = lambda micros: micros / 1000
+    r = r.withColumns({"start": F.coalesce(F.get(of("chain_start"), F.lit(0))["ts"], F.get("e", F.lit(0))["ts"]), "last": F.coalesce(F.get(of("chain_end", "chain_error"), F.lit(0))["ts"], F.element_at("e", -1)["ts"])})
+    other = lambda x, name: F.get(F.filter("e", lambda y: (y["event"] == name) & (y["step"] == x["step"])), F.lit(0))
+    calls = F.transform(F.filter(of("tool_end"), lambda x: other(x, "tool_start").isNotNull()), lambda x: F.struct(
+        F.coalesce(other(x, "tool_start")["name"], F.lit("unknown_tool")).alias("tool_name"), other(x, "tool_start")["text"].alias("input"), x["text"].alias("output"), ms(x["ts"] - other(x, "tool_start")["ts"]).alias("duration_ms"), F.lit("success").alias("status")))
+    spans = F.transform(of("llm_start", "tool_start"), lambda x: F.struct(
+        F.when(x["event"] == "llm_start", "llm_call").otherwise(F.coalesce(x["name"], F.lit("unknown_tool"))).alias("name"), F.when(x["event"] == "llm_start", "llm").otherwise("tool").alias("kind"),
+        ms(F.coalesce(F.when(x["event"] == "llm_start", F.nullif(other(x, "llm_end")["ts"] - x["ts"], F.lit(0).cast("long"))), F.col("last") - x["ts"])).alias("duration_ms"), F.lit("ok").alias("status")))
+    tokens = lambda c: F.aggregate(of("llm_end"), F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x[c].cast("long"), F.lit(0).cast("long")))
+    error = F.get(of("chain_error"), F.lit(0))["text"]
+    failed = F.col("closed") == "error"
+    made = r.select(
+        "run_id", "agent_name", "closed", F.when(redact, "[redacted]").otherwise(F.get(of("chain_start"), F.lit(0))["text"]).alias("input"),
+        F.when(failed, F.concat(F.lit("ERROR: "), F.coalesce(error, F.lit("")))).when(redact, "[redacted]").otherwise(F.get(of("chain_end"), F.lit(0))["text"]).alias("output"), F.when(failed, error).alias("error"),
+        ms(F.col("last") - F.col("start")).alias("latency_ms"), *[F.when(~failed, tokens(c)).alias(c) for c in ("prompt_tokens", "completion_tokens")],
+        F.when(~failed, calls).alias("tool_calls"), spans.alias("spans"))
     cost = F.col("prompt_tokens") * 0.000015 + F.col("completion_tokens") * 0.00006
-    return runs.withColumn("cost_usd", F.floor(cost * 10000 + 0.5) / 10000)
+    return made.withColumn("cost_usd", F.floor(cost * 10000 + 0.5) / 10000)
+
+
+def runs_of_callbacks(events: DataFrame, redact: Column | bool = False) -> DataFrame:
+    """``assembled`` of callback events (run_id, agent_name, ts, step, event, name, text, prompt_tokens, completion_tokens); a run
+    that has neither an end nor an error has timed out. A run's events are one array."""
+    has = lambda name: F.count_if(F.col("event") == name) > 0
+    event = F.struct(F.unix_micros("ts").alias("ts"), F.col("step").cast("long").alias("step"), "event", "name", "text", F.col("prompt_tokens").cast("long").alias("prompt_tokens"), F.col("completion_tokens").cast("long").alias("completion_tokens"))
+    kept = events.filter("run_id is not null and ts is not null").groupBy("run_id")
+    return assembled(kept.agg(F.max("agent_name").alias("agent_name"), F.when(has("chain_error"), "error").when(has("chain_end"), "end").otherwise("timeout").alias("closed"), F.collect_list(event).alias("events")), redact)
 
 
 def typed(value: Column, depth: int = 2) -> Column:

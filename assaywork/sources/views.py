@@ -19,7 +19,7 @@ DIALECT = {
         "back_hours": "{0} - make_dt_interval(0, {1})",
         "join_sorted": "array_join(array_sort(collect_list({0})), ',')",
         "join_distinct": "array_join(array_sort(collect_set({0})), ',')",
-        "ntz": "timestamp_ntz",
+        "ntz": "timestamp_ntz", "later": "{0} + make_dt_interval(0, 0, 0, {1})",
     },
     "oracle": {
         "minutes40": "timestamp '2024-01-01 00:00:00' + to_minutes(d.doc_id * 40)",
@@ -30,7 +30,7 @@ DIALECT = {
         "back_hours": "{0} - to_hours(cast({1} as integer))",
         "join_sorted": "coalesce(array_to_string(list_sort(list({0}) filter (where {0} is not null)), ','), '')",
         "join_distinct": "coalesce(array_to_string(list_sort(list(distinct {0}) filter (where {0} is not null)), ','), '')",
-        "ntz": "timestamp",
+        "ntz": "timestamp", "later": "{0} + to_seconds({1})",
     },
 }
 #: Lines of an order, numbered: (l_orderkey, l_linenumber) isn't unique.
@@ -51,7 +51,7 @@ from orders""",
     "spans": f"""select {_TENANT} tenant_id, l_orderkey trace_id, cast(n as int) span_no,
   case when n = 1 then (case when l_orderkey % 17 = 0 then 99 end) when n = 3 and l_orderkey % 10 = 0 then 99 else cast(floor(n / 2) as int) end parent_no,
   case n % 3 when 0 then 'LLM' when 1 then 'INTERNAL' else 'TOOL' end kind,
-  case l_returnflag when 'R' then 'ERROR' when 'A' then 'OK' else 'UNSET' end status_code, l_shipdate start_time, l_quantity duration_s
+  case l_returnflag when 'R' then 'ERROR' when 'A' then 'OK' else 'UNSET' end status_code, l_shipdate start_time, l_quantity duration_s, @[later:cast(l_shipdate as @[ntz]);l_quantity] end_time
 from {_LINES}""",
     # Calls of tools, with an error text where one failed.
     "tool_calls": f"""select {_TENANT} tenant_id, l_orderkey trace_id, concat('tool-', cast(l_suppkey % 8 as string)) tool_name, l_quantity * 20.0e0 latency_ms,

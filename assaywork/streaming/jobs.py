@@ -21,7 +21,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     return raw.select(
         F.col("event_id").alias("trace_id"), F.concat(F.lit("agent-"), (F.col("user_id") % 20).cast("string")).alias("agent_name"), "event_type", F.col("ts").cast("timestamp").alias("ts"),
-        (F.col("value") / 1000).alias("cost_usd"), (F.col("event_type") == "error").alias("failed"))
+        (F.col("value") / 1000).alias("cost_usd"), (F.col("event_type") == "error").alias("failed"),
+        F.concat(F.lit("t"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"), F.get_json_object("props", "$.k").cast("long").alias("k"),
+        F.when(F.col("event_type") == "error", 0.25).otherwise(F.pmod("event_id", F.lit(100)) / 100).alias("score"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +40,10 @@ def stream_score(outputs: DataFrame) -> DataFrame:
 
 
 def stream_trend(traces: DataFrame, width: str = "6 hours") -> DataFrame:
-    """Count and passes of each tumbling window."""
+    """Count, passes and mean score (in thousandths added up as whole numbers) of each tumbling window: an hour, six, a day."""
     w = traces.withWatermark("ts", LATENESS).groupBy(F.window("ts", width))
-    return w.agg(F.count("*").alias("traces"), F.count_if(~F.col("failed")).alias("passed")).select(F.col("window.start").alias("start"), "traces", "passed")
+    score = F.sum(F.round(F.col("score") * 1000).cast("long")) / F.count("score") / 1000
+    return w.agg(F.count("*").alias("traces"), F.count_if(~F.col("failed")).alias("passed"), score.alias("score")).select(F.col("window.start").alias("start"), "traces", "passed", (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("avg_score"))
 
 
 def stream_pulse(traces: DataFrame) -> DataFrame:
@@ -49,17 +52,6 @@ def stream_pulse(traces: DataFrame) -> DataFrame:
     return w.agg(F.count("*").alias("traces"), F.count_if(~F.col("failed")).alias("passed")).select(F.col("window.end").alias("end"), "traces", "passed")
 
 
-def stream_first_failure(traces: DataFrame) -> DataFrame:
-    """Agents and event types at their first failure; the state is as large as there are pairs."""
-    return traces.filter("failed").select("agent_name", "event_type").dropDuplicates(["agent_name", "event_type"])
-
-
-def stream_sessionize(traces: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Runs of an agent's traces with no pause longer than ``gap``."""
-    s = traces.withWatermark("ts", LATENESS).groupBy("agent_name", F.session_window("ts", gap))
-    return s.agg(F.count("*").alias("traces"), F.count_if("failed").alias("failures")).select("agent_name", F.col("session_window.start").alias("start"), "traces", "failures")
-
-
 def stream_cost_alert(traces: DataFrame, budget: float = 0.5) -> DataFrame:
     """Agents and days whose cost is above the budget."""
     w = traces.withWatermark("ts", LATENESS).groupBy("agent_name", F.window("ts", "1 day"))
@@ -67,15 +59,22 @@ def stream_cost_alert(traces: DataFrame, budget: float = 0.5) -> DataFrame:
 
 
 def stream_dedupe(traces: DataFrame) -> DataFrame:
-    """Retried payloads once each, within the watermark."""
-    return traces.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["trace_id"]).select("trace_id", "agent_name")
+    """Retried payloads once each, within the watermark. A retry has an id of its own, so equal content tells it."""
+    content = ["agent_name", "event_type", "ts", "cost_usd", "failed", "k"]
+    return traces.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(content).select(*content[:2], "cost_usd")
+
+
+def with_retries(traces: DataFrame) -> DataFrame:
+    """The traces, every fifth sent again with another id."""
+    again = F.when(F.col("trace_id") % 5 == 0, F.array(F.col("trace_id"), F.col("trace_id") + 1_000_000_000)).otherwise(F.array("trace_id"))
+    return traces.withColumn("trace_id", F.explode(again))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share; a local one only where the master is local."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir isn't set")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-assay-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -96,6 +95,15 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
 
 
+def append_to(stream: DataFrame, root: str) -> DataFrame:
+    """Runs a stream over what has come since it ran last with the same ``root``; all that it has put out so far. A repeated batch
+    replaces its own."""
+    out = f"{root}/out"
+    put = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch-{number}")
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+
+
 def trend_with_late(arriving: DataFrame, root: str, width: str = "6 hours") -> DataFrame:
     """(start, traces, passed, late) of each tumbling window over all that has arrived so far, rows beyond the
     lateness included: a batch writes its windows' partial counts, those of late rows to a side path
