@@ -11,24 +11,29 @@ depends on the total weight; texts with an empty place go on with twice that tim
 Texts with the same multiset are one class from the start. Between class representatives, texts that
 agree in a band are candidates. Nothing is emitted per pair of a bucket: each bucket compares its members
 with one pivot, so a bucket of thousands of copies costs one comparison each. Where that leaves the others of a
-bucket in several components, they are open: links between components are found by an exact prefix filter. The
-shingles of a text are put in order of the number of open texts that have them; two texts of the asked
-similarity share one among the first few of each, at places that leave enough in common behind them. Shingles
-of one text alone come first and meet nobody, so variants that differ too much are never paired, however many
-they are. Every candidate is verified on whole multisets; links are what has at least the threshold.
+bucket in several components, they are open. An open text is written as its difference from the pivot, which for
+variants of one text is short; how many items the differences of two similar texts must share follows from their
+sizes. Those that need share none are linked through the lightest. The rest meet in an inverted index of choices of so
+many of their rarest difference items as there may be without too many choices: as many as must be shared, where the
+bound is tight. Variants of one text that aren't alike meet in a few of 100 cases; what meets is compared with one text of
+the key first, and pair by pair only between what that leaves in different components. Every candidate is verified on whole
+multisets; links are what has at least the threshold.
 
 Defined results: texts without words are alike to nothing, each is its own class; rows with a null id
-get a null class; repeated rows of one id are one document; other columns play no part.
+get a null class; repeated rows of one id are one document; other columns play no part. A text is worked on whole, in one task, at about 200 bytes of
+memory a byte of a text that is longer than a megabyte.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaywork.llm.common import drop_staged, stage, table
@@ -39,8 +44,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with a chance of (1 - 0.8**4)**20, about 3 in 100,000.
 BANDS, ROWS = 20, 4
-#: Classes of lengths between a length and the least that is as similar.
-CLASSES = 8
+#: Items that a key is a choice of, and choices at most where it's of several.
+LEVELS, CHOICES = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32), 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -183,45 +188,109 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def prefix_entries(sets: DataFrame, least: float) -> DataFrame:
-    """(id, root, w, item, at): the places of each multiset's items in order of their frequency in
-    ``sets`` (id, root, items), as far as an item can be the first that it has in common with one as similar
-    as ``least``. Items that no other has are counted, not returned."""
+def _class(weight: np.ndarray) -> np.ndarray:
+    """Of what a difference weighs: by whole numbers up to 64, then 32 classes to each power of two."""
+    return np.where(weight < 64, np.floor(weight), 64 + np.floor(32 * np.log2(np.maximum(weight, 64) / 64))).astype(np.int64)
 
+
+def _least_of(cls: int) -> float:
+    return float(cls) if cls < 64 else 64 * 2.0 ** ((cls - 64) / 32) - 1e-6
+
+
+def differences(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(pivot, id, root, free, weight, cls, items) of groups (pivot, id, root): what a multiset lost of its pivot's and gained
+    beside it, lost items marked.
+
+    With ``part`` = least / (1 + least), two multisets are as similar as ``least`` just if they have part of both sizes in common. Their
+    overlap is the pivot's size, less what each lost, plus what both lost and what both gained. So the items that their differences
+    share must be at least weight + weight - free, where a difference weighs (1 - part) an item lost and part an item gained, and
+    free is (1 - 2 part) of the pivot's size."""
+    part = least / (1 + least)
+
+    def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, free, weight = [], np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch["x"], batch["y"])):
+                own, pivot = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                lost, gained = np.setdiff1d(pivot, own, assume_unique=True), np.setdiff1d(own, pivot, assume_unique=True)
+                items.append(np.concatenate([mix(lost ^ _STEP), gained]).tobytes())
+                free[i], weight[i] = (1 - 2 * part) * len(pivot), (1 - part) * len(lost) + part * len(gained)
+            yield pa.RecordBatch.from_arrays([batch["pivot"], batch["id"], batch["root"], pa.array(free), pa.array(weight), pa.array(_class(weight)), pa.array(items, pa.binary())], ["pivot", "id", "root", "free", "weight", "cls", "items"])
+
+    x = sets.select("id", F.col("items").alias("x"))
+    y = sets.select(F.col("id").alias("pivot"), F.col("items").alias("y"))
+    return groups.join(x, "id").join(y, "pivot").select("pivot", "id", "root", "x", "y").mapInArrow(subtract, "pivot long, id long, root long, free double, weight double, cls long, items binary")
+
+
+def short_pairs(diffs: DataFrame) -> DataFrame:
+    """(a, b): of each pivot's members whose differences are so light that any two of them must be similar, the lightest with each
+    other one; that links all of them."""
+    first = diffs.groupBy("pivot").agg(F.min(F.struct("weight", F.col("id").alias("first"))).alias("f")).select("pivot", "f.*").withColumnRenamed("weight", "least")
+    near = diffs.join(first, "pivot").filter((F.col("weight") + F.col("least") <= F.col("free") + 1e-6) & (F.col("id") != F.col("first")))
+    return near.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+
+
+@lru_cache(512)
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
+
+
+def combined(item: np.ndarray, needed: int) -> Iterator[tuple[bool, np.ndarray]]:
+    """(exact, digests): what a difference with these shared items, rarest first, is found by if at least ``needed`` of them
+    are another's, too. Two such differences have any ``level`` <= needed of their first common items within the first
+    len - needed + level of each, so all choices of that many of those are made. The highest level whose choices are few is
+    exact; lower ones are made for those that have no higher one."""
+    needed = max(needed, 1)
+    spare = len(item) - needed
+    if spare < 0:
+        return
+    levels = [k for k in LEVELS if k <= needed and (k == 1 or math.comb(spare + k, k) <= CHOICES)]
+    for k in levels:
+        yield k == levels[-1], mix(item[: spare + k][_choices(spare + k, k)].sum(1, dtype=np.uint64) + _step(k)) if k > 1 else mix(item[: spare + 1] + _step(1))
+
+
+def difference_keys(diffs: DataFrame) -> DataFrame:
+    """(key, id, root, exact): differences that share as many items as similar texts must share a key, made for their two
+    classes of weight, that one of them has as exact. Items that one member of a pivot alone has come in no key."""
     def flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 v = [np.frombuffer(x.as_buffer(), np.int64) for x in part["items"]]
-                n = np.array([len(x) for x in v])
-                row = pa.array(np.repeat(np.arange(len(v)), n))
-                yield pa.RecordBatch.from_arrays([part["id"].take(row), part["root"].take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(v))], ["id", "root", "w", "item"])
-
-    flat = sets.select("id", "root", "items").mapInArrow(flatten, "id long, root long, w long, item long")
-    shared = flat.join(flat.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"), "item")
-    of_text = Window.partitionBy("id")
-    at = F.col("w") - F.count("*").over(of_text) + F.row_number().over(of_text.orderBy("n", "item")) - 1
-    return shared.select("id", "root", "w", "item", at.alias("at")).filter(F.col("at") <= F.col("w") * (1 - least) + 1e-6)
-
-
-def prefix_pairs(entries: DataFrame, least: float) -> DataFrame:
-    """(a, b): every pair of different roots that can be as similar as ``least``. Two multisets have so
-    much in common only if their first common item leaves ``part`` of both sizes from its place on in each.
-    So the shorter one has it early, and the longer one at a place that bounds the shorter one's length from
-    above. Lengths are dealt in classes, and roots are matched before their texts are, so that texts of one
-    component don't meet."""
-    part = least / (1 + least)
-    size_class = lambda n: F.floor(F.log(n) * (CLASSES / -math.log(least)))
-    short = entries.filter(F.col("w") - F.col("at") >= 2 * part * F.col("w") - 1e-6).select(
-        "item", size_class(F.col("w").cast("double")).alias("size"), F.col("root").alias("s_root"), F.col("id").alias("s_id"), F.col("w").alias("s_w"), F.col("at").alias("s_at"))
-    upper = F.least(F.col("w").cast("double"), (F.col("w") - F.col("at")) / part - F.col("w") + 1e-6)
-    lower = F.greatest(F.lit(1.0), F.col("w") * least - 1e-6)
-    long = entries.withColumn("upper", upper).filter(F.col("upper") >= lower).withColumn("size", F.explode(F.sequence(size_class(lower), size_class(F.col("upper")))))
-    roots = short.select("item", "size", "s_root").distinct()
-    met = long.join(roots, ["item", "size"]).filter("root <> s_root").join(short, ["item", "size", "s_root"])
-    enough = F.least(F.col("w") - F.col("at"), F.col("s_w") - F.col("s_at")) >= part * (F.col("w") + F.col("s_w")) - 1e-6
-    ordered = (F.col("s_w") < F.col("w")) | ((F.col("s_w") == F.col("w")) & (F.col("s_id") < F.col("id")))
-    return met.filter(enough & ordered).select(F.least("id", "s_id").alias("a"), F.greatest("id", "s_id").alias("b")).distinct()
+                row = pa.array(np.repeat(np.arange(len(v)), [*map(len, v)]))
+                yield pa.RecordBatch.from_arrays([part["pivot"].take(row), part["id"].take(row), pa.array(np.concatenate(v))], ["pivot", "id", "item"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "root", "exact"]
+        for batch in batches:
+            for r in batch.to_pylist():
+                item = mix(np.array([x["item"] for x in r["shared"]], np.int64).view(np.uint64))
+                made, own, seed = [], r["cls"], mix(np.array([r["pivot"]], np.int64).view(np.uint64))
+                for c in r["classes"]:
+                    tag = mix(mix(seed + _step(min(own, c) + 1)) + _step(max(own, c) + 1))
+                    made += [(mix(digest ^ tag), exact) for exact, digest in combined(item, math.ceil(r["weight"] + _least_of(c) - r["free"] - 1e-6))]
+                if made:
+                    n = [len(m[0]) for m in made]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[0] for m in made]).view(np.int64)), *[pa.array(np.full(sum(n), r[c])) for c in ("id", "root")], pa.array(np.repeat([m[1] for m in made], n))], names)
+
+    flat = diffs.select("pivot", "id", "items").mapInArrow(flatten, "pivot long, id long, item long")
+    often = flat.groupBy("pivot", "item").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = flat.join(often, ["pivot", "item"]).groupBy("pivot", "id").agg(F.array_sort(F.collect_list(F.struct(F.floor(F.log2("n")).alias("n"), "item"))).alias("shared"))
+    # by powers of two alone: neighbouring shingles, which go together, are as rare as each other, and digests part them
+    classes = diffs.groupBy("pivot").agg(F.collect_set("cls").alias("classes"))  # some hundred at most
+    return diffs.drop("items").join(shared, ["pivot", "id"]).join(classes, "pivot").mapInArrow(choose, "key long, id long, root long, exact boolean")
+
+
+def key_pairs(keys: DataFrame, root: DataFrame | None = None) -> DataFrame:
+    """(a, b) of different roots that share a key, all pairs; or, without ``root``, each with the first of the key alone."""
+    if root is None:
+        first = keys.groupBy("key").agg(F.min(F.struct(~F.col("exact"), F.col("id").alias("first"), "root")).alias("f"))
+        met = keys.join(first.select("key", F.col("f.first").alias("first"), F.col("f.root").alias("of")), "key").filter("root <> of")
+        return met.select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b")).distinct()
+    own = keys.join(root.select("id", F.col("root").alias("now")), "id", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+    side = lambda p: own.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "root", "exact")])
+    met = side("s").filter("s_exact").join(side("l"), "key").filter("s_root <> l_root")
+    return met.select(F.least("s_id", "l_id").alias("a"), F.greatest("s_id", "l_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
@@ -247,14 +316,18 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     links = stage(similar(stars, sets, least))
     root = stage(components(links))
     # Buckets whose members are in more than one component, beside the pivot, which all were compared with.
-    labelled = buckets.filter("id <> pivot").join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    labelled = buckets.filter("id <> pivot").join(root, "id", "left").select("key", "pivot", "id", F.coalesce("root", "id").alias("root"))
     spread = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
-    open_ = labelled.join(spread, "key", "left_semi").select("id", "root").distinct()
-    entries = stage(prefix_entries(sets.join(open_, "id"), least))
-    pairs = stage(prefix_pairs(entries, least))
+    open_ = labelled.join(spread, "key", "left_semi").select("pivot", "id", "root").distinct()
+    diffs = stage(differences(open_, sets, least))
+    keys = stage(difference_keys(diffs))
+    # One member of each key with the others first: a cluster that its pivot has nothing to do with is linked by that.
+    more = stage(similar(short_pairs(diffs).unionByName(key_pairs(keys)).distinct(), sets, least))
+    now = stage(components(links.unionByName(more)))
+    pairs = stage(key_pairs(keys, now))
     found = stage(similar(pairs, sets, least))
-    final = stage(components(links.unionByName(found)))
-    for used in (buckets, sets, links, root, entries, pairs, found):
+    final = stage(components(links.unionByName(more).unionByName(found)))
+    for used in (buckets, sets, links, root, diffs, keys, more, now, pairs, found):
         drop_staged(used)
 
     r = final.withColumnRenamed("id", "copy_of")

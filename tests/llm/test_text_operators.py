@@ -279,21 +279,77 @@ def test_variants_of_one_text_match_brute_force(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == want
 
 
-def test_prefix_pairs_lose_no_link(spark):
-    """All pairs of at least the similarity, across roots, from sets that overlap in every degree."""
+def _open_pairs(diffs):
+    """(linked as short, pairs by keys)."""
+    keys = near_dedup.difference_keys(diffs).cache()
+    none = diffs.sparkSession.createDataFrame([], "id long, root long")
+    first, pairs = ({tuple(p) for p in x.collect()} for x in (near_dedup.key_pairs(keys), near_dedup.key_pairs(keys, none)))
+    assert len(first) <= keys.count()
+    return {tuple(p) for p in near_dedup.short_pairs(diffs).collect()}, pairs
+
+
+def test_difference_keys_lose_no_link(spark):
+    """All pairs of at least the similarity, across roots, from sets that overlap in every degree, by any pivot."""
     r = np.random.default_rng(3)
     sets = {}
     for i in range(120):
         n = int(r.integers(4, 40))
         own = np.unique(r.integers(0, 60, n)) if i % 2 or not sets else np.array(sorted(set(sets[int(r.integers(0, i))].tolist()) ^ set(r.integers(0, 60, 3).tolist())))
         sets[i] = own.astype(np.int64) if len(own) else np.array([1], np.int64)
-    rows = [(i, i % 50, bytearray(v.tobytes())) for i, v in sets.items()]
-    df = spark.createDataFrame(rows, "id long, root long, items binary")
+    df = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in sets.items()], "id long, items binary").cache()
+    alike = lambda a, b: len(set(sets[a].tolist()) & set(sets[b].tolist())) / len(set(sets[a].tolist()) | set(sets[b].tolist()))
     for least in (0.5, 0.8):
-        got = {tuple(p) for p in near_dedup.prefix_pairs(near_dedup.prefix_entries(df, least), least).collect()}
-        alike = lambda a, b: len(set(sets[a].tolist()) & set(sets[b].tolist())) / len(set(sets[a].tolist()) | set(sets[b].tolist()))
-        want = {(a, b) for a in sets for b in sets if a < b and a % 50 != b % 50 and alike(a, b) >= least}
-        assert want and want <= got
+        for pivot in (0, 7, 64):
+            groups = df.select(F.lit(pivot).cast("long").alias("pivot"), "id", (F.col("id") % 50).alias("root"))
+            short, got = _open_pairs(near_dedup.differences(groups, df, least))
+            assert all(alike(a, b) >= least for a, b in short)
+            linked = {x for p in short for x in p}
+            want = {(a, b) for a in sets for b in sets if a < b and a % 50 != b % 50 and alike(a, b) >= least}
+            assert want and {p for p in want if not set(p) <= linked} <= got
+
+
+def _variants(n, words=200, changed=4, least=0):
+    r = np.random.default_rng(n)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in r.choice(np.arange(least, words - least), changed, replace=False):
+            own[k] = f"x{i}-{k}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_variants_below_the_threshold_seldom_meet(spark):
+    """Variants of one text, four words of 200 changed in each: alike to the text (0.81), not to each other (0.66). By whole
+    sets 98 of 100 pairs of them would meet."""
+    for n in (400, 800):
+        sets = near_dedup.shingle_sets(spark.createDataFrame(_variants(n), "doc_id long, text string")).cache()
+        short, got = _open_pairs(near_dedup.differences(sets.select(F.lit(0).cast("long").alias("pivot"), "id", F.col("id").alias("root")).filter("id <> 0"), sets, 0.8))
+        assert len(short) + len(got) <= 0.08 * n * n / 2, (n, len(got))
+
+
+def test_variants_around_the_threshold_fall_into_brute_force_classes(spark):
+    """Two to five words of 120 changed: some pairs are just alike, others just not."""
+    docs = [(1000 * k + i, t) for k in (1, 2, 3) for i, t in _variants(60, 120, k)]
+    sets = {i: Counter(tuple(t.split()[j : j + 5]) for j in range(116)) for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = sum((sets[a] & sets[b]).values())
+            if both >= 0.8 * (232 - both):
+                p, q = sorted((top(a), top(b)))
+                parent[q] = p
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: top(i) for i in ids}
+    assert 1 < len(set(got.values())) < len(got)
 
 
 def test_signatures_estimate_multiset_similarity():
