@@ -202,6 +202,47 @@ _MORE = f"""select t.tenant_id, t.trace_id, d.eval_type, sum((d.k % 2 + 1) * cas
   from text_traces t join deployed_rules d on d.tenant_id = t.tenant_id and d.enabled group by 1, 2, 3"""
 
 
+def _lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit's entries with the number of their rule; their times moved to those of the texts."""
+    a = view(spark, sf_dir, "audit")
+    return a.select("entry_id", "tenant_id", "rule_id", "action", "enabled", "event_type", F.substring("rule_id", 6, 9).cast("int").alias("k"), "ts").withColumn("eval_type", F.when(F.col("k") % 2 == 0, "safety").otherwise("cost"))
+
+
+def replay_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text scored by the rules that were in force at its time, beside what stands in the store."""
+    t = texts(spark, sf_dir).select("tenant_id", "trace_id", "ts", "output", "cost_usd")
+    met = deployed.at_their_time(t, deployed.in_force(_lifecycle(spark, sf_dir)))
+    word = F.get(F.array(*map(F.lit, KEYWORDS)), F.col("k") % 4)
+    bound = F.pow(F.lit(2.0), F.col("k") % 6 + 7)
+    score = F.when(F.col("k") % 3 == 0, F.least(F.lit(1.0), F.length("output") / bound)).when(F.col("k") % 3 == 1, F.when(F.contains(F.lower("output"), word), 0.0).otherwise(1.0)).otherwise(F.when(F.coalesce("cost_usd", F.lit(0.0)) <= (F.col("k") % 8) / 64, 1.0).otherwise(0.0))
+    scored = met.groupBy("tenant_id", "trace_id", "eval_type").agg(F.count("*").alias("rules_in_force"), (F.floor(F.avg(score) * 1000 + 0.5) / 1000).alias("score"))
+    old = view(spark, sf_dir, "stored_evals").select("tenant_id", "trace_id", "eval_type", F.col("score").alias("stored_score"))
+    both = scored.join(old, ["tenant_id", "trace_id", "eval_type"], "left")
+    return both.withColumn("delta", F.floor((F.col("score") - F.col("stored_score")) * 1000 + 0.5) / 1000)
+
+
+#: Apart from the query: each text asks for the latest entry of each rule up to its time.
+_ASOF = f"""select x.tenant_id, x.trace_id, x.eval_type, x.rules_in_force, x.score, o.score as stored_score, floor((x.score - o.score) * 1000 + 0.5e0) / 1000 as delta from (
+  select tenant_id, trace_id, eval_type, count(*) as rules_in_force, floor(avg(case k % 3 when 0 then least(1e0, length(output) / pow(2e0, k % 6 + 7)) when 1 then cast(not contains(lower(output), case k % 4 {' '.join(f"when {i} then {q(w)}" for i, w in enumerate(KEYWORDS))} end) as double)
+      else cast(coalesce(cost_usd, 0) <= (k % 8) / 64e0 as double) end) * 1000 + 0.5e0) / 1000 as score from (
+    select t.tenant_id, t.trace_id, t.output, t.cost_usd, cast(substring(a.rule_id, 6) as int) as k, case when cast(substring(a.rule_id, 6) as int) % 2 = 0 then 'safety' else 'cost' end as eval_type, a.action, a.enabled,
+      row_number() over (partition by t.trace_id, a.rule_id order by a.ts desc, a.entry_id desc) as n from text_traces t join audit a on a.tenant_id = t.tenant_id and a.ts <= t.ts and a.action <> 'rule.update') r
+  where n = 1 and action <> 'rule.delete' and enabled group by 1, 2, 3) x left join stored_evals o on o.tenant_id = x.tenant_id and o.trace_id = x.trace_id and o.eval_type = x.eval_type"""
+
+
+def preview_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five newest texts of the newest 1000 of a window that a proposed rule would fail, with the start of each."""
+    t = texts(spark, sf_dir)
+    start, end = (F.expr(f"timestamp_ntz'{d} 00:00:00'") for d in ("2024-01-05", "2024-01-25"))
+    return custom.preview(t, {"name": "p", "type": "max_length", "config": {"length": 2000}}, start, end, 1000)[1]
+
+
+def suggestion_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suggestions themselves, one a row, of safety and cost."""
+    e = rules.evaluate(texts(spark, sf_dir), ["safety", "cost"])
+    return e.select("tenant_id", "trace_id", "eval_type", F.posexplode("suggestions").alias("place", "suggestion"))
+
+
 def rule_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = texts(spark, sf_dir)
     start, end = (F.expr(f"timestamp_ntz'{d} 00:00:00'") for d in ("2024-01-05", "2024-01-25"))
@@ -212,7 +253,7 @@ QUERIES = {f"rule_{r.name}": partial(rule_query, name=r.name) for r in rules.BUI
 ORACLES = {f"rule_{r.name}": rule_oracle(r.name) for r in rules.BUILT_IN}
 QUERIES |= {
     "score_all_types": score_all_types, "score_bundle": score_bundle, "suggestions": suggestions, "agent_eval_rates": agent_eval_rates, "custom_rules": custom_rules,
-    "regex_flags": regex_flags, "deployed_rule_scoring": deployed_rule_scoring, "replay": replay, "rule_preview": rule_preview,
+    "replay_asof": replay_asof, "preview_examples": preview_examples, "suggestion_texts": suggestion_texts, "regex_flags": regex_flags, "deployed_rule_scoring": deployed_rule_scoring, "replay": replay, "rule_preview": rule_preview,
 }
 ORACLES |= {
     "score_all_types": scored_oracle("select * exclude (n_suggestions) from scored"),
@@ -227,5 +268,7 @@ ORACLES |= {
       from base b left join more m on m.tenant_id = b.tenant_id and m.trace_id = b.trace_id and m.eval_type = b.eval_type) x"""),
     "replay": scored_oracle("""select s.tenant_id, s.trace_id, s.eval_type, s.score, s.passed, o.score as stored_score, o.passed as stored_passed, floor((s.score - o.score) * 1000 + 0.5e0) / 1000 as delta, s.passed <> o.passed as changed
       from scored s left join stored_evals o on o.tenant_id = s.tenant_id and o.trace_id = s.trace_id and o.eval_type = s.eval_type"""),
+    "replay_asof": oracle(_ASOF),
+    "preview_examples": oracle("select trace_id, substring(output, 1, 200) as preview from (select * from text_traces where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-25 00:00:00' order by ts desc, trace_id limit 1000) t where length(output) > 2000 order by ts desc, trace_id limit 5"),
     "rule_preview": oracle("select cast(count_if(length(output) > 2000) as bigint) as would_fail, cast(count_if(length(output) <= 2000) as bigint) as would_pass, cast(0 as bigint) as would_skip from text_traces where ts >= timestamp '2024-01-05 00:00:00' and ts < timestamp '2024-01-25 00:00:00'"),
 }
