@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("sqlplans", "scoring", "extra", "timed")
+MODULES = ("sqlplans", "scoring", "extra", "timed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
