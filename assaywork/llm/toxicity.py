@@ -73,6 +73,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, support:
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Ftrl(bits, alpha, beta, l1, l2), []
+        texts = np.zeros((1 << bits) + 1, np.int32)
         for batch in batches:
             labels = batch["label"].to_numpy(zero_copy_only=False)
             for c in chunks(batch["text"]):
@@ -81,9 +82,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, support:
                 cuts = np.searchsorted(both, np.arange(c.hi - c.lo + 1) << (bits + 1))
                 for i in range(c.hi - c.lo):
                     own = (both[cuts[i] : cuts[i + 1]] & ((1 << (bits + 1)) - 1)).astype(np.int32)
-                    seen.append((np.append(own, np.int32(1 << bits)), float(labels[c.lo + i])))
-        texts = np.bincount(np.concatenate([own for own, _ in seen]), minlength=(1 << bits) + 1) if seen else None
-        seen = [(own[texts[own] >= support], label) for own, label in seen]
+                    own = np.append(own, np.int32(1 << bits))
+                    # A text names a place once.
+                    texts[own] += 1
+                    seen.append((own, float(labels[c.lo + i])))
+        for i, (own, label) in enumerate(seen):
+            seen[i] = own[texts[own] >= support], label
         random = np.random.default_rng(5)
         for _ in range(epochs):
             for i in random.permutation(len(seen)):
