@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +73,35 @@ def tasks_for(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave when this Python worker first asked for it; ``lean`` tasks that don't name it let it go."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def lean(task: Callable[..., Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``task``, before which its Python worker lets go what tasks of others ``kept`` and after which it gives
+    freed memory back to the system. Workers live on between tasks, and what they hold counts against the executor."""
+
+    @wraps(task)
+    def run(*args):
+        for name in _kept.keys() - {keeps}:
+            del _kept[name]
+        try:
+            yield from task(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished rounds, which it does only for plans
     that neither Python nor the JVM refers to any more."""

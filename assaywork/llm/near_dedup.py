@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import drop_staged, stage, table
+from assaywork.llm.common import drop_staged, lean, stage, table
 from assaywork.llm.components import components
 from assaywork.llm.textkernel import JOIN, WHITE, Chunk, chunks, gram, mix, uniform, words
 
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, shingle: i
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(key.ravel()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array(total), *map(pa.array, digest), keys], ["doc_id", "weight", "same_a", "same_b", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, weight long, same_a long, same_b long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(sign), "doc_id long, weight long, same_a long, same_b long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -161,7 +161,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 v, cuts = v[order], np.searchsorted(d, np.arange(n + 1))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(c.lo, n), pa.array([v[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)], pa.binary())], ["id", "items"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "id long, items binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(gather), "id long, items binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -181,7 +181,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(compare), "a long, b long, similarity double")
 
 
 def prefix_entries(sets: DataFrame, least: float) -> DataFrame:
@@ -198,7 +198,7 @@ def prefix_entries(sets: DataFrame, least: float) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(len(v)), n))
                 yield pa.RecordBatch.from_arrays([part["id"].take(row), part["root"].take(row), pa.array(np.repeat(n, n)), pa.array(np.concatenate(v))], ["id", "root", "w", "item"])
 
-    flat = sets.select("id", "root", "items").mapInArrow(flatten, "id long, root long, w long, item long")
+    flat = sets.select("id", "root", "items").mapInArrow(lean(flatten), "id long, root long, w long, item long")
     shared = flat.join(flat.groupBy("item").agg(F.count("*").alias("n")).filter("n > 1"), "item")
     of_text = Window.partitionBy("id")
     at = F.col("w") - F.count("*").over(of_text) + F.row_number().over(of_text.orderBy("n", "item")) - 1

@@ -15,19 +15,18 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import stage, table
+from assaywork.llm.common import kept, lean, stage, table
 
 CAPACITY = 2048
 #: Pieces of a group at most, about; a bound of the memory of a task.
 GROUP = 40_000
-#: Words whose ids a Python worker keeps, about 200 bytes each.
+#: Words whose ids a Python worker keeps, about 300 bytes each.
 CACHE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -88,19 +87,13 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
-@lru_cache(1)
-def _word_tokens(path: str) -> WordTokens:
-    """One for all tasks that a Python worker runs."""
-    return WordTokens(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document. ``docs`` needs doc_id
     and text; ``path``: the tokenizer's file, found on every executor."""
     closing = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _word_tokens(path)
+        tokens = kept(path, lambda: WordTokens(path))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -112,7 +105,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                         rows.append((i, k, a // 4, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(cut, path), PIECES)
 
 
 class OpenSequences:

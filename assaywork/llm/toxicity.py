@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import crc_remainder, table
+from assaywork.llm.common import crc_remainder, lean, table
 from assaywork.llm.textkernel import ALNUM, JOIN, Chunk, chunks, gram, mix, words
 
 BITS = 20
@@ -97,7 +97,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, support:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], ["place", "weight"])
 
     rows = labelled.orderBy("order_key").limit(sample).select("text", F.col("label").cast("double").alias("label"))
-    got = rows.coalesce(1).mapInArrow(fit, "place int, weight double").toArrow()
+    got = rows.coalesce(1).mapInArrow(lean(fit), "place int, weight double").toArrow()
     return {k: got[k].to_numpy() for k in ("place", "weight")}
 
 
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], bits: int = BITS) -> Da
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(chance(batch["text"]))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(apply), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
@@ -139,7 +139,7 @@ def keep_clean(docs: DataFrame, model: dict[str, np.ndarray], threshold: float =
         for batch in batches:
             yield batch.filter(pa.array(chance(batch["text"]) < threshold))
 
-    return docs.mapInArrow(apply, docs.schema)
+    return docs.mapInArrow(lean(apply), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
