@@ -11,6 +11,7 @@ from assaywork.functions import sketch
 from assaywork.operators import spans
 from assaywork.plans import timed
 from assaywork.sources import ingest
+from assaywork.sources.views import view
 from assaywork.streaming import jobs, stateful
 
 FOLDER = "/root/testdata/sf0.001"
@@ -134,3 +135,38 @@ def test_burst_counts_cross_midnight(spark):
     rows = spark.read.parquet(f"{FOLDER}/events.parquet").filter("event_type = 'error'").select("event_id", "user_id", F.unix_timestamp("ts").alias("s"), F.get_json_object("props", "$.k").cast("long").alias("k")).collect()
     key = lambda r: (r["user_id"] % 20, (r["k"] or 0) % 5)
     assert got == {r["event_id"]: sum(key(x) == key(r) and r["s"] - 3600 <= x["s"] <= r["s"] for x in rows) for r in rows}
+
+
+def test_exact_quantiles_of_odd_values(spark):
+    """Negative, tiny, huge and repeated values, nulls, a null key, a group of one, a group of nothing; buckets make no difference."""
+    r = random.Random(4)
+    own = {"a": [r.choice([0.0, -3.5, 1e-9, 7.25, r.uniform(-5, 5), math.exp(r.uniform(0, 60))]) for _ in range(999)], "b": [0.125], None: [float(r.randrange(40)) for _ in range(500)], "none": []}
+    rows = [(k, v) for k, vs in own.items() for v in [*vs, None]]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for scale in (1, 1000):
+        got = {x["k"]: (x["q50"], x["q95"], x["q100"]) for x in sketch.exact(df, F.col("v"), ["k"], scale, q50=0.5, q95=0.95, q100=1).collect()}
+        assert set(got) == {"a", "b", None}
+        for k, q in got.items():
+            for share, value in zip((0.5, 0.95, 1), q):
+                x, at = sorted(own[k]), (len(own[k]) - 1) * share
+                low, high = x[math.floor(at)], x[math.ceil(at)]
+                assert value == pytest.approx(low * (1 - at % 1) + high * (at % 1), rel=1e-14)
+
+
+def percentile(values, share):
+    x, at = sorted(v for v in values if v is not None), (sum(v is not None for v in values) - 1) * share
+    return x[math.floor(at)] * (1 - at % 1) + x[math.ceil(at)] * (at % 1)
+
+
+def by_key(rows, key, value):
+    out = {}
+    for x in rows:
+        out.setdefault(x[key], []).append(x[value])
+    return out
+
+
+def test_calibration_has_exact_quantiles(spark):
+    rows = view(spark, FOLDER, "agent_traces").filter("ts >= timestamp_ntz'1998-06-01 00:00:00' - interval 90 days and ts < timestamp_ntz'1998-06-01 00:00:00'").collect()
+    own = by_key(rows, "agent_name", "cost_usd")
+    got = {x["agent_name"]: (x["median_now"], x["recommended"]) for x in timed.threshold_calibration(spark, FOLDER).collect()}
+    assert got == {k: pytest.approx((percentile(v, 0.5), percentile(v, 0.95)), abs=5.1e-7) for k, v in own.items()}
