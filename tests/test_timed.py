@@ -170,3 +170,9 @@ def test_calibration_has_exact_quantiles(spark):
     own = by_key(rows, "agent_name", "cost_usd")
     got = {x["agent_name"]: (x["median_now"], x["recommended"]) for x in timed.threshold_calibration(spark, FOLDER).collect()}
     assert got == {k: pytest.approx((percentile(v, 0.5), percentile(v, 0.95)), abs=5.1e-7) for k, v in own.items()}
+
+
+def test_tool_latency_has_exact_quantiles(spark):
+    own = by_key(view(spark, FOLDER, "tool_calls").collect(), "tool_name", "latency_ms")
+    got = {x["tool_name"]: (x["median_ms"], x["p95_ms"]) for x in timed.tool_latency(spark, FOLDER).collect()}
+    assert got == {k: pytest.approx((percentile(v, 0.5), percentile(v, 0.95)), abs=5.1e-4) for k, v in own.items()}
