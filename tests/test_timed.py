@@ -176,3 +176,10 @@ def test_tool_latency_has_exact_quantiles(spark):
     own = by_key(view(spark, FOLDER, "tool_calls").collect(), "tool_name", "latency_ms")
     got = {x["tool_name"]: (x["median_ms"], x["p95_ms"]) for x in timed.tool_latency(spark, FOLDER).collect()}
     assert got == {k: pytest.approx((percentile(v, 0.5), percentile(v, 0.95)), abs=5.1e-4) for k, v in own.items()}
+
+
+def test_token_attribution_has_exact_medians(spark):
+    rows = view(spark, FOLDER, "text_traces").select("trace_id", "agent_name", "completion_tokens").collect()
+    middle = {k: percentile(v, 0.5) for k, v in by_key(rows, "agent_name", "completion_tokens").items()}
+    got = {x["trace_id"]: x["ratio"] for x in timed.token_attribution(spark, FOLDER).collect()}
+    assert got == {x["trace_id"]: pytest.approx(x["completion_tokens"] / middle[x["agent_name"]], abs=5.1e-4) for x in rows if x["completion_tokens"] >= 2 * middle[x["agent_name"]]}
