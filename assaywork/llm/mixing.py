@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import stage_measured, table
+from assaywork.llm.common import stage, stage_measured, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -64,7 +64,11 @@ def row_key() -> Column:
 def keyed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, source, row_key, size, key of every document. No text leaves this step."""
     sized = docs.select("doc_id", "source", row_key().alias("row_key"), word_count(F.col("text")).alias("size"), quality(F.col("text")).alias("weight"))
-    return sized.withColumn("key", -F.log(uniform(seed, "row_key")) / F.col("weight")).drop("weight")
+    return sized.withColumn("key", _key(seed)).drop("weight")
+
+
+def _key(seed: int) -> Column:
+    return -F.log(uniform(seed, "row_key")) / F.col("weight")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -94,7 +98,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, row_key, size, source_size, target, taken: the words the mix takes from each document,
+    """doc_id, source, row_key, key, size, source_size, target, epochs, taken: the words the mix takes from each document,
     repeats counted. The document in which a budget ends gives only the words up to it.
 
     ``docs`` needs doc_id, text and source; further columns play no part."""
@@ -114,7 +118,7 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
         b["source"].alias("b_source"), b["bucket"].alias("b_bucket"), "before", "words", "source_size", "target", "epochs", "rest")
     d = k.join(b, k["source"].eqNullSafe(b["b_source"]) & (k["bucket"] == b["b_bucket"])).drop("b_source", "b_bucket")
     ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest"))
-    same = ["doc_id", "source", "row_key", "size", "source_size", "target"]
+    same = ["doc_id", "source", "row_key", "key", "size", "source_size", "target", "epochs"]
     outside = d.filter(~ends).select(*same, (F.col("epochs") * F.col("size") + F.when(F.col("before") + F.col("words") <= F.col("rest"), F.col("size")).otherwise(0)).alias("taken"))
     inside = Window.partitionBy("source").orderBy("key", "row_key")
     cut = d.filter(ends).withColumn("ahead", F.col("before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -122,25 +126,40 @@ def mix(docs: DataFrame, seed: int = 7, buckets: int = BUCKETS, weights: tuple[f
     return outside.unionByName(cut.select(*same, (F.col("epochs") * F.col("size") + part).alias("taken")))
 
 
-def mixed_rows(docs: DataFrame, mixture: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture takes them, the last time cut to the words left;
-    n_chars follows the cut. Rows taken 0 words go. Rows that are alike in id, source and text are numbered
-    and share out what was taken of them, the most first."""
-    m = mixture.filter("taken > 0").groupBy("row_key", "size", "taken").agg(F.count("*").alias("n"))
+def mixed_rows(docs: DataFrame, mixture: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` as often as the mixture (``mix`` with the same seed) takes them, the last time cut to the words
+    left; n_chars follows the cut. Rows taken 0 words go. Rows that are alike in id, source and text are numbered
+    and share out what was taken of them, the most first.
+
+    Texts stay where they are: by its key and the place in the order of keys at which its source's budget ends, each row
+    tells how often it is taken. Only the rows at that place, one of each source or those alike to it, are gathered."""
+    m = stage(mixture.filter("size > 0").select("source", "row_key", "key", "size", "epochs", "taken"))
+    extra = F.col("taken") > F.col("epochs") * F.col("size")
+    ends = stage(m.groupBy(F.col("source").alias("of_source")).agg(F.max("epochs").alias("epochs"), F.max(F.when(extra, F.struct("key", "row_key"))).alias("end")))  # a row a source
     # a source has whole epochs, with or without one more, and one cut: three values at most
-    m = m.groupBy("row_key").agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("shares"))
-    d = docs.select(row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(m, "row_key")
-    d = d.withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")))
+    last = m.join(ends.select("of_source", "end"), F.col("source").eqNullSafe(F.col("of_source"))).filter(F.col("row_key") == F.col("end.row_key"))
+    last = last.groupBy(F.col("row_key").alias("end_key"), "size", "taken").agg(F.count("*").alias("n")).groupBy("end_key", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("shares"))
+    d = docs.select(row_key().alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row")["text"]
+    d = d.filter(text.rlike(WORD)).join(ends, F.col("row")["source"].eqNullSafe(F.col("of_source")))
+    at_end = F.coalesce(F.col("row_key") == F.col("end.row_key"), F.lit(False))
+
+    whole = d.filter(~at_end).withColumn("weight", quality(text)).withColumn("key", _key(seed))
+    before = F.coalesce(F.struct("key", "row_key") < F.col("end"), F.lit(False)).cast("long")
+    whole = whole.withColumn("times", F.col("epochs") + before).filter("times > 0")
+    whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row", text.alias("mixed"))
+
+    part = d.filter(at_end).withColumn("number", F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))).join(last, F.col("row_key") == F.col("end_key"))
     start = F.struct(F.col("number").cast("long").alias("left"), F.lit(0).cast("long").alias("taken"))
     step = lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when((a["left"] > 0) & (a["left"] <= x["n"]), x["taken"]).otherwise(a["taken"]).alias("taken"))
-    d = d.withColumn("taken", F.aggregate("shares", start, step)["taken"]).filter("taken > 0")
-    d = d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    part = part.withColumn("taken", F.aggregate("shares", start, step)["taken"]).filter("taken > 0")
+    part = part.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
     left = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    text = F.col("row")["text"]
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit("[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
-    d = d.withColumn("mixed", F.when(left < F.col("size"), cut).otherwise(text))
+    part = part.select("row", F.when(left < F.col("size"), cut).otherwise(text).alias("mixed"))
+
     made = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
-    return d.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return whole.unionAll(part).select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

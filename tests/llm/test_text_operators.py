@@ -214,6 +214,25 @@ def test_mixed_rows_of_repeated_rows(spark):
     assert +got == +want
 
 
+def test_mixing_moves_no_text(spark):
+    """Repeats of rows anywhere in the order, ends of budgets among them; texts are exchanged only at the end of a budget."""
+    r = random.Random(12)
+    data = [(i, prose(i, 4 + i % 9), "abc"[i % 3] if i % 10 else None, f"m{i}") for i in range(150)]
+    data += [r.choice(data) for _ in range(400)] + [(500, " \t", "a", "blank"), (501, None, "d", "none")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, more string")
+    for seed in (7, 8, 9):
+        m = mixing.mix(docs, seed)
+        out = mixing.mixed_rows(docs, m, seed)
+        want, got = Counter(), Counter()
+        for x in m.collect():
+            want[x["doc_id"], x["source"]] += x["taken"]
+        for x in out.collect():
+            got[x["doc_id"], x["source"]] += len(x["text"].split())
+        assert got == +want
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") <= 1  # the rows at the ends with their shares
+
+
 def test_mixing_of_nothing(empty):
     assert mixing.mix(empty).collect() == []
 
