@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Classes of lengths between a length and the least that is as similar.
 CLASSES = 8
+#: Bits of the marks by which texts are told that surely aren't wanted: 8 MB, whatever the tables' size.
+MARKS = 1 << 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,6 +227,30 @@ def prefix_pairs(entries: DataFrame, least: float) -> DataFrame:
     return met.filter(enough & ordered).select(F.least("id", "s_id").alias("a"), F.greatest("id", "s_id").alias("b")).distinct()
 
 
+def marked(docs: DataFrame, wanted: DataFrame, marks: int = MARKS) -> DataFrame:
+    """``docs`` with __perhaps: true where doc_id is in ``wanted`` and for few others, those whose bit, by a hash of the id, one of ``wanted``
+    has set. No text is shuffled for it; where ``wanted`` fills the marks, more others are true."""
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(marks))
+    row, bit = F.call_function("shiftright", at, F.lit(15)), (at % 32768).cast("int")  # a row of marks has 32,768 bits
+    rows = wanted.select(row.alias("__row"), bit.cast("long").alias("bit")).distinct().repartition("__row").groupBy("__row").agg(F.bitmap_construct_agg("bit").alias("__marks"))
+    byte = F.conv(F.hex(F.substring("__marks", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = docs.join(F.broadcast(rows), row == F.col("__row"), "left")
+    return found.select(*docs.columns, F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False)).alias("__perhaps"))
+
+
+def within(docs: DataFrame, wanted: DataFrame, marks: int = MARKS) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``wanted`` (distinct). Only those that are marked are shuffled; an inner
+    join, as Spark would move a semi join below the marks."""
+    return marked(docs, wanted, marks).filter("__perhaps").join(wanted, "doc_id").select(docs.columns)
+
+
+def without(docs: DataFrame, gone: DataFrame, marks: int = MARKS) -> DataFrame:
+    """The other rows, null ids among them; further columns may have any names."""
+    d = marked(docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), gone, marks)
+    checked = d.filter("__perhaps").join(gone.withColumn("__gone", F.lit(True)), "doc_id", "left").filter("__gone is null")
+    return d.filter("not __perhaps").select("row").unionAll(checked.select("row")).select("row.*")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, class_id, copy_of: the class (least id of all that it is linked with, itself included)
     and the least id among those with the same multiset of shingles. One row per document."""
@@ -241,7 +267,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     pivot = shared.join(central, "id").groupBy("key").agg(F.max_by("id", "rank").alias("pivot"))
     buckets = stage(shared.join(pivot, "key").select("key", "id", "pivot"))
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = stage(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle))
+    sets = stage(shingle_sets(within(docs, wanted).dropDuplicates(["doc_id"]), shingle))
     drop_staged(shared)
 
     stars = buckets.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()

@@ -325,6 +325,22 @@ def test_signatures_estimate_multiset_similarity():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.04
 
 
+def test_texts_that_are_not_wanted_stay_where_they_are(spark):
+    """Marks lose no id, negative ones, null, repeated rows and full marks included; the rest is told before the exchange."""
+    ids = [*range(-3000, 3000), 2**62, -(2**63), None]
+    docs = spark.createDataFrame([(i, "x", "y") for i in [*ids, 6, 6, 7]], "doc_id long, text string, `__gone` string")
+    wanted = [i for i in ids if i is not None and i % 3 == 0]
+    w = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    for marks in (near_dedup.MARKS, 1 << 8):
+        assert Counter(r["doc_id"] for r in near_dedup.within(docs.select("doc_id", "text"), w, marks).collect()) == Counter([*wanted, 6, 6])
+        assert Counter(r["doc_id"] for r in near_dedup.without(docs, w, marks).collect()) == Counter([i for i in ids if i not in set(wanted)] + [7])
+    assert near_dedup.without(docs, w).columns == docs.columns
+    assert near_dedup.marked(docs.select("doc_id", "text"), w).filter("__perhaps").count() < len(wanted) + 10
+    assert near_dedup.within(docs.select("doc_id", "text"), w.limit(0)).collect() == [] and near_dedup.without(docs, w.limit(0)).count() == len(ids) + 3
+    plan = near_dedup.within(docs.select("doc_id", "text"), w)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("bitmap_construct_agg")  # the exact join is above the marks
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
