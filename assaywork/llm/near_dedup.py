@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import drop_staged, lean, stage, table
+from assaywork.llm.common import drop_staged, lean, stage, stage_in_small_batches, table
 from assaywork.llm.components import components
 from assaywork.llm.textkernel import JOIN, WHITE, Chunk, chunks, gram, mix, uniform, words
 
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     """doc_id, class_id, copy_of: the class (least id of all that it is linked with, itself included)
     and the least id among those with the same multiset of shingles. One row per document."""
     docs = docs.select("doc_id", "text")
-    signed = stage(signatures(docs, bands, rows, shingle))
+    signed = stage_in_small_batches(signatures(docs, bands, rows, shingle))
     same = ["same_a", "same_b", "weight"]
     firsts = stage(signed.filter("weight > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("copy_of"), F.min_by("keys", "doc_id").alias("keys")))
     member = firsts.select(F.col("copy_of").alias("id"), F.explode("keys").alias("key"))
@@ -267,19 +267,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     pivot = shared.join(central, "id").groupBy("key").agg(F.max_by("id", "rank").alias("pivot"))
     buckets = stage(shared.join(pivot, "key").select("key", "id", "pivot"))
     wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
-    sets = stage(shingle_sets(within(docs, wanted).dropDuplicates(["doc_id"]), shingle))
+    sets = stage_in_small_batches(shingle_sets(within(docs, wanted).dropDuplicates(["doc_id"]), shingle))
     drop_staged(shared)
 
     stars = buckets.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    links = stage(similar(stars, sets, least))
+    links = stage_in_small_batches(similar(stars, sets, least))
     root = stage(components(links))
     # Buckets whose members are in more than one component, beside the pivot, which all were compared with.
     labelled = buckets.filter("id <> pivot").join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     spread = labelled.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("key")
     open_ = labelled.join(spread, "key", "left_semi").select("id", "root").distinct()
-    entries = stage(prefix_entries(sets.join(open_, "id"), least))
+    entries = stage_in_small_batches(prefix_entries(sets.join(open_, "id"), least))
     pairs = stage(prefix_pairs(entries, least))
-    found = stage(similar(pairs, sets, least))
+    found = stage_in_small_batches(similar(pairs, sets, least))
     final = stage(components(links.unionByName(found)))
     for used in (buckets, sets, links, root, entries, pairs, found):
         drop_staged(used)

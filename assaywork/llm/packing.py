@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import kept, lean, stage, table
+from assaywork.llm.common import kept, lean, stage_in_small_batches, table
 
 CAPACITY = 2048
 #: Pieces of a group at most, about; a bound of the memory of a task.
 GROUP = 40_000
-#: Words whose ids a Python worker keeps, about 300 bytes each.
-CACHE = 1_000_000
+#: Words whose ids a Python worker keeps, and as many older ones at most, about 300 bytes each.
+CACHE = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,8 +42,8 @@ _BYTES = str.maketrans({b: chr(256 + k) for k, b in enumerate(b for b in range(2
 class WordTokens(dict):
     """Ids of a text by a tokenizer that drops white space, lower-cases, and splits at whatever isn't a
     letter, so that each run between white space can be encoded on its own, and a word of letters apart
-    from the marks around it and in lower case. The ids of runs that were met before are looked up. Of at
-    most ``most`` runs: beyond that it starts anew."""
+    from the marks around it and in lower case. The ids of runs that were met before are looked up. Beyond
+    ``most`` runs it starts anew and keeps those as the older ones, of which what is met again comes over."""
 
     def __init__(self, path: str, most: int = CACHE):
         import os
@@ -52,6 +52,7 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
+        self.older: dict[str, bytes] = {}
         tokenizer = Tokenizer.from_file(path)
         self.encode, self.word, self.most = tokenizer.encode, tokenizer.model.tokenize, most
         for probe in ("(Stone),", "stone...", "ÉtéÑ!", "\"Über-\""):
@@ -74,7 +75,9 @@ class WordTokens(dict):
         return np.array([t.id for t in self.word(low if low.isascii() else low.encode().decode("latin-1").translate(_BYTES))], "<u4").tobytes()
 
     def __missing__(self, run: str) -> bytes:
-        ids = self._made(run)
+        ids = self.older.get(run)
+        if ids is None:
+            ids = self._made(run)
         if len(run) <= 64:
             self[run] = ids
         return ids
@@ -82,6 +85,7 @@ class WordTokens(dict):
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
@@ -182,7 +186,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in sequences of at most 2048 tokens."""
-    return pack(stage(pieces(table(spark, sf_dir, "documents"), tokenizer_path())))
+    return pack(stage_in_small_batches(pieces(table(spark, sf_dir, "documents"), tokenizer_path())))
 
 
 QUERIES = {"op2_packing": op2_packing}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaywork.llm.common import crc_remainder, lean, table
+from assaywork.llm.common import crc_remainder, lean, small_batches, table
 from assaywork.llm.textkernel import ALNUM, JOIN, Chunk, chunks, gram, mix, words
 
 BITS = 20
@@ -97,7 +97,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE, bits: int = BITS, support:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at], pa.float64())], ["place", "weight"])
 
     rows = labelled.orderBy("order_key").limit(sample).select("text", F.col("label").cast("double").alias("label"))
-    got = rows.coalesce(1).mapInArrow(lean(fit), "place int, weight double").toArrow()
+    with small_batches(labelled.sparkSession):
+        got = rows.coalesce(1).mapInArrow(lean(fit), "place int, weight double").toArrow()
     return {k: got[k].to_numpy() for k in ("place", "weight")}
 
 

@@ -22,10 +22,11 @@ from assaywork.llm import common, mixing, near_dedup, packing, pii, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier predicts to be toxic. It learns from the labels of
-    those documents of the input whose labels may be learnt from. A null id stays with its text's verdict."""
+    those documents of the input whose labels may be learnt from. A null id stays with its text's verdict.
+    Written here, as the size of batches holds where a job is run."""
     labels = common.table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(toxicity.labelled_sample(docs, labels))
-    return toxicity.keep_clean(docs, model)
+    return common.stage_in_small_batches(toxicity.keep_clean(docs, model))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequences. A document that the mix repeats is packed each time."""
-    return packing.pack(common.stage(packing.pieces(docs, packing.tokenizer_path())))
+    return packing.pack(common.stage_in_small_batches(packing.pieces(docs, packing.tokenizer_path())))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

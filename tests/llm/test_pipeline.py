@@ -82,3 +82,34 @@ def test_further_columns_of_any_name_pass_through(spark, folder):
             rows = docs.collect()
             assert rows and all(r[c] == (None if r["doc_id"] is None else f"{c}:{r['doc_id']}") for r in rows for c in more), name
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= {*range(40), 3000}
+
+
+def test_whole_texts_go_to_workers_in_small_batches(spark, folder, monkeypatch):
+    """In every stage, and what was set before holds after it."""
+    from pyspark.sql import DataFrameWriter
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, plain = spark.conf.get(key), [], DataFrameWriter.parquet
+
+    def parquet(self, *a, **b):
+        if "MapInArrow" in self._df._jdf.queryExecution().optimizedPlan().toString():
+            seen.append(spark.conf.get(key))
+        return plain(self, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    docs = common.table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.stage(stage(spark, docs, folder))
+    assert len(seen) >= 5 and set(seen) == {str(common.SMALL)}
+    assert spark.conf.get(key) == before
+
+
+def test_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield batch.select([]).from_arrays([[batch.num_rows], [batch.nbytes]], ["n", "size"])
+
+    long = spark.range(0, 300, 1, 1).selectExpr("repeat('x', if(id = 7, 6000000, 100000)) as text")
+    got = common.stage_in_small_batches(long.mapInArrow(sizes, "n long, size long")).collect()
+    assert sum(r["n"] for r in got) == 300 and max(r["n"] for r in got) > 10
+    assert max(r["size"] for r in got if r["size"] < 6000000) <= common.SMALL + 200000

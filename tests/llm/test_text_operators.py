@@ -125,6 +125,16 @@ def test_words_are_encoded_as_whole_texts_are():
         assert words.ids(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_words_kept_are_bounded_and_frequent_ones_stay():
+    words = packing.WordTokens(packing.tokenizer_path(), 100)
+    made, plain = Counter(), words._made
+    words._made = lambda run: made.update([run]) or plain(run)
+    for k in range(200):
+        words.ids("the river " + " ".join(f"w{k}x{i}" for i in range(20)))
+        assert len(words) + len(words.older) <= 2 * 130
+    assert made["the"] == made["river"] == made["w7x7"] == 1
+
+
 def test_packing_splits_into_groups(spark):
     found = spark.range(5000).selectExpr("id as doc_id", "0 as piece", "0L as start", "1 + id % 97 as length", "id as ids_crc32")
     got = packing.pack(found, 128, group=700).collect()
