@@ -27,7 +27,7 @@ CAPACITY = 2048
 #: Pieces of a group at most, about; a bound of the memory of a task.
 GROUP = 40_000
 #: Words whose ids a Python worker keeps, and as many older ones at most, about 300 bytes each.
-CACHE = 100_000
+CACHE = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -85,7 +85,8 @@ class WordTokens(dict):
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if len(self) > self.most:
-            self.older = dict(self)
+            self.older.clear()
+            self.older.update(self)
             self.clear()
             self[""] = b""
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
