@@ -251,11 +251,12 @@ class Shard:
         m = int(v.max()) + 1 if len(v) else 1
         pair, self.pair_at = np.unique(np.repeat(at, pairs) * m + v, return_inverse=True)
         self.pair_u, self.v = pair // m, pair % m
-        self.apart = np.zeros(len(pair), bool)
-        self.apart[self.pair_at[apart > 0]] = True
         m = int(w.max()) + 1 if len(w) else 1
-        triple, self.triple_at = np.unique(np.repeat(self.pair_at * 2 + apart, triples) * m + w, return_inverse=True)
-        self.triple_pair, self.w, of_apart = triple // m >> 1, triple % m, (triple // m & 1).astype(bool)
+        triple, self.triple_at = np.unique(np.repeat(self.pair_at, triples) * m + w, return_inverse=True)
+        self.triple_pair, self.w = triple // m, triple % m
+        # a pair's triples are all apart or none is, but for the one that stands for the pair itself, whose word no other has
+        of_apart = np.zeros(len(triple), bool)
+        of_apart[self.triple_at] = np.repeat(apart > 0, triples)
         self.count = np.bincount(self.triple_at, count, len(triple)).astype(np.int64)
         # triples dealt apart from their pair don't count for it
         self.pair_count = np.bincount(self.triple_pair, self.count * ~of_apart, len(pair)).astype(np.int64)
@@ -274,7 +275,6 @@ class Shard:
         c = self.pair_count[met].astype(float)
         pair = np.stack([encode(c / (self.context[self.pair_u[met]] + K2)), encode(np.where(c > 0, K3 / (c + K3), 0))], 1)
         third = np.where(self.of_apart, self.count, self.count / (self.pair_count[self.triple_pair] + K3))[t]
-        # one place for a triple that was asked both apart and plainly can't be: a pair is one or the other
         return Trie.of(self.u[u], [(place(u)[self.pair_u[met]], self.v[met]), (place(met)[self.triple_pair[t]], self.w[t])], [pair, encode(third)])
 
     def answers(self, trie: Trie) -> list[bytes]:

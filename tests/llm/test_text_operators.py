@@ -455,6 +455,31 @@ def test_language_model_matches_brute_force(spark, odd, batch, shard, monkeypatc
         assert sum(r["pairs"] for r in model.collect()) == len(starts)
 
 
+def test_language_model_of_frequent_pairs_in_the_shard_of_their_triples(spark):
+    """One shard holds all: there a pair of two frequent words stands for itself, beside its triples that are dealt apart."""
+    import math
+
+    data = [(i, " ".join("aabaaacadaeab"[(i * 5 + k * k) % 13] for k in range(3 + i % 9))) for i in range(60)]
+    tokens = [[*t.split(), "."] for _, t in data]
+    c, pairs, ctx, triples = Counter(), Counter(), Counter(), Counter()
+    for t in tokens:
+        for u, v, w in zip(["^", "^", *t], ["^", *t], t):
+            c[w] += 1
+            pairs[v, w] += 1
+            ctx[v] += 1
+            triples[u, v, w] += 1
+    starts = Counter({("^", "^"): len(data)}) + pairs
+    n = sum(c.values())
+    assert c["a"] > n / 4
+    p1 = lambda w: (c[w] + 0.5) / (n + 0.5 * (len(c) + 1))
+    p2 = lambda v, w: (pairs[v, w] + ngram_lm.K2 * p1(w)) / (ctx[v] + ngram_lm.K2)
+    p3 = lambda u, v, w: (triples[u, v, w] + ngram_lm.K3 * p2(v, w)) / (starts[u, v] + ngram_lm.K3)
+    want = [sum(math.log10(p3(u, v, w)) for u, v, w in zip(["^", "^", *t], ["^", *t], t)) for t in tokens]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("learn", F.lit(True))
+    got = [r["score"] for r in ngram_lm.fit_and_score(docs)[0].orderBy("doc_id").collect()]
+    assert np.allclose(got, want, rtol=2e-3, atol=2e-3), max(abs(g - w) for g, w in zip(got, want))
+
+
 def test_language_model_without_training_or_rows(spark, empty):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string").withColumn("learn", F.lit(False))
     got = {r["doc_id"]: r for r in ngram_lm.fit_and_score(docs)[0].collect()}
