@@ -1,38 +1,31 @@
 """Elias-Fano sequences and an n-gram trie of such levels, as flat arrays that can be mapped.
 
 A monotone sequence of n values under u takes about 2 + log2(u / n) bits a value: the low bits are
-packed, the high bits are written in unary. All queries are vectorised over many at a time."""
+packed, the high bits are written in unary. All queries are vectorised over many at a time. The first query of
+a sequence makes the directories of its ones and zeros, 8 bytes each, which later ones look up."""
 
 from __future__ import annotations
 
-import numpy as np
+from functools import cached_property
 
-#: Ranges of at most so many values are searched without the high bits.
-NARROW = 8
-_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: Place of the k-th one in a byte.
-_PLACE = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    for _k, _p in enumerate([i for i in range(8) if _b >> i & 1]):
-        _PLACE[_b, _k] = _p
+import numpy as np
 
 
 class EliasFano:
     def __init__(self, n: int, shift: int, low: np.ndarray, high: np.ndarray):
         self.n, self.shift, self.low, self.high = n, shift, low, high
-        ones = _BITS[high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         """Of ascending values (int64, from 0)."""
         n = len(values)
+        if (values[1:] < values[:-1]).any():
+            raise ValueError("values don't ascend")
         most = int(values[-1]) if n else 0
         shift = max(0, (most // n).bit_length() - 1) if n else 0
-        high = np.zeros((n + (most >> shift)) // 64 + 1, np.uint64)
-        at = (values >> shift) + np.arange(n)
-        np.bitwise_or.at(high, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        bits = np.zeros(((n + (most >> shift)) // 64 + 1) * 64, np.uint8)
+        bits[(values >> shift) + np.arange(n)] = 1
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
         low = np.zeros(n * shift // 64 + 2, np.uint64)
         if shift:
             rest = values.astype(np.uint64) & np.uint64((1 << shift) - 1)
@@ -43,19 +36,20 @@ class EliasFano:
             np.bitwise_or.at(low, word[over] + 1, rest[over] >> (np.uint64(64) - off[over]))
         return cls(n, shift, low, high)
 
-    def _select(self, k: np.ndarray, cum: np.ndarray, flip: bool) -> np.ndarray:
-        """Place of the k-th one (or zero) of the high bits."""
-        word = np.searchsorted(cum, k, "right") - 1
-        word = np.minimum(word, len(self.high) - 1)
-        left = k - cum[word]
-        w = self.high[word]
-        own = (~w if flip else w).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(_BITS[own], axis=1, dtype=np.int16)
-        byte = (upto <= left[:, None]).sum(1)
-        byte = np.minimum(byte, 7)
-        rows = np.arange(len(k))
-        before = np.where(byte > 0, upto[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[own[rows, byte], np.clip(left - before, 0, 7)]
+    @cached_property
+    def _bits(self) -> np.ndarray:
+        return np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool)
+
+    @cached_property
+    def _top(self) -> np.ndarray:
+        """High bits of each value: the zeros before its one."""
+        return np.flatnonzero(self._bits) - np.arange(self.n)
+
+    @cached_property
+    def _first(self) -> np.ndarray:
+        """The first place whose high bits are at least 0, 1, ...: the ones before the zero in front."""
+        zeros = np.flatnonzero(~self._bits)
+        return np.append(0, zeros - np.arange(len(zeros)))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.shift:
@@ -69,36 +63,26 @@ class EliasFano:
         return (v & np.uint64((1 << self.shift) - 1)).astype(np.int64)
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return ((self._select(i, self.ones, False) - i) << self.shift) | self._low(i)
+        return (self._top[i] << self.shift) | self._low(i)
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The first place in [lo, hi) whose value is at least x; hi if there is none. The high bits
-        of x narrow the range to the values that share them, which is then halved."""
+        of x narrow the range to the values that share them, which is then halved by their low bits."""
         if not self.n or not len(x):
             return hi.copy()
-        a, b = lo.copy(), hi.copy()
-        wide = np.flatnonzero(b - a > NARROW)
-        if len(wide):
-            top = np.clip(x[wide] >> self.shift, 0, None)
-            a[wide], b[wide] = (np.clip(self._first(t), lo[wide], hi[wide]) for t in (top, top + 1))
+        top = x >> self.shift
+        a, b = (np.clip(self._first[np.clip(t, 0, len(self._first) - 1)], lo, hi) for t in (top, top + 1))
         open_ = np.flatnonzero(a < b)
+        rest = x[open_] & ((1 << self.shift) - 1)
         while len(open_):
             mid = (a[open_] + b[open_]) >> 1
-            less = self.get(mid) < x[open_]
+            less = self._low(mid) < rest
             a[open_] = np.where(less, mid + 1, a[open_])
             b[open_] = np.where(less, b[open_], mid)
-            open_ = open_[a[open_] < b[open_]]
+            left = a[open_] < b[open_]
+            open_, rest = open_[left], rest[left]
         return a
 
-    def _first(self, h: np.ndarray) -> np.ndarray:
-        """The first place whose high bits are at least ``h``."""
-        last = int(self.zeros[-1]) - 1  # zeros past the last one included
-        out = np.full(len(h), self.n, np.int64)
-        out[h <= 0] = 0
-        k = (h > 0) & (h - 1 <= last)
-        out[k] = np.minimum(self._select(h[k] - 1, self.zeros, True) - (h[k] - 1), self.n)
-        return out
-
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.shift, len(self.low), len(self.high)], np.uint64), self.low, self.high]
 
@@ -139,10 +123,9 @@ class Trie:
         if not v.n or not len(pick):
             return
         if level:
-            own, at = np.unique(parent[pick], return_inverse=True)
+            own = parent[pick]
             lo, hi = self.pointers[level - 1].get(own), self.pointers[level - 1].get(own + 1)
-            base = np.where(lo > 0, v.get(np.maximum(lo - 1, 0)) + 1, 0)[at]
-            lo, hi = lo[at], hi[at]
+            base = np.where(lo > 0, v.get(np.maximum(lo - 1, 0)) + 1, 0)
         else:
             base = lo = np.zeros(len(pick), np.int64)
             hi = np.full(len(pick), v.n, np.int64)
