@@ -23,35 +23,58 @@ def _micros(rows: pd.DataFrame) -> pd.Series:
     return rows["ts"].astype("datetime64[us]").astype("int64")
 
 
-def assembled_runs(events: DataFrame, timeout: str = "30 minutes", redact=False) -> DataFrame:
+def assembled_runs(events: DataFrame, timeout: str = "30 minutes", redact=False, buckets: int = 1024) -> DataFrame:
     """The runs of a stream of callback events (run_id, agent_name and the columns of EVENT), as
     ``ingest.runs_of_callbacks`` has them. A run is emitted when its end or error comes, or when nothing of it has come
     for ``timeout`` of event time (closed: timeout); its state, the events so far, ends with it. Rows without a run or
-    time are left out."""
+    time are left out.
+
+    Runs are dealt to ``buckets`` (as many for as long as a stream's state is kept), as a call of Python for each run costs far more than
+    its events. A bucket's state is its open runs, and its timeout that of the first of them; events stay JSON text in Python."""
     wait = int(pd.Timedelta(timeout).total_seconds() * 1000)
     emitted = "run_id long, agent_name string, closed string, events string"
 
     def collect(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, agent = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], None)
-        if state.hasTimedOut:
+        now = state.getCurrentWatermarkMs()
+        # of each run: agent, latest event, time to give up, events
+        held = {run: tuple(of) for run, *of in json.loads(state.get[0])} if state.exists else {}
+        came: dict[int, list] = {}
+        if not state.hasTimedOut:
+            for rows in parts:
+                for run, agent, ms, event, said in zip(*[rows[c].tolist() for c in ("run_id", "agent_name", "ms", "event", "said")]):
+                    if (of := came.get(run)) is None:
+                        of = came[run] = [None, ms, None, []]
+                    if agent is not None and (of[0] is None or agent > of[0]):
+                        of[0] = agent
+                    if ms > of[1]:
+                        of[1] = ms
+                    if event in ENDS:
+                        of[2] = "error" if event == "chain_error" or of[2] == "error" else "end"
+                    of[3].append(said)
+        out = []
+        for run, (agent, latest, closed, said) in came.items():
+            if run in held:
+                was, before, _, text = held.pop(run)
+                agent, latest, said = max((a for a in (agent, was) if a is not None), default=None), max(latest, before), [text, *said]
+            text = ",".join(said)
+            if closed:
+                out.append((run, agent, closed, f"[{text}]"))
+            else:
+                held[run] = (agent, latest, max(now + 1, latest + wait), text)
+        for run in [run for run, of in held.items() if of[2] < now]:
+            agent, *_, text = held.pop(run)
+            out.append((run, agent, "timeout", f"[{text}]"))
+        if held:
+            state.update((json.dumps([(run, *of) for run, of in held.items()]),))
+            state.setTimeoutTimestamp(max(now, min(of[2] for of in held.values())))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], agent, "timeout", json.dumps(held))], columns=["run_id", "agent_name", "closed", "events"])
-            return
-        for rows in parts:
-            rows = rows.assign(ts=_micros(rows))
-            agent = next((a for a in rows["agent_name"] if a is not None), agent)
-            held += [{k: None if pd.isna(v) else v if isinstance(v, str) else int(v) for k, v in r.items()} for r in rows[list(EVENT)].to_dict("records")]
-        if any(e["event"] in ENDS for e in held):
-            if state.exists:
-                state.remove()
-            closed = "error" if any(e["event"] == "chain_error" for e in held) else "end"
-            yield pd.DataFrame([(key[0], agent, closed, json.dumps(held))], columns=["run_id", "agent_name", "closed", "events"])
-            return
-        state.update((json.dumps(held), agent))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, max(e["ts"] for e in held) // 1000 + wait))
+        yield pd.DataFrame(out, columns=["run_id", "agent_name", "closed", "events"])
 
+    said = F.to_json(F.struct(F.unix_micros("ts").alias("ts"), *[F.col(c) for c in EVENT[1:]]))
     kept = events.filter("run_id is not null and ts is not null").withWatermark("ts", LATENESS)
-    out = kept.groupBy("run_id").applyInPandasWithState(collect, emitted, "events string, agent_name string", "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = kept.select(F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"), "run_id", "agent_name", "ts", F.unix_millis("ts").alias("ms"), "event", said.alias("said"))
+    out = dealt.groupBy("bucket").applyInPandasWithState(collect, emitted, "open string", "append", GroupStateTimeout.EventTimeTimeout)
     element = "struct<ts:long,step:long,event:string,name:string,text:string,prompt_tokens:long,completion_tokens:long>"
     return ingest.assembled(out.withColumn("events", F.from_json("events", f"array<{element}>")), redact)
 

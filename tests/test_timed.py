@@ -183,3 +183,29 @@ def test_token_attribution_has_exact_medians(spark):
     middle = {k: percentile(v, 0.5) for k, v in by_key(rows, "agent_name", "completion_tokens").items()}
     got = {x["trace_id"]: x["ratio"] for x in timed.token_attribution(spark, FOLDER).collect()}
     assert got == {x["trace_id"]: pytest.approx(x["completion_tokens"] / middle[x["agent_name"]], abs=5.1e-4) for x in rows if x["completion_tokens"] >= 2 * middle[x["agent_name"]]}
+
+
+def test_runs_of_one_bucket(spark):
+    """Runs of one bucket end, fail, go on and time out apart from each other."""
+    root = jobs.shared_folder(spark, "test-buckets")
+    stream = lambda rows: jobs.append_to(stateful.assembled_runs(arrive(spark, f"{root}/in", rows), buckets=1), root)
+    first = [event(i, i + s, k) for i in range(60) for s, k in ((0, "chain_start"), (1, "llm_start"))]
+    assert stream(first).collect() == []
+    second = [event(i, i + 9, ("chain_end", "chain_error", "llm_end")[i % 3], 1, f'a "{i}"') for i in range(60)]
+    ended = by_run(stream(second))
+    assert set(ended) == {i for i in range(60) if i % 3 < 2}
+    third = [(99, "a", T0 + timedelta(hours=2), 0, "chain_start", None, None, None, None)]
+    late = [(99, "b", T0 + timedelta(hours=2, seconds=1), 0, "chain_end", None, "end", None, None), event(98, 7201, "chain_start")]
+    got = by_run(stream(third))
+    assert set(got) == set(range(60)) and {got[i]["closed"] for i in range(2, 60, 3)} == {"timeout"}
+    got = by_run(stream(late))
+    assert set(got) == {*range(60), 99}
+    batch = by_run(ingest.runs_of_callbacks(spark.createDataFrame([*first, *second, *third, *late[:1]], EVENTS)))
+    assert batch == got
+
+
+def test_runs_share_their_bucket_of_state(spark):
+    root = jobs.shared_folder(spark, "test-state")
+    jobs.append_to(stateful.assembled_runs(arrive(spark, f"{root}/in", [event(i, 0, "chain_start") for i in range(50)]), buckets=2), root)
+    state = spark.read.format("statestore").load(f"{root}/state").select("key.bucket").collect()
+    assert sorted(r["bucket"] for r in state) == [0, 1]
