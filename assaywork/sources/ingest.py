@@ -21,7 +21,8 @@ def ingest(lines: DataFrame, now: Column, column: str = "value") -> tuple[DataFr
     known kind and status, of each tool call a name; kind, status, tenant and time have defaults; a
     missing id is a digest of the payload, so that a second run mints the same. Values of metadata and
     attributes keep their JSON types."""
-    read = lines.select(F.col(column), F.from_json(column, PAYLOAD).alias("p"))
+    # a generated row, as a condition on a projection would be moved below it and read the payload again for each field that it names
+    read = lines.select(F.col(column), F.explode(F.array(F.from_json(column, PAYLOAD))).alias("p"))
     among = lambda c, known: c.isNull() | c.isin(*known)
     whole = F.forall("p.spans", lambda s: s["name"].isNotNull() & s["start_time"].isNotNull() & among(s["kind"], KINDS) & among(s["status_code"], STATUSES))
     called = F.forall("p.tool_calls", lambda c: c["tool_name"].isNotNull())
@@ -104,28 +105,29 @@ def runs_of_callbacks(events: DataFrame, redact: Column | bool = False) -> DataF
     return assembled(kept.agg(F.max("agent_name").alias("agent_name"), F.when(has("chain_error"), "error").when(has("chain_end"), "end").otherwise("timeout").alias("closed"), F.collect_list(event).alias("events")), redact)
 
 
-def typed(value: Column, depth: int = 2) -> Column:
-    """An attribute's value as the export has it: by its JSON type, arrays and objects ``depth`` deep and as JSON text below."""
-    kind = F.schema_of_variant(value)
+def typed(entries: Column, depth: int = 2) -> Column:
+    """Attributes (key, value) as the export has them: values by their JSON type, arrays and objects ``depth`` deep and as JSON text below.
+    The type is read once for each value."""
+    known = lambda values, *more: F.transform(values, lambda v: F.struct(F.schema_of_variant(v["value"] if more else v).alias("kind"), (v["value"] if more else v).alias("value"), *[v[c].alias(c) for c in more]))
+    return F.transform(known(entries, "key"), lambda e: F.struct(e["key"].alias("key"), _typed(e["value"], e["kind"], depth, known).alias("value")))
+
+
+def _typed(value: Column, kind: Column, depth: int, known) -> Column:
     text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "VOID", "null")
     number = F.try_variant_get(value, "$", "double")
-    nested, names = kind.startswith("ARRAY") | kind.startswith("OBJECT"), []
+    is_array, is_object, names = kind.startswith("ARRAY"), kind.startswith("OBJECT"), []
     if depth:
-        inner = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: typed(v, depth - 1))
-        pairs = F.transform(F.map_entries(F.try_variant_get(value, "$", ATTRIBUTES)), lambda e: F.struct(e["key"].alias("key"), typed(e["value"], depth - 1).alias("value")))
-        names = [F.when(kind.startswith("ARRAY"), F.struct(inner.alias("values"))).alias("arrayValue"), F.when(kind.startswith("OBJECT"), F.struct(pairs.alias("values"))).alias("kvlistValue")]
+        inner = F.transform(known(F.try_variant_get(value, "$", "array<variant>")), lambda v: _typed(v["value"], v["kind"], depth - 1, known))
+        pairs = F.transform(known(F.map_entries(F.try_variant_get(value, "$", ATTRIBUTES)), "key"), lambda e: F.struct(e["key"].alias("key"), _typed(e["value"], e["kind"], depth - 1, known).alias("value")))
+        names = [F.when(is_array, F.struct(inner.alias("values"))).alias("arrayValue"), F.when(is_object, F.struct(pairs.alias("values"))).alias("kvlistValue")]
     else:
-        text = text.when(nested, F.to_json(value))
+        text = text.when(is_array | is_object, F.to_json(value))
     whole = kind == "BIGINT"
     real = (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL")
     return F.struct(text.alias("stringValue"), F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean")).alias("boolValue"),
                     F.when(whole, F.try_variant_get(value, "$", "string")).alias("intValue"), F.when(real, number).alias("doubleValue"), *names)
 
 
-def _attributes(values: Column) -> Column:
-    return F.coalesce(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("key"), typed(e["value"]).alias("value"))), F.array())
-
-
 def _hex(raw: Column, digits: int, least: int) -> Column:
     """An id of so many hex digits: one that is hex already is cut or filled with zeros, any other is hashed."""
     plain = F.lower(F.replace(raw, F.lit("-")))
@@ -146,17 +148,18 @@ def otlp(traces: DataFrame, service: str = "agents", prefix: str = "agent", long
             found = F.when(c == k, i).otherwise(found)
         return found
 
-    own = lambda name, c: F.struct(F.lit(f"{prefix}.{name}").alias("key"), typed(c).alias("value"))
+    own = lambda name, c: F.struct(F.lit(f"{prefix}.{name}").alias("key"), c.alias("value"))
+    entries = lambda values: F.coalesce(F.map_entries(values), F.array())
     one = lambda name, c: F.when(c.isNotNull(), own(name, c.cast("variant")))
     cut = lambda c: F.when(F.col(c) != "", F.when(F.length(c) > longest, F.concat(F.substring(c, 1, longest), F.lit("…"))).otherwise(F.col(c)))
 
     def span(s: Column) -> Column:
         special = F.when(s["kind"].isin("LLM", "TOOL"), F.array(own("span_kind", s["kind"].cast("variant")))).otherwise(F.array())
-        events = F.transform(s["events"], lambda e: F.struct(_nanos(F.try_to_timestamp(e["timestamp"])).alias("timeUnixNano"), e["name"].alias("name"), _attributes(e["attributes"]).alias("attributes")))
+        events = F.transform(s["events"], lambda e: F.struct(_nanos(F.try_to_timestamp(e["timestamp"])).alias("timeUnixNano"), e["name"].alias("name"), typed(entries(e["attributes"])).alias("attributes")))
         return F.struct(
-            _hex(s["trace_id"], 32, 16).alias("traceId"), _hex(s["span_id"], 16, 8).alias("spanId"), F.when(s["parent_span_id"] != "", _hex(s["parent_span_id"], 16, 8)).alias("parentSpanId"), s["name"].alias("name"),
+            F.when(s["trace_id"] == F.col("trace_id"), F.col("trace_hex")).otherwise(_hex(s["trace_id"], 32, 16)).alias("traceId"), _hex(s["span_id"], 16, 8).alias("spanId"), F.when(s["parent_span_id"] != "", _hex(s["parent_span_id"], 16, 8)).alias("parentSpanId"), s["name"].alias("name"),
             numbered(s["kind"], ("", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER"), 1).alias("kind"), _nanos(s["start_time"]).alias("startTimeUnixNano"), _nanos(F.coalesce(s["end_time"], s["start_time"])).alias("endTimeUnixNano"),
-            F.concat(_attributes(s["attributes"]), special).alias("attributes"), F.coalesce(events, F.array()).alias("events"), F.struct(numbered(s["status_code"], STATUSES, 0).alias("code"), s["status_message"].alias("message")).alias("status"))
+            typed(F.concat(entries(s["attributes"]), special)).alias("attributes"), F.coalesce(events, F.array()).alias("events"), F.struct(numbered(s["status_code"], STATUSES, 0).alias("code"), s["status_message"].alias("message")).alias("status"))
 
     usage = lambda name: F.col(f"token_usage.{name}")
     whole = lambda c: F.when(c == F.floor(c), F.floor(c).cast("variant")).otherwise(c.cast("variant"))
@@ -165,11 +168,11 @@ def otlp(traces: DataFrame, service: str = "agents", prefix: str = "agent", long
                          *[number(k, usage(k)) for k in ("total_tokens", "prompt_tokens", "completion_tokens")])
     end = F.timestamp_micros(F.unix_micros("ts") + F.coalesce(F.col("latency_ms") * 1000, F.lit(0)).cast("long"))
     root = F.struct(
-        _hex(F.col("trace_id"), 32, 16).alias("traceId"), _hex(F.concat("trace_id", F.lit(":root")), 16, 8).alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"), F.col("agent_name").alias("name"),
-        F.lit(1).alias("kind"), _nanos(F.col("ts")).alias("startTimeUnixNano"), _nanos(end).alias("endTimeUnixNano"), F.filter(attributes, lambda a: a.isNotNull()).alias("attributes"),
+        F.col("trace_hex").alias("traceId"), _hex(F.concat("trace_id", F.lit(":root")), 16, 8).alias("spanId"), F.lit(None).cast("string").alias("parentSpanId"), F.col("agent_name").alias("name"),
+        F.lit(1).alias("kind"), _nanos(F.col("ts")).alias("startTimeUnixNano"), _nanos(end).alias("endTimeUnixNano"), typed(F.filter(attributes, lambda a: a.isNotNull())).alias("attributes"),
         F.array().alias("events"), F.struct(F.lit(0).alias("code"), F.lit(None).cast("string").alias("message")).alias("status"))
     spans = F.when(F.size("spans") > 0, F.transform("spans", span)).otherwise(F.array(root))
     named = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value"))).alias("attributes"))
     scope = F.struct(F.struct(F.lit(f"{prefix}.trace").alias("name")).alias("scope"), spans.alias("spans"))
     request = F.struct(F.array(F.struct(named.alias("resource"), F.array(scope).alias("scopeSpans"))).alias("resourceSpans"))
-    return traces.select("tenant_id", "trace_id", F.to_json(request).alias("payload"))
+    return traces.withColumn("trace_hex", _hex(F.col("trace_id"), 32, 16)).select("tenant_id", "trace_id", F.to_json(request).alias("payload"))

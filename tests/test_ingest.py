@@ -62,3 +62,11 @@ def test_trace_without_spans(spark):
     assert root["name"] == "b" and root["endTimeUnixNano"] == "1706745601500000000" and len(root["traceId"]) == 32 and len(root["spanId"]) == 16
     assert {a["key"]: a["value"] for a in root["attributes"]} == {
         "agent.agent_name": {"stringValue": "b"}, "agent.output": {"stringValue": "y" * 4096 + "…"}, "agent.cost_usd": {"doubleValue": 0.25}, "agent.total_tokens": {"intValue": "9"}}
+
+
+def test_export_reads_a_payload_once(spark):
+    """The condition on payloads doesn't read them again for each field that it names."""
+    lines = spark.createDataFrame([(json.dumps(SPANNED), 1)], "value string, n int").withColumn("value", F.concat("value", F.lit(" ")))
+    traces, rejects = ingest.ingest(lines, F.lit(None).cast("timestamp"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ingest.otlp(traces)).count("from_json(") == 1 and plan(rejects).count("from_json(") == 1
