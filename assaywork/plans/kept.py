@@ -20,13 +20,23 @@ AS_OF, MONTH_AGO, PRIOR, CURRENT = (datetime(*d) for d in ((1998, 6, 1), (1998,
 LATE = "date_trunc('month', created_at) = timestamp_ntz'1996-03-01 00:00:00' and rule_no > 1"
 
 
-def _store(spark: SparkSession) -> Store:
-    return Store(spark, shared_folder(spark, "store"), unit="quarter", buckets=4)
+#: Rows of the largest table to a bucket, in all periods: a task writes a bucket, and each of its periods is a file.
+BUCKET = 2_000_000
+
+
+def buckets(rows: int, cores: int) -> int:
+    """As many as cores where there are rows for them, more where a task would have more than ``BUCKET``."""
+    return max(4, min(cores, rows * 8 // BUCKET), -(-rows // BUCKET))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    return Store(spark, shared_folder(spark, "store"), unit="quarter", buckets=buckets(rows, spark.sparkContext.defaultParallelism))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> Store:
     """Two arrivals: history up to a month ago, then the month and what came late for one of 1996."""
-    store, traces, results = _store(spark), view(spark, sf_dir, "agent_traces"), view(spark, sf_dir, "rule_results")
+    store, traces, results = _store(spark, sf_dir), view(spark, sf_dir, "agent_traces"), view(spark, sf_dir, "rule_results")
     late = (F.col("created_at") >= F.lit(MONTH_AGO)) | F.expr(LATE)
     new = F.col("ts") >= F.lit(MONTH_AGO)
     for traces_of, results_of in ((~new, ~late), (new, late)):
@@ -59,7 +69,7 @@ def meter_of_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each tenant's rows, by table, when what is older than a month has gone; run twice, the second time in vain."""
-    store = _store(spark)
+    store = _store(spark, sf_dir)
     came = store.add_traces(view(spark, sf_dir, "agent_traces"))
     came |= store.add_parts("results", view(spark, sf_dir, "rule_results"), "created_at")
     store.add_parts("spans", view(spark, sf_dir, "spans"), "start_time")

@@ -109,17 +109,24 @@ class Store:
                        f"clustered by ({', '.join(KEYS)}) sorted by ({', '.join(KEYS)}) into {self.buckets} buckets")
 
     def _append(self, table: str, rows: DataFrame) -> set[date]:
-        """Adds rows to what their periods hold, rows that are alike in all columns once: a job that was broken off is run again."""
+        """Adds rows to what their periods hold, rows that are alike in all columns once: a job that was broken off is run again.
+        An empty table tells by its periods what came; else rows are read for that before."""
         self._create(table, rows)
+        held = self.periods(table)
+        if not held:
+            self._replace(table, rows, set(), once=True)
+            return self.periods(table)
         came = {r[0] for r in rows.select("period").distinct().collect()}
         before = self.stored(table).filter(F.col("period").isin(sorted(came)))
-        self._replace(table, before.unionByName(rows).distinct() if came & self.periods(table) else rows.distinct(), set())
+        self._replace(table, before.unionByName(rows) if came & held else rows, set(), once=True)
         return came
 
-    def _replace(self, table: str, rows: DataFrame, empty: set[date] | list[date]) -> None:
-        """Replaces the periods of ``rows``; of those that may be ``empty`` now, the ones without rows are dropped."""
+    def _replace(self, table: str, rows: DataFrame, empty: set[date] | list[date], once: bool = False) -> None:
+        """Replaces the periods of ``rows``; of those that may be ``empty`` now, the ones without rows are dropped. ``once``: rows that
+        are alike in all columns are written once, told apart in their bucket."""
         self._create(table, rows)
         rows = rows.select(self.stored(table).columns).repartition(self.buckets, *KEYS)
+        rows = rows.distinct() if once else rows
         with self._by_period():
             rows.write.mode("overwrite").insertInto(f"{self.name}.{table}")
         if held := set(empty) & self.periods(table):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assaywork.operators import derived
+from assaywork.plans import kept
 from assaywork.sources.store import Store
 
 TRACES = "tenant_id string, trace_id long, agent_name string, ts timestamp_ntz, cost_usd double"
@@ -119,3 +120,22 @@ def test_retention_of_one_tenant(store):
     assert {r["tenant_id"] for r in left.collect()} == {"t1"}
     with pytest.raises(ValueError):
         store.retain(on(3), "")
+
+
+def test_first_arrival_is_read_once_and_dealt_once(spark, tmp_path):
+    """Rows are made once, and told apart where the write has dealt them."""
+    s, made = Store(spark, f"file://{tmp_path}", buckets=2), spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    rows = spark.createDataFrame([("t0", i, "a", on(1 + i % 3), 0.01) for i in (*range(30), 3, 4)], TRACES)
+    assert s.add_traces(rows.mapInArrow(count, rows.schema)) == {date(2024, 3, d) for d in (1, 2, 3)}
+    assert made.value == 32 and s.read("traces").count() == 30
+    spark.sql(f"drop database {s.name} cascade")
+
+
+def test_buckets_follow_rows():
+    assert [kept.buckets(n, 6) for n in (0, 600_000, 6_000_000, 36_000_000, 216_000_000)] == [4, 4, 6, 18, 108]
