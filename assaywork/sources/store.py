@@ -23,6 +23,16 @@ KEYS = ("tenant_id", "trace_id")
 CASCADES, DETACHED = ("moments", "spans", "traces"), ("results", "evals")
 
 
+def beside(rows: DataFrame, lost: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with the lost traces of their periods. Keys are those of the buckets alone, as a join by the period too would
+    shuffle both sides, so periods are compared as a condition beside."""
+    named = lost.withColumnsRenamed({c: f"lost_{c}" for c in ("period", *KEYS)})
+    same = F.datediff("period", "lost_period") == 0
+    for k in KEYS:
+        same = (F.col(k) == F.col(f"lost_{k}")) & same
+    return rows.join(named, same, how)
+
+
 @dataclass
 class Store:
     """``root`` is a folder that driver and executors share. ``buckets`` follows the size of a period."""
@@ -95,12 +105,12 @@ class Store:
         of = lambda table, periods: self.stored(table).filter(F.col("period").isin(sorted(periods)))
         lost = of("traces", touched).filter(gone).select("period", *KEYS)
         for table in filter(self.has, DETACHED):
-            rows = of(table, touched).join(lost.withColumn("lost", F.lit(True)), ["period", *KEYS], "left")
-            self._replace(table, rows.withColumn("detached", F.col("detached") | F.coalesce("lost", F.lit(False))).drop("lost"), touched)
+            rows = beside(of(table, touched), lost, "left")
+            self._replace(table, rows.withColumn("detached", F.col("detached") | F.col("lost_period").isNotNull()), touched)
         for table in filter(self.has, CASCADES):
             cut = touched - whole
             if cut:
-                self._replace(table, of(table, cut).join(lost, ["period", *KEYS], "left_anti"), cut)
+                self._replace(table, beside(of(table, cut), lost, "left_anti"), cut)
             self._drop(table, whole)
 
     def _create(self, table: str, rows: DataFrame) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaywork.operators import derived
 from assaywork.plans import kept
-from assaywork.sources.store import Store
+from assaywork.sources.store import KEYS, Store, beside
 
 TRACES = "tenant_id string, trace_id long, agent_name string, ts timestamp_ntz, cost_usd double"
 RESULTS = "tenant_id string, trace_id long, eval_type string, rule_no int, rule_name string, passed boolean, skipped boolean, score double, created_at timestamp_ntz"
@@ -139,3 +139,14 @@ def test_first_arrival_is_read_once_and_dealt_once(spark, tmp_path):
 
 def test_buckets_follow_rows():
     assert [kept.buckets(n, 6) for n in (0, 600_000, 6_000_000, 36_000_000, 216_000_000)] == [4, 4, 6, 18, 108]
+
+
+def test_lost_traces_are_found_without_exchange(spark, store):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lost = store.stored("traces").filter(F.col("ts") < F.lit(on(3, 3))).select("period", *KEYS)
+        plans = {how: beside(store.stored("results"), lost, how)._jdf.queryExecution().executedPlan().toString() for how in ("left", "left_anti")}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert all("SortMergeJoin" in p and "Exchange" not in p for p in plans.values())
